@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +26,22 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/sluicebox-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffle_cleanup(spark: SparkSession) -> Iterator[None]:
+    """Within this, Spark deletes a query's shuffle files when the query ends.
+
+    For queries whose result is written: later jobs read that, so their shuffle
+    files would only fill the executors' disks until the driver collects garbage.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
@@ -31,7 +49,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     lets several later jobs read the rows without computing them again.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffle_cleanup(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

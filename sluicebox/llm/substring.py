@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vectext as V
-from .common import materialize, text_key
+from .common import materialize, shuffle_cleanup, text_key
 
 WINDOW_WORDS = 35
 GRAM_WORDS = 8
@@ -89,7 +89,8 @@ class FingerprintIndex:
     def _write(self, entries: DataFrame) -> str:
         name = f"sluicebox_run_{uuid.uuid4().hex}"
         # Dealt out by the buckets' own hash, each bucket is one sorted file.
-        entries.repartition(self.buckets, "fp").write.format("parquet").option("compression", "zstd").bucketBy(self.buckets, "fp").sortBy("fp").saveAsTable(name)
+        with shuffle_cleanup(self.spark):
+            entries.repartition(self.buckets, "fp").write.format("parquet").option("compression", "zstd").bucketBy(self.buckets, "fp").sortBy("fp").saveAsTable(name)
         return name
 
     def entries(self, docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -170,7 +171,6 @@ def _window_digests(docs: DataFrame, wanted: DataFrame, key: str, text: str, win
                 raw = data.tobytes()
                 rows, w, opens, at = [], [], [], []
                 for i, spans in enumerate(part.column("sb_w").to_pylist()):
-                    # A row that repeats is read again, but its windows are the same place.
                     for s in spans:
                         for p in range(s["s1"], s["s2"] + 1):
                             q = first[i] + p
@@ -202,7 +202,8 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     # Where a fingerprint stands in different surroundings, windows of the lone ones may still be equal to others.
     several = texts.groupBy("fp").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("fewest")).where("kinds > 1 and fewest = 1").select("fp")
     wanted = texts.join(several, "fp", "left_semi").select("one.sb_key", "one.sb_tk", "one.s1", "one.s2", (F.col("n") == 1).alias("open"))
-    digests = materialize(_window_digests(docs, wanted, key, text, window).distinct(), "digests")
+    # A repeated row gives its windows twice, but all its entries are whole already, so nothing open is added.
+    digests = materialize(_window_digests(docs, wanted, key, text, window), "digests")
     twice = digests.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w")
     single = digests.where("open").join(twice, "w", "left_semi").select("sb_key", "sb_tk", F.col("s").alias("s1"), F.col("s").alias("s2"))
     return whole.unionByName(single)
