@@ -84,9 +84,9 @@ ORACLES: dict[str, str] = {
             SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(list_slice(w, p, p + least(10, len(w)) - 1), ' ') AS s
             FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS p FROM b WHERE len(w) > 0)),
         sizes AS (SELECT DISTINCT n FROM win),
-        at AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d),
+        spots AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d),
         hit AS (
-            SELECT doc_id, p, win.n, item_id FROM at JOIN sizes ON p + sizes.n - 1 <= len(w)
+            SELECT doc_id, p, win.n, item_id FROM spots JOIN sizes ON p + sizes.n - 1 <= len(w)
             JOIN win ON win.n = sizes.n AND win.s = array_to_string(list_slice(w, p, p + sizes.n - 1), ' ')),
         words AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(p, p + n)) AS q FROM hit) GROUP BY doc_id),
         items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit) GROUP BY doc_id)
@@ -102,6 +102,6 @@ ORACLES: dict[str, str] = {
         placed AS (
             SELECT doc_id, n_bytes, bits, prefix, bytes, row_number() OVER (PARTITION BY doc_id ORDER BY bits) AS k
             FROM levels JOIN buckets USING (bits, prefix) WHERE bytes <= {sharding.MAX_SHARD_BYTES})
-        SELECT doc_id, n_bytes, CASE WHEN bits = 0 THEN '' ELSE lpad(format('{{:b}}', prefix), bits, '0') END || ':0' AS shard, CAST(bits AS INTEGER) AS shard_bits, bytes AS shard_bytes
+        SELECT doc_id, n_bytes, CASE WHEN bits = 0 THEN '' ELSE lpad(format('{{:b}}', prefix), CAST(bits AS INTEGER), '0') END || ':0' AS shard, CAST(bits AS INTEGER) AS shard_bits, bytes AS shard_bytes
         FROM placed WHERE k = 1""",
 }
