@@ -187,9 +187,10 @@ def _window_digests(docs: DataFrame, wanted: DataFrame, key: str, text: str, win
 def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW_WORDS, batches: int = 2, index: FingerprintIndex | None = None) -> DataFrame:
     """sb_key, sb_tk, s1 and s2: runs of windows whose words also start elsewhere.
 
-    docs come to the index as so many batches, dealt by a hash of the id.
+    docs come to the index as so many batches, dealt by a hash of the id; the
+    runs are compacted into one when the last has come.
     """
-    index = index or FingerprintIndex(docs.sparkSession, window=window)
+    index = index or FingerprintIndex(docs.sparkSession, window=window, fan_in=batches)
     hits = None
     for b in range(batches):
         found = index.ingest(docs.where(F.pmod(F.xxhash64(key), F.lit(batches)) == b), key, text)
