@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from . import vectext as V
-from .segments import SEGMENT_SLICE_BYTES, SegmentMemo
+from .common import shuffle_cleanup
+from .segments import SEGMENT_SLICE_BYTES, SegmentMemo, byte_level_memo
 
 BLOCK_IDS = 1 << 16
 END_ID = 0
@@ -45,7 +46,7 @@ def memo(path: str) -> SegmentMemo:
     tok = Tokenizer.from_file(path)
     tok.no_truncation()
     tok.no_padding()
-    return SegmentMemo(lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)])
+    return byte_level_memo(tok)
 
 
 def to_planes(ids: np.ndarray, kind: str = "byte") -> list[bytes]:
@@ -129,7 +130,8 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str, text: str = "text
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange("doc_id").withColumn("sb_tie", F.xxhash64("text")).sortWithinPartitions("doc_id", "sb_tie").select("doc_id", "text")
-    ordered.mapInArrow(run, BLOCK_SCHEMA).write.option("compression", "none").parquet(path)
+    with shuffle_cleanup(docs.sparkSession):
+        ordered.mapInArrow(run, BLOCK_SCHEMA).write.option("compression", "none").parquet(path)
 
 
 PIECE_SCHEMA = "part int, start long, doc_id long, n_tokens long, block int, crc long, raw binary"

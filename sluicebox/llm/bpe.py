@@ -55,7 +55,7 @@ def token_bytes(ranks_path: str) -> list[bytes]:
 @lru_cache(maxsize=4)
 def memo(ranks_path: str, pattern: str) -> SegmentMemo:
     encode = encoding(ranks_path, pattern).encode_ordinary
-    return SegmentMemo(lambda texts: [encode(t) for t in texts])
+    return SegmentMemo(lambda texts: [encode(t) for t in texts], np.array([len(b) for b in token_bytes(ranks_path)], np.int64))
 
 
 def boundaries(pattern: str, text: str) -> list[int]:

@@ -14,6 +14,7 @@ never looked at; an empty table gives an empty table and adds nothing to the cac
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from . import vectext as V
-from .segments import SEGMENT_SLICE_BYTES, SegmentMemo
+from .common import shuffle_cleanup
+from .segments import SEGMENT_SLICE_BYTES, SegmentMemo, byte_level_memo, word_piece_memo
 
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens long"
 
@@ -41,13 +43,12 @@ def tokenizer_digest(path: str) -> str:
 def counter(path: str) -> SegmentMemo:
     """Memo that encodes with the library which the file's ending names."""
     if path.endswith(".model"):
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        # The library itself puts the mark of a space before every text.
-        return SegmentMemo(lambda texts: model.encode(texts, num_threads=1), prefix="")
+        return word_piece_memo(sentencepiece.SentencePieceProcessor(model_file=path))
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
     tok = Tokenizer.from_file(path)
     tok.no_truncation()
     tok.no_padding()
-    return SegmentMemo(lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)])
+    return byte_level_memo(tok)
 
 
 def read_cache(spark: SparkSession, cache_path: str) -> DataFrame:
@@ -104,7 +105,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, text: st
     misses = _first_texts(texts)
     if not known.isEmpty():
         misses = misses.join(known.select("content_digest"), "content_digest", "left_anti")
-    _encode_distinct(misses.repartition("content_digest"), tokenizer_path, version).write.mode("append").parquet(cache_path)
+    with shuffle_cleanup(spark):
+        _encode_distinct(misses.repartition("content_digest"), tokenizer_path, version).write.mode("append").parquet(cache_path)
     # Two runs at once may both store a text; a count depends on nothing but the digests.
     counts = read_cache(spark, cache_path).where(F.col("tokenizer_digest") == version).groupBy("content_digest").agg(F.max("n_tokens").alias("sb_tokens"))
     keep = [c for c in docs.columns if c not in (text, "n_bytes", "n_tokens", "over_limit")]
