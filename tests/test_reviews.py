@@ -260,7 +260,7 @@ def test_slides(spark):
     got = {r["doc_id"]: r["reason"] for r in slides.eligibility(rows).collect()}
     assert got == {1: "ok", 2: "empty-required-sections", 3: "missing-required-sections", 4: "too-short", 5: "empty-summary"}
     made = slides.remaining(slides.slides(rows.where("doc_id = 1"))).orderBy("n").collect()
-    assert [(r["n"], r["title"], r["read_seconds"], r["remaining_seconds"]) for r in made] == [(1, "Overview", 5, 21), (2, "Highlights", 11, 16), (3, "Impact!", 5, 5)]
+    assert [(r["n"], r["title"], r["read_seconds"], r["remaining_seconds"]) for r in made] == [(1, "Overview", 5, 20), (2, "Highlights", 10, 15), (3, "Impact!", 5, 5)]
     marks = spark.createDataFrame([(1, n, t, "s") for n, t in enumerate([None, "A", "", "B", "B", "A"], 1)], "k int, n int, top string, title string")
     runs = slides.chapters(marks, "k").orderBy("island").collect()
     assert [(r["chapter"], r["start"], r["end"], r["width_pct"], r["offset_pct"]) for r in runs] == [("A", 1, 3, 50.0, 0.0), ("B", 4, 5, pytest.approx(100 / 3), 50.0), ("A", 6, 6, pytest.approx(100 / 6), pytest.approx(500 / 6))]
