@@ -6,10 +6,14 @@ windows mostly share one: an entry stands for a run of windows of one document
 whose smallest gram is the same occurrence.  About one word in fifteen begins an
 entry, yet every window is in one.
 
-Each batch of documents becomes an immutable run of the index: a table bucketed
-and sorted by fingerprint.  A new batch is merge-joined with the runs before it,
-bucket by bucket and without a shuffle, to find fingerprints that stand more
-than once; runs are compacted into one when there are several.
+Each batch of documents becomes an immutable run of the index: its fingerprints
+and how often each stands, a table bucketed and sorted by fingerprint.  The
+counts are summed before they are dealt out, so that a fingerprint of a third of
+all entries is a row like any other.  A new batch is merge-joined with the runs
+before it, bucket by bucket and without a shuffle, to find fingerprints that
+stand more than once; runs are compacted into one when there are several.  The
+entries themselves stay as their tasks wrote them until the repeated ones among
+them are taken out.
 
 A shared fingerprint is only a candidate.  Entries are verified by a second
 digest of all the words that their windows cover: entries that agree in it
@@ -79,18 +83,23 @@ def windows(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.nd
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of the window fingerprints of all documents so far."""
+    """Sorted immutable runs of the window fingerprints of all documents so far, and the entries behind them."""
 
     def __init__(self, spark: SparkSession, buckets: int | None = None, window: int = WINDOW_WORDS, gram: int = GRAM_WORDS, fan_in: int = FAN_IN):
         self.spark, self.window, self.gram, self.fan_in = spark, window, min(gram, window), fan_in
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[str] = []
+        self.parts: list[str] = []
 
-    def _write(self, entries: DataFrame) -> str:
-        name = f"sluicebox_run_{uuid.uuid4().hex}"
+    def _name(self, kind: str) -> str:
+        return f"sluicebox_{kind}_{uuid.uuid4().hex}"
+
+    def _write(self, counts: DataFrame) -> str:
+        """A run of the counts (fp, n), which are one row for each fingerprint."""
+        name = self._name("run")
         # Dealt out by the buckets' own hash, each bucket is one sorted file.
         with shuffle_cleanup(self.spark):
-            entries.repartition(self.buckets, "fp").write.format("parquet").option("compression", "zstd").bucketBy(self.buckets, "fp").sortBy("fp").saveAsTable(name)
+            counts.repartition(self.buckets, "fp").write.format("parquet").option("compression", "zstd").bucketBy(self.buckets, "fp").sortBy("fp").saveAsTable(name)
         return name
 
     def entries(self, docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -117,12 +126,14 @@ class FingerprintIndex:
 
     def ingest(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         """Add a batch as a run; the fingerprints (fp) that it repeats, within itself or from earlier runs."""
-        name = self._write(self.entries(docs, key, text))
-        own = self.spark.table(name).groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
+        part = self._name("entries")
+        self.entries(docs, key, text).write.format("parquet").option("compression", "zstd").saveAsTable(part)
+        self.parts.append(part)
+        name = self._write(self.spark.table(part).groupBy("fp").agg(F.count(F.lit(1)).alias("n")))
+        own = self.spark.table(name)
         hits = own.where("n > 1").select("fp")
         for run in self.runs:
-            before = self.spark.table(run).groupBy("fp").agg(F.count(F.lit(1)).alias("m"))
-            hits = hits.unionByName(own.hint("merge").join(before, "fp").select("fp"))
+            hits = hits.unionByName(own.hint("merge").join(self.spark.table(run), "fp").select("fp"))
         hits = materialize(hits.distinct(), "hits")
         self.runs.append(name)
         if len(self.runs) >= self.fan_in:
@@ -132,28 +143,28 @@ class FingerprintIndex:
     def compact(self) -> None:
         """Merge all runs into one."""
         if len(self.runs) > 1:
-            merged = self._write(self.all_entries())
-            self.drop()
+            merged = self._write(self._all(self.runs).groupBy("fp").agg(F.sum("n").alias("n")))
+            for run in self.runs:
+                self._drop(run)
             self.runs = [merged]
 
-    def all_entries(self) -> DataFrame:
-        out = self.spark.table(self.runs[0])
-        for run in self.runs[1:]:
-            out = out.unionByName(self.spark.table(run))
+    def _all(self, tables: list[str]) -> DataFrame:
+        out = self.spark.table(tables[0])
+        for more in tables[1:]:
+            out = out.unionByName(self.spark.table(more))
         return out
 
     def candidates(self, hits: DataFrame) -> DataFrame:
-        """Entries of all runs whose fingerprint is among the hits."""
-        parts = [self.spark.table(run).join(hits.hint("merge"), "fp", "left_semi") for run in self.runs]
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        return out
+        """Entries of all batches whose fingerprint is among the hits; a hot fingerprint's can be split over many tasks."""
+        return self._all(self.parts).join(hits.hint("merge"), "fp", "left_semi")
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
     def drop(self) -> None:
-        for run in self.runs:
-            self.spark.sql(f"DROP TABLE IF EXISTS {run}")
-        self.runs = []
+        for name in self.runs + self.parts:
+            self._drop(name)
+        self.runs, self.parts = [], []
 
 
 def _window_digests(docs: DataFrame, wanted: DataFrame, key: str, text: str, window: int) -> DataFrame:
