@@ -146,6 +146,7 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded
                 part = batch.slice(at, 512)
                 raw = [b"".join(map(of, np.frombuffer(x.as_buffer(), "<u4").tolist())) if x.is_valid else b"" for x in part.column(ids)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(raw, pa.binary())], names=schema.names)
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

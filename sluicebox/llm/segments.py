@@ -23,9 +23,9 @@ import pyarrow.compute as pc
 from . import vectext as V
 
 #: Segments a worker remembers before it drops those that have not come up again.
-MEMO_SEGMENTS = 400_000
+MEMO_SEGMENTS = 150_000
 #: Bytes of text that are looked up together.
-SEGMENT_SLICE_BYTES = 4 << 20
+SEGMENT_SLICE_BYTES = 1 << 20
 #: Segments that are encoded as one text.
 JOINED = 256
 #: The mark that stands for a space in word pieces.

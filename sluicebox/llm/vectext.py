@@ -54,7 +54,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
         have = np.full(size, base, dtype=np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if size <= 8 * SLICE_BYTES:
+        if size <= 2 * SLICE_BYTES:
             _powers[key] = have
     return have[:n]
 
@@ -87,6 +87,7 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES) ->
         to = max(at + 1, int(np.searchsorted(ends, base + max_bytes, side="right")))
         yield batch.slice(at, to - at)
         at = to
+    pa.default_memory_pool().release_unused()  # workers share an executor's memory with its JVM
 
 
 def flat(column) -> tuple[np.ndarray, np.ndarray]:
