@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from . import vectext as V
-from .common import shuffle_cleanup
+from .common import map_batches, shuffle_cleanup
 from .segments import SEGMENT_SLICE_BYTES, SegmentMemo, byte_level_memo
 
 BLOCK_IDS = 1 << 16
@@ -131,7 +131,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str, text: str = "text
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange("doc_id").withColumn("sb_tie", F.xxhash64("text")).sortWithinPartitions("doc_id", "sb_tie").select("doc_id", "text")
     with shuffle_cleanup(docs.sparkSession):
-        ordered.mapInArrow(run, BLOCK_SCHEMA).write.option("compression", "none").parquet(path)
+        ordered.transform(map_batches, run, BLOCK_SCHEMA).write.option("compression", "none").parquet(path)
 
 
 PIECE_SCHEMA = "part int, start long, doc_id long, n_tokens long, block int, crc long, raw binary"
@@ -164,7 +164,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     # As many rows as partitions were written.
     sizes = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    pieces = blocks.mapInArrow(_pieces, PIECE_SCHEMA)
+    pieces = blocks.transform(map_batches, _pieces, PIECE_SCHEMA)
     joined = pieces.groupBy("part", "start").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.max("crc").alias("crc"), F.array_sort(F.collect_list(F.when(F.col("raw").isNotNull(), F.struct("block", "raw")))).alias("parts"))
     raw = F.aggregate("parts", F.lit(b"").cast("binary"), lambda all_, x: F.concat(all_, x["raw"]))
     return joined.join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.col("start")).cast("long").alias("start"), "n_tokens", F.coalesce("crc", F.crc32(raw)).alias("ids_crc32"))

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vectext as V
+from .common import map_batches
 from .segments import SEGMENT_SLICE_BYTES, SegmentMemo
 
 CHUNK_CHARS = 64 << 10
@@ -83,7 +84,7 @@ def _encode_column(df: DataFrame, text: str, out: str, ranks_path: str, pattern:
                 cols = [part.column(f.name) for f in keep] + [_binary_rows(ids, offsets).cast(pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema])
 
-    return df.mapInArrow(run, schema)
+    return df.transform(map_batches, run, schema)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "ids", chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
@@ -117,7 +118,7 @@ def _encode_long(docs: DataFrame, keep: list[str], text: str, out: str, ranks_pa
             yield pa.RecordBatch.from_arrays([*batch.columns, head, tail], names=bound_schema.names)
 
     # The chunks of one long text are dealt out before the slow part.
-    chunks = rows.mapInArrow(cut, chunk_schema).repartition("sb_row", "sb_k").mapInArrow(pre_tokenise, bound_schema)
+    chunks = rows.transform(map_batches, cut, chunk_schema).repartition("sb_row", "sb_k").transform(map_batches, pre_tokenise, bound_schema)
     text_order = Window.partitionBy("sb_row").orderBy("sb_k")
     stitch = F.array_min(F.array_intersect(F.lag("sb_tail").over(text_order), "sb_head"))
     cuts = chunks.withColumn("sb_cut", F.when(F.col("sb_k") == 0, F.lit(0)).otherwise(stitch))
@@ -148,7 +149,7 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(raw, pa.binary())], names=schema.names)
             pa.default_memory_pool().release_unused()
 
-    return df.mapInArrow(run, schema)
+    return df.transform(map_batches, run, schema)
 
 
 def digests(df: DataFrame, ids: str = "ids", decoded: str = "decoded") -> DataFrame:

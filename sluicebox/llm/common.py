@@ -5,11 +5,16 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+#: Bytes of an Arrow batch that goes to a Python worker.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +59,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """df.mapInArrow with batches of BATCH_BYTES.
+
+    Rows are whole texts: a batch of Spark's default number of rows is held by the
+    JVM and by the Python worker of each task at once.  The setting is the session's
+    and stays, as the result is computed later.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
 def crc32_fold(id_column: str, folds: int, fold: int):
     """Whether a row is in the given fold by crc32 of its id as text; a null id counts as the text "null"."""
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("null")).cast("binary")) % folds == fold

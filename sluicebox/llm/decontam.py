@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vectext as V
-from .common import materialize
+from .common import map_batches, materialize
 
 WINDOW_WORDS = 10
 SHINGLE_WORDS = 5
@@ -64,7 +64,7 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(texts, pa.binary())], names=["item_id", "window_bytes"])
 
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null")
-    return rows.mapInArrow(run, "item_id string, window_bytes binary").distinct()
+    return rows.transform(map_batches, run, "item_id string, window_bytes binary").distinct()
 
 
 class Block:
@@ -154,7 +154,7 @@ def shingle_counts(docs: DataFrame, block: Block, text: str) -> dict[tuple[int,
             some = np.flatnonzero(total[n])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), n, np.int32)), pa.array(k[some].view(np.int64)), pa.array(total[n][some])], names=["n", "h", "c"])
 
-    counted = docs.select(text).mapInArrow(run, "n int, h long, c long").groupBy("n", "h").agg(F.sum("c").alias("c"))
+    counted = docs.select(text).transform(map_batches, run, "n int, h long, c long").groupBy("n", "h").agg(F.sum("c").alias("c"))
     return {(r["n"], r["h"] & ((1 << 64) - 1)): r["c"] for r in counted.toLocalIterator()}
 
 
@@ -212,7 +212,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", kee
                     cols = [part.column(c) for c in keep] + [pa.array(n_words), pa.array(n_hit), pa.array([len(x) for x in items], pa.int64()), pa.array([_digest(x) for x in items], pa.string()), pa.array(n_hit > 0)]
                     yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-        return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+        return docs.select(*dict.fromkeys([*keep, text])).transform(map_batches, run, schema)
     return _by_blocks(docs, text, keep, done[0], following, blocks)
 
 
@@ -237,7 +237,7 @@ def _by_blocks(docs: DataFrame, text: str, keep: list[str], block: Block, follow
                     yield pa.RecordBatch.from_arrays([part.column("sb_text_digest").take(pa.array(some, pa.int64())), pa.array([hit[i].tolist() for i in some], pa.list_(pa.int64())), pa.array([sorted(items[i]) for i in some], pa.list_(pa.string()))], names=["sb_text_digest", "sb_hit", "sb_items"])
 
         # Copies of a text have the same hits, so each text's are kept once.
-        part = materialize(texts.mapInArrow(run, "sb_text_digest string, sb_hit array<bigint>, sb_items array<string>").groupBy("sb_text_digest").agg(F.first("sb_hit").alias("sb_hit"), F.first("sb_items").alias("sb_items")), "hits")
+        part = materialize(texts.transform(map_batches, run, "sb_text_digest string, sb_hit array<bigint>, sb_items array<string>").groupBy("sb_text_digest").agg(F.first("sb_hit").alias("sb_hit"), F.first("sb_items").alias("sb_items")), "hits")
         found = part if found is None else found.unionByName(part)
         block = _ready(docs, following, text) if following is not None else None
         following = next(blocks, None)
@@ -258,4 +258,4 @@ def contamination_words(docs: DataFrame, text: str) -> DataFrame:
                 first = words_of(part.column(text))[3]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.diff(first))], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(map_batches, run, schema)

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vectext as V
+from .common import map_batches
 
 #: Buckets of the trigrams; single bytes and pairs have one each.
 TRIGRAM_BITS = 18
@@ -123,7 +124,7 @@ def train(docs: DataFrame, chosen: Column, text: str = "text", lang: str = "lang
             yield _counts(k, some, total[k][some])
             yield _counts(k, -1 - np.arange(len(SCRIPTS)), used[k])
 
-    merged = rows.mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    merged = rows.transform(map_batches, count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     k, bucket, n = (merged.column(c).to_numpy() for c in ("lang", "bucket", "n"))
     counts, used = np.zeros((len(languages), DIMENSIONS)), np.zeros((len(languages), len(SCRIPTS)))
     counts[k[bucket >= 0], bucket[bucket >= 0]] = n[bucket >= 0]
@@ -240,7 +241,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", spans: bool = Fa
                     cols.append(pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))))
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), *cols], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(map_batches, run, schema)
 
 
 def predict(part: pa.RecordBatch, text: str, model: Model, spans: bool = False) -> tuple[list[str], np.ndarray, list]:

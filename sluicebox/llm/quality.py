@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vectext as V
+from .common import map_batches
 
 TRAINING_ROWS = 8000
 BUCKET_BITS = 18
@@ -161,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, chosen: Column, label: str = "qual
     picked = F.broadcast(sample(labels, chosen, label, rows))
     joined = docs.select("doc_id", F.col(text).alias("sb_text")).join(picked, "doc_id").select(F.md5(F.col("doc_id").cast("string").cast("binary")).alias("sb_key"), "sb_y", "sb_text")
     # Repeated rows of an id could pass the bound: one row for each id.
-    found = joined.mapInArrow(extract, "k string, y int, f array<int>").groupBy("k").agg(F.max("y").alias("y"), F.max("f").alias("f")).toArrow().sort_by("k")
+    found = joined.transform(map_batches, extract, "k string, y int, f array<int>").groupBy("k").agg(F.max("y").alias("y"), F.max("f").alias("f")).toArrow().sort_by("k")
     y = np.where(found.column("y").to_numpy() > 0, 1, -1)
     lists = found.column("f").combine_chunks()
     flat, cut = lists.flatten().to_numpy(), np.asarray(lists.offsets) - np.asarray(lists.offsets)[0]
@@ -181,4 +182,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
                 s = shared.value.score(part.column(text))
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(map_batches, run, schema)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vectext as V
-from .common import materialize
+from .common import map_batches, materialize
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -83,7 +83,7 @@ def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", out: str
                 prints = [fingerprint(t) for t in part.column("sb_text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(prints, pa.int64())], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.transform(map_batches, run, schema)
 
 
 def links(distinct: DataFrame) -> DataFrame:

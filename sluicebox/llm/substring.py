@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vectext as V
-from .common import materialize, shuffle_cleanup, text_key
+from .common import map_batches, materialize, shuffle_cleanup, text_key
 
 WINDOW_WORDS = 35
 GRAM_WORDS = 8
@@ -122,7 +122,7 @@ class FingerprintIndex:
                     base = first[row]
                     yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(ctx), part.column("sb_key").take(at), part.column("sb_tk").take(at), pa.array((a - base).astype(np.int32)), pa.array((b - base).astype(np.int32))], names=schema.names)
 
-        return rows.mapInArrow(run, schema)
+        return rows.transform(map_batches, run, schema)
 
     def ingest(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         """Add a batch as a run; the fingerprints (fp) that it repeats, within itself or from earlier runs."""
@@ -192,7 +192,7 @@ def _window_digests(docs: DataFrame, wanted: DataFrame, key: str, text: str, win
                 index = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(opens, pa.bool_()), part.column("sb_key").take(index), part.column("sb_tk").take(index), pa.array(at, pa.int32())], names=schema.names)
 
-    return joined.mapInArrow(run, schema)
+    return joined.transform(map_batches, run, schema)
 
 
 def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW_WORDS, batches: int = 2, index: FingerprintIndex | None = None) -> DataFrame:
@@ -258,7 +258,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
                 else:
                     yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(n_words), pa.array(n_removed), pa.array(texts, pa.binary()).cast(pa.string())], names=schema.names)
 
-    return joined.mapInArrow(run, schema)
+    return joined.transform(map_batches, run, schema)
 
 
 def _left(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, gone: np.ndarray) -> tuple[bytes, list[tuple[int, int]]]:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from . import vectext as V
-from .common import shuffle_cleanup
+from .common import map_batches, shuffle_cleanup
 from .segments import SEGMENT_SLICE_BYTES, SegmentMemo, byte_level_memo, word_piece_memo
 
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens long"
@@ -73,7 +73,7 @@ def _first_texts(df: DataFrame) -> DataFrame:
                     seen.add(d)
             yield batch.filter(pa.array(mask, pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.transform(map_batches, run, df.schema)
 
 
 def _encode_distinct(df: DataFrame, path: str, version: str) -> DataFrame:
@@ -91,7 +91,7 @@ def _encode_distinct(df: DataFrame, path: str, version: str) -> DataFrame:
                 _, offsets = coder.encode(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("content_digest"), pa.array([version] * part.num_rows), pa.array(np.diff(offsets))], names=["content_digest", "tokenizer_digest", "n_tokens"])
 
-    return df.mapInArrow(run, CACHE_SCHEMA)
+    return df.transform(map_batches, run, CACHE_SCHEMA)
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, text: str = "text", limit: int = 4096) -> DataFrame:
