@@ -38,6 +38,8 @@ from .segments import SEGMENT_SLICE_BYTES, SegmentMemo, byte_level_memo
 BLOCK_IDS = 1 << 16
 END_ID = 0
 ZSTD_LEVEL = 3
+#: Segments a worker remembers: this job holds no other model, so more than the common number fit.
+REMEMBERED = 400_000
 
 
 @lru_cache(maxsize=4)
@@ -46,7 +48,7 @@ def memo(path: str) -> SegmentMemo:
     tok = Tokenizer.from_file(path)
     tok.no_truncation()
     tok.no_padding()
-    return byte_level_memo(tok)
+    return byte_level_memo(tok, REMEMBERED)
 
 
 def to_planes(ids: np.ndarray, kind: str = "byte") -> list[bytes]:

@@ -43,11 +43,12 @@ class SegmentMemo:
     """Encodes texts through a memo of segments.
 
     encode_many: texts to id sequences; id_bytes: how many bytes of text each id
-    stands for; own_space: the tokenizer itself puts a space before a text.
+    stands for; own_space: the tokenizer itself puts a space before a text;
+    remember: segments kept before those that have not come up again are dropped.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], Sequence[Sequence[int]]], id_bytes: np.ndarray, own_space: bool = False):
-        self.encode_many, self.id_bytes, self.own_space = encode_many, id_bytes, own_space
+    def __init__(self, encode_many: Callable[[list[str]], Sequence[Sequence[int]]], id_bytes: np.ndarray, own_space: bool = False, remember: int = MEMO_SEGMENTS):
+        self.encode_many, self.id_bytes, self.own_space, self.remember = encode_many, id_bytes, own_space, remember
         self.known: dict[str, int] = {}
         self.start = np.zeros(1 << 14, np.int64)
         self.count = np.zeros(1 << 14, np.int64)
@@ -58,7 +59,7 @@ class SegmentMemo:
     def _forget(self) -> None:
         """Keep the segments that came up in several slices since the last time."""
         kept = [(s, r) for s, r in self.known.items() if self.uses[r] > 1]
-        if len(kept) > MEMO_SEGMENTS // 2:
+        if len(kept) > self.remember // 2:
             kept = []
         rows = np.fromiter((r for _, r in kept), np.int64, len(kept))
         counts = self.count[rows]
@@ -116,7 +117,7 @@ class SegmentMemo:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of each text in them); null is the empty text."""
-        if len(self.known) > MEMO_SEGMENTS:
+        if len(self.known) > self.remember:
             self._forget()
         arr = V.as_text(texts)
         parts = pc.split_pattern(arr, " ")
@@ -161,12 +162,12 @@ class SegmentMemo:
         return ids, np.concatenate([[0], np.cumsum(per_doc)])
 
 
-def byte_level_memo(tokenizer) -> SegmentMemo:
+def byte_level_memo(tokenizer, remember: int = MEMO_SEGMENTS) -> SegmentMemo:
     """Memo over a tokenizer of the tokenizers library: a byte-level token has a character for each of its bytes."""
     size = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True), np.int64)
     for token, i in tokenizer.get_vocab(with_added_tokens=True).items():
         size[i] = len(token)
-    return SegmentMemo(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], size)
+    return SegmentMemo(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], size, remember=remember)
 
 
 def word_piece_memo(model) -> SegmentMemo:
