@@ -51,20 +51,26 @@ def _signed(x: int) -> int:
     return (x + (1 << 63)) % (1 << 64) - (1 << 63)
 
 
-def fingerprint(text: str | None, size: int = SHINGLE_WORDS) -> int:
-    """The SimHash of a text as a signed 64-bit integer."""
+def shingle_hashes(text: str | None, size: int) -> list[int]:
+    """The 64-bit hash of each shingle of lower-cased words; a shorter text is one shingle."""
     words = (text or "").encode().translate(_LOWER).split()
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
     if len(words) <= size:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        ends = np.cumsum(lengths) - 1
-        starts = (ends - lengths + 1)[: len(words) - size + 1]
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[size - 1 :].tolist(), strict=True)]
+        return [xxhash.xxh64_intdigest(joined, SEED)]
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    ends = np.cumsum(lengths) - 1
+    starts = (ends - lengths + 1)[: len(words) - size + 1]
+    digest = xxhash.xxh64_intdigest
+    return [digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[size - 1 :].tolist(), strict=True)]
+
+
+def fingerprint(text: str | None, size: int = SHINGLE_WORDS) -> int:
+    """The SimHash of a text as a signed 64-bit integer."""
+    hashes = shingle_hashes(text, size)
+    if not hashes:
+        return 0
     total, n = np.zeros(64, np.int64), len(hashes)
     for at in range(0, n, 1 << 16):
         part = np.array(hashes[at : at + (1 << 16)], dtype="<u8")
@@ -72,7 +78,7 @@ def fingerprint(text: str | None, size: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(total * 2 > n, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", out: str = "sb_fp") -> DataFrame:
+def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", out: str = "sb_fp", size: int = SHINGLE_WORDS) -> DataFrame:
     """The columns to keep and the fingerprint (signed) of each row."""
     rows = docs.select(*[F.col(c) for c in keep], F.col(text).alias("sb_text"))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField(out, T.LongType())])
@@ -80,7 +86,7 @@ def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", out: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in V.slices(batch, "sb_text"):
-                prints = [fingerprint(t) for t in part.column("sb_text").to_pylist()]
+                prints = [fingerprint(t, size) for t in part.column("sb_text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(prints, pa.int64())], names=schema.names)
 
     return rows.transform(map_batches, run, schema)
@@ -124,10 +130,10 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def classes(prints: DataFrame, key: str) -> DataFrame:
+def classes(prints: DataFrame, key: str, edges: DataFrame | None = None) -> DataFrame:
     """(fp, component_id) for each distinct sb_fp of prints; the id is the smallest key in the component."""
     known = materialize(prints.groupBy(F.col("sb_fp").alias("fp")).agg(F.min(key).alias("least")), "classes")
-    roots = components(links(known.select("fp")))
+    roots = components(links(known.select("fp")) if edges is None else edges)
     rooted = known.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return materialize(rooted.join(smallest, "root").select("fp", "component_id"), "components")
@@ -141,12 +147,24 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     return joined.select(key, F.lower(F.lpad(F.hex("sb_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs with one row of each component: the one of the smallest id (of equal ids, the smallest text digest)."""
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE_WORDS, similarity: float | None = None) -> DataFrame:
+    """docs with one row of each component: the one of the smallest id (of equal ids, the smallest text digest).
+
+    Links are fingerprints within MAX_DISTANCE; with a similarity, shingle sets
+    of at least that Jaccard similarity.
+    """
     columns = docs.columns
     digest = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    prints = materialize(fingerprints(docs.withColumn("sb_digest", digest), [key, "sb_digest"], text), "prints")
-    of = classes(prints, key)
+    if similarity is None:
+        prints = materialize(fingerprints(docs.withColumn("sb_digest", digest), [key, "sb_digest"], text, size=size), "prints")
+        edges = None
+    else:
+        from . import jaccard
+
+        digested = docs.withColumn("sb_digest", digest)
+        prints = materialize(jaccard.signatures(digested, [key, "sb_digest"], size, text), "prints")
+        edges = jaccard.links(prints, digested, [key, "sb_digest"], size, similarity, text)
+    of = classes(prints, key, edges)
     joined = prints.join(of, prints["sb_fp"] == of["fp"])
     chosen = joined.groupBy("component_id", "fp").agg(F.min(F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("sb_digest").alias("d"))).alias("first"))
     chosen = chosen.groupBy("component_id").agg(F.min("first").alias("first")).select(F.col("first.k").alias("sb_key"), F.col("first.d").alias("sb_kept"))

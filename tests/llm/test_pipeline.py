@@ -53,3 +53,24 @@ def test_run_of_an_empty_table(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(f"file://{tmp_path}/documents.parquet")
     spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"file://{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
+
+
+def test_near_copies_with_several_edits(spark, tmp_path):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    sets = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    rows, pairs = [], []
+    for i in range(60):
+        words = [word() for _ in range(300)]
+        other = list(words)
+        for at in range(0, 300, 50 if i % 2 else 12):  # six edits or twenty-five
+            other[at + 5] = word()
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+        pairs.append(len(sets(rows[-1][1]) & sets(rows[-2][1])) / len(sets(rows[-1][1]) | sets(rows[-2][1])))
+    assert {p >= 0.8 for p in pairs} == {True, False}
+    # A list of more than PAIRED_LIST copies of one text, each with one word of its own.
+    base = [word() for _ in range(200)]
+    rows += [(1000 + i, " ".join([*base[:i], word(), *base[i + 1 :]])) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {x["doc_id"] for x in corpus_pipeline.near_duplicate_stage(spark, docs, str(tmp_path)).collect()}
+    assert left == {2 * i for i in range(60)} | {2 * i + 1 for i, p in enumerate(pairs) if p < 0.8} | {1000}
