@@ -7,7 +7,7 @@ import pytest
 
 import corpus_pipeline
 from sluicebox.llm import bpe
-from sluicebox.llm.queries import tokenizer
+from sluicebox.llm.queries import op6_language, tokenizer
 
 
 @pytest.fixture(scope="module")
@@ -74,3 +74,26 @@ def test_near_copies_with_several_edits(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     left = {x["doc_id"] for x in corpus_pipeline.near_duplicate_stage(spark, docs, str(tmp_path)).collect()}
     assert left == {2 * i for i in range(60)} | {2 * i + 1 for i, p in enumerate(pairs) if p < 0.8} | {1000}
+
+
+def test_texts_of_unlearnt_languages_go(spark, tmp_path):
+    r = random.Random(6)
+    vocab = {
+        "en": "the and with thing which house they would there people about river stone".split(),
+        "fr": "les une dans pour maison beaucoup leurs toujours quand jardin fleuve pierre".split(),
+        "de": "und der nicht häuser schön immer wieder zwischen garten fluss stein werden".split(),
+        "fi": "kyllä hyvää päivää metsässä järvellä talossa kaikki yksinkertainen käytännössä".split(),
+        "ru": "это дом который быть если когда только".split(),
+    }
+    text = lambda k, n: " ".join(r.choice(vocab[k]) for _ in range(n))
+    rows = [(i, text(k, 40), k) for i, k in enumerate(["en", "fr", "de"] * 40)]
+    junk = " ".join("".join(r.choice("qxzjkvwbgp") for _ in range(7)) for _ in range(40))
+    foreign = [(200, text("ru", 30), None), (201, "这是一个没有学过的语言", None), (202, text("fi", 40), None), (203, junk, None), (204, text("en", 10) + " " + text("ru", 40), None)]
+    # No language has half the letters, but all letters are in learnt languages.
+    clean = [(300, " ".join(text(k, 20) for k in ("en", "fr", "de")), None), (301, text("en", 40) + " " + text("ru", 8), None), (302, "the house", None)]
+    docs = spark.createDataFrame(rows + foreign + clean, "doc_id long, text string, lang string")
+    left = {x["doc_id"] for x in corpus_pipeline.language_stage(spark, docs, str(tmp_path)).collect()}
+    assert left == {d for d, _, _ in rows + clean}
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    score = {x["doc_id"]: x["score"] for x in op6_language(spark, f"file://{tmp_path}").collect()}
+    assert all(score[d] < 0.5 for d, _, _ in foreign) and 0.25 < score[300] < 0.5 and 0.5 < score[301] < 0.95 and score[0] == 1
