@@ -5,7 +5,7 @@ bucket, only buckets over the byte limit split, each on its next bit, until all
 fit.  Row sizes are summed by hash prefix before anything else, so a round works
 on a few sums per bucket, never on rows; rows meet the finished directory in one
 join.  A bucket whose rows share all hash bits (rows of one id) cannot be split by bits;
-it gets overflow pages instead, filled in order of the rows' content.
+it gets overflow pages instead, each of rows of like size so that none passes the limit.
 
 Defined results: null and empty texts have size 0; a single row over the limit
 is a page of its own; repeated rows are placed each for itself; an empty table
@@ -24,6 +24,10 @@ HASH_BITS = 60
 #: Bits that one round of splitting looks at.
 ROUND_BITS = 10
 MAX_SHARD_BYTES = 8 << 20
+#: Up to so many rows a page, overflow pages are told apart by every number of rows.
+PAGE_ROWS = 16
+#: Overflow pages that are filled by one task, about.
+PART_PAGES = 64
 
 
 def hash_of(key: str) -> Column:
@@ -64,6 +68,28 @@ def directory(sized: DataFrame, limit: int) -> DataFrame:
     return out
 
 
+def pages(rows: DataFrame, limit: int) -> DataFrame:
+    """rows of buckets over the limit with page (from 0 in each bucket) and shard_bytes; a page fits the limit or is one row.
+
+    Rows of like size share pages: n rows a page, of limit / n bytes at most each.
+    A large bucket is dealt out by its rows' content first, so that no task gets all of it.
+    """
+    size = F.greatest("sb_bytes", F.lit(1))
+    rows = rows.withColumn("sb_n", F.greatest(F.floor(F.lit(limit) / size), F.lit(1)).cast("long"))
+    # From PAGE_ROWS on powers of two, so that there are few kinds of pages.
+    rows = rows.withColumn("sb_n", F.when(F.col("sb_n") <= PAGE_ROWS, F.col("sb_n")).otherwise(F.expr("shiftleft(1L, length(bin(sb_n)) - 1)")))
+    rows = rows.withColumn("sb_part", F.pmod(F.xxhash64("sb_digest"), F.floor(F.col("bytes") / F.lit(PART_PAGES * limit)) + 1))
+    group = ["prefix", "sb_part", "sb_n"]
+    place = F.row_number().over(Window.partitionBy(*group).orderBy("sb_digest", "sb_key")) - 1
+    rows = materialize(rows.withColumn("sb_page", F.floor(place / F.col("sb_n")).cast("long")), "pages")
+    filled = rows.groupBy(*group, "sb_page").agg(F.sum("sb_bytes").alias("shard_bytes"))
+    # Pages are numbered through a bucket: a few sums for each.
+    before = Window.partitionBy("prefix").orderBy("sb_part", "sb_n").rowsBetween(Window.unboundedPreceding, -1)
+    counts = filled.groupBy(*group).agg(F.count(F.lit(1)).alias("sb_pages")).withColumn("sb_before", F.coalesce(F.sum("sb_pages").over(before), F.lit(0))).drop("sb_pages")
+    filled = filled.join(counts, group)
+    return rows.join(filled, [*group, "sb_page"]).withColumn("page", F.col("sb_before") + F.col("sb_page"))
+
+
 def assign(docs: DataFrame, limit: int = MAX_SHARD_BYTES, key: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """doc_id (and the columns to carry), n_bytes, shard (bucket bits, colon, page), shard_bits and shard_bytes of each row."""
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
@@ -76,11 +102,8 @@ def assign(docs: DataFrame, limit: int = MAX_SHARD_BYTES, key: str = "doc_id", t
         depths = [0]
     probes = F.array(*[F.struct(F.lit(d).alias("bits"), _prefix("sb_hash", d).alias("prefix")) for d in sorted(depths)])
     hit = rows.select("*", F.explode(probes).alias("at")).select(*carry, "sb_key", "sb_hash", "sb_bytes", "sb_digest", "at.bits", "at.prefix").join(buckets, ["bits", "prefix"])
-    # Overflow pages: whole rows, in order, a new page where the running sum passes a multiple of the limit.
-    order = Window.partitionBy("prefix").orderBy("sb_digest", "sb_key").rowsBetween(Window.unboundedPreceding, -1)
     plain = hit.where(F.col("bytes") <= limit).select("*", F.lit(0).cast("long").alias("page"), F.col("bytes").alias("shard_bytes"))
-    paged = hit.where(F.col("bytes") > limit).withColumn("page", F.floor(F.coalesce(F.sum(F.greatest("sb_bytes", F.lit(1))).over(order), F.lit(0)) / F.lit(limit)).cast("long"))
-    paged = paged.withColumn("shard_bytes", F.sum("sb_bytes").over(Window.partitionBy("prefix", "page")))
+    paged = pages(hit.where(F.col("bytes") > limit), limit)
     placed = plain.unionByName(paged.select(*plain.columns))
     shard = F.concat(F.when(F.col("bits") == 0, F.lit("")).otherwise(F.lpad(F.conv(F.col("prefix").cast("string"), 10, 2), F.col("bits"), F.lit("0"))), F.lit(":"), F.col("page"))
     return placed.select(*carry, F.col("sb_key").alias(key), F.col("sb_bytes").alias("n_bytes"), shard.alias("shard"), F.col("bits").cast("int").alias("shard_bits"), "shard_bytes")

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import defaultdict
 
 import brute
 import pytest
@@ -182,6 +183,23 @@ def test_shards_of_one_id_get_pages(spark, tmp_path):
     assert sharding.assign(frame(spark, [])).count() == 0
 
 
+def test_overflow_pages_fit_the_limit(spark):
+    r = random.Random(4)
+    sizes = [101] * 10 + [60, 100, 50, 80, 401, 0, 1, 349, 350, 351, 900] + [r.randrange(400) for _ in range(150)]
+    rows = [(d, "x" * n) for d in (7, None) for n in sizes]
+    out = sharding.assign(frame(spark, rows), 350).collect()
+    pages = defaultdict(list)
+    for x in out:
+        pages[x["shard"]].append(x)
+    assert sorted((str(x["doc_id"]), x["n_bytes"]) for x in out) == sorted((str(d), len(t)) for d, t in rows)
+    for shard in pages.values():
+        total = sum(x["n_bytes"] for x in shard)
+        assert {x["shard_bytes"] for x in shard} == {total} and (total <= 350 or len(shard) == 1)
+    # Pages of one id are numbered from 0 and, but for the last of a kind, at least half full.
+    own = sorted({int(x["shard"].split(":")[1]) for x in out if x["doc_id"] == 7})
+    assert own == list(range(len(own))) and len(own) < 2 * sum(sizes) / 350 + 20
+
+
 def test_language(spark):
     r = random.Random(3)
     vocab = {"en": ["the", "and", "with", "thing", "which", "house"], "de": ["und", "der", "nicht", "über", "häuser", "schön"], "ru": ["это", "дом", "который", "быть"]}
