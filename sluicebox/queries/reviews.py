@@ -92,7 +92,7 @@ def scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when((F.col("role") == "system") | (t % 4 == 2), "poll").otherwise("decision").alias("event"),
         F.when(F.col("role") == "user", "web").otherwise("terminal").alias("source"),
         F.when(t % 5 == 3, 5).otherwise((t % 5).cast("int")).alias("code"),
-        F.when(t % 2 == 0, "").otherwise(F.substring("text", 1, 20)).alias("message"),
+        F.when(t % 2 == 0, "").otherwise(F.col("text")).alias("message"),
         (F.col("conv_id") % 3 == 0).alias("start_complete"),
         (F.col("conv_id") % 2 == 0).alias("precommit"),
         (t % 7 == 0).alias("push"),

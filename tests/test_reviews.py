@@ -222,6 +222,16 @@ def test_decisions(spark):
     assert why == ["empty-web-message", "invalid-phase", "accepted"]
 
 
+def test_decision_messages_are_whole(spark, tmp_path):
+    from sluicebox.queries import reviews
+
+    text = "a message of more than twenty characters " * 9
+    spark.createDataFrame([(6, 5, "user", text)], "conv_id long, turn int, role string, text string").write.parquet(f"file://{tmp_path}/conversations.parquet")
+    row = reviews.decision_messages(spark, f"file://{tmp_path}").first()
+    assert row["final_message"] == row["override"] == text
+    assert reviews.decision_first_valid(spark, f"file://{tmp_path}").first()["outcome"] == "accepted"
+
+
 def test_decisions_as_a_stream(spark, tmp_path):
     rows = spark.createDataFrame(scenario_rows(), SCENARIO)
     rows.write.parquet(f"file://{tmp_path}/in")
