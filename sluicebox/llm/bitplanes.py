@@ -131,7 +131,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str, text: str = "text
             yield pa.RecordBatch.from_pylist(rows, schema=names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").withColumn("sb_tie", F.xxhash64("text")).sortWithinPartitions("doc_id", "sb_tie").select("doc_id", "text")
+    ordered = rows.withColumn("sb_tie", F.xxhash64("text")).repartitionByRange("doc_id", "sb_tie").sortWithinPartitions("doc_id", "sb_tie").select("doc_id", "text")
     with shuffle_cleanup(docs.sparkSession):
         ordered.transform(map_batches, run, BLOCK_SCHEMA).write.option("compression", "none").parquet(path)
 

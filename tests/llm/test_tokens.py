@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 import sentencepiece
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -121,3 +122,16 @@ def test_ids_of_an_empty_table_and_of_repeated_rows(spark, tmp_path):
     assert [r[1] for r in rows] == [None, 1, 1, 1] and sum(r[2] for r in rows) == 2 + 2 + 3 + 2
 
 
+
+
+def test_rows_of_one_id_are_written_by_several_tasks(spark, tmp_path):
+    path, out, key = P.path("byte_bpe_50k.json"), f"file://{tmp_path}/hot", "spark.sql.adaptive.coalescePartitions.enabled"
+    docs = spark.range(400).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    spark.conf.set(key, "false")
+    try:
+        bitplanes.write_ids(docs, path, out)
+    finally:
+        spark.conf.unset(key)
+    assert spark.read.parquet(out).select("part").distinct().count() > 1
+    rows = bitplanes.read_ids(spark, out).collect()
+    assert len(rows) == 400 and len({r["start"] for r in rows}) == 400 and {r["doc_id"] for r in rows} == {7}
