@@ -1,23 +1,31 @@
 """Byte-level BPE encoding and decoding by overlapping chunks.
 
-Long texts are cut into chunks that overlap.  Every chunk is pre-tokenised from
-its own first character, in parallel; the boundaries found there may be wrong
-near its start.  The pre-tokenising pattern looks only forward, so two chunks
-that have one boundary in common agree on all that follows: the first common
-boundary in the overlap is where they are stitched, and each chunk encodes the
-pieces from its own stitch to the next chunk's.  Texts of one chunk need no
-stitch.  A text with an overlap that holds no common boundary (one pre-token
-longer than the overlap) is encoded from one row, whole.
+Every text is cut into chunks that overlap.  A chunk is pre-tokenised from its
+own first character; the boundaries found there may be wrong near its start, and
+near its end where a pre-token's extent hangs on what follows.  The
+pre-tokenising pattern looks only forward, so two chunks that have one boundary
+in common agree on all that follows: the first common boundary in the overlap is
+where they are stitched.  Where an overlap holds none (a long run of one kind of
+character), the failed stretch alone is cut again, twice as long, until it
+resynchronises.  The stitched pieces are encoded through a bounded memo of
+pre-tokens.
+
+A text of up to BLOCK_CHARS is chunked and stitched by the task that holds it.
+Longer texts are cut into blocks of that size first, which overlap likewise and
+are dealt out over the tasks; their stitches are found by Spark over the blocks'
+boundaries, and blocks that fail are merged two by two and dealt out again.
 
 Defined results: null and empty texts have no ids; repeated rows are encoded
-each for itself; other columns are kept and never looked at; an empty table
-gives an empty table.
+each for itself; other columns are kept and never looked at, but for those that
+have an output's name, which the output replaces; an empty table gives an empty
+table.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -29,11 +37,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vectext as V
-from .common import map_batches
-from .segments import SEGMENT_SLICE_BYTES, SegmentMemo
-
-CHUNK_CHARS = 64 << 10
-OVERLAP_CHARS = 2 << 10
+from .common import joined_binary, map_batches, materialize
+
+CHUNK_CHARS = 1024
+OVERLAP_CHARS = 128
+#: Longer texts are dealt out in blocks.
+BLOCK_CHARS = 64 << 10
+BLOCK_OVERLAP_CHARS = 2 << 10
+#: How many of a chunk's last pre-tokens may hang on what follows the chunk.
+OPEN_TOKENS = 8
+#: Pre-tokens in each of a worker's two generations; the older one is dropped when the younger is full.
+REMEMBERED = 60_000
+#: Longer pre-tokens are encoded each time.
+REMEMBERED_CHARS = 64
+SLICE_BYTES = 1 << 20
 #: The Unicode white space that the tokenizer's \s stands for (fixed values).
 WHITE_SPACE = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -53,17 +70,131 @@ def token_bytes(ranks_path: str) -> list[bytes]:
     return [ranks.get(i, b"") for i in range(max(ranks) + 1)]
 
 
+def _ranges(chars: set[str]) -> str:
+    """A set of characters as the inside of a character class."""
+    points = np.array(sorted(map(ord, chars)))
+    begin = np.flatnonzero(np.diff(points, prepend=-2) > 1)
+    stop = np.append(begin[1:], len(points)) - 1
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(points[begin], points[stop], strict=True))
+
+
 @lru_cache(maxsize=4)
-def memo(ranks_path: str, pattern: str) -> SegmentMemo:
-    encode = encoding(ranks_path, pattern).encode_ordinary
-    return SegmentMemo(lambda texts: [encode(t) for t in texts], np.array([len(b) for b in token_bytes(ranks_path)], np.int64))
+def newer_characters() -> tuple[str, str]:
+    """Letters and numbers, as insides of classes, that ``regex`` knows and the tokenizer's older Unicode tables don't."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    single = {bytes([i]): i for i in range(256)}
+    out = []
+    for kind in (r"\p{L}", r"\p{N}"):
+        own = regex.findall(kind, every)
+        table = tiktoken.Encoding("table", pat_str=kind, mergeable_ranks=single, special_tokens={})
+        out.append(_ranges(set(own) - set(bytes(table.encode_ordinary("".join(own))).decode())))
+    return out[0], out[1]
+
+
+class PreTokenizer:
+    """Pre-tokens of a text by the tokenizer's pattern, with the tokenizer's own tables of characters."""
+
+    def __init__(self, pattern: str, newer: tuple[str, str]):
+        spelled = pattern.replace(r"[^\s", f"[^{WHITE_SPACE}").replace(r"\s", f"[{WHITE_SPACE}]").replace(r"\S", f"[^{WHITE_SPACE}]")
+        self.usual = regex.compile(spelled).findall
+        known = any(newer)
+        self.doubtful = regex.compile(f"[{newer[0]}{newer[1]}]").search if known else None
+        if known:
+            for kind, ranges in zip((r"\p{L}", r"\p{N}"), newer, strict=True):
+                spelled = spelled.replace(kind, f"[{kind}--[{ranges}]]" if ranges else kind)
+            self.exact = regex.compile(f"(?V1){spelled}").findall
+
+    def __call__(self, text: str) -> list[str]:
+        if self.doubtful is not None and not text.isascii() and self.doubtful(text):
+            return self.exact(text)
+        return self.usual(text)
 
 
-def boundaries(pattern: str, text: str) -> list[int]:
-    """Ends of the pre-tokens of ``text`` that the end of ``text`` cannot change."""
-    spelled = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE_SPACE}").replace(r"\s", f"[{WHITE_SPACE}]").replace(r"\S", f"[^{WHITE_SPACE}]"))
-    ends = [m.end() for m in spelled.finditer(text)]
-    return [e for e in ends if e < len(text)]
+@lru_cache(maxsize=4)
+def pre_tokenizer(pattern: str, newer: tuple[str, str]) -> PreTokenizer:
+    return PreTokenizer(pattern, newer)
+
+
+def sure_ends(tokens: list[str], end: int) -> list[tuple[int, int]]:
+    """(end, how many pre-tokens end there or before), from the last, of those that what follows the chunk cannot change."""
+    out = []
+    for i in range(len(tokens) - 1, 0, -1):
+        end -= len(tokens[i])
+        if len(tokens) - i >= OPEN_TOKENS:
+            out.append((end, i))
+    return out
+
+
+def stitched(text: str, split: Callable[[str], list[str]], size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> list[str]:
+    """The pre-tokens of a text from chunks of ``size`` characters and an overlap."""
+    out: list[str] = []
+    begin, stop = 0, min(len(text), size + overlap)
+    tokens = split(text[:stop])
+    while stop < len(text):
+        at = stop - overlap
+        more_stop = min(len(text), stop + size)
+        more = split(text[at:more_stop])
+        ends = sure_ends(tokens, stop)
+        sure = dict(ends)
+        common, j, head = None, 0, at
+        for j, token in enumerate(more, 1):
+            head += len(token)
+            if head >= stop:
+                break
+            if head in sure:
+                common = head
+                break
+        if common is not None:
+            out += tokens[: sure[common]]
+            begin, tokens = common, more[j:]
+        else:
+            # Only what follows the last sure boundary is cut again, and twice as far.
+            last, i = ends[0] if ends else (begin, 0)
+            out += tokens[:i]
+            more_stop = min(len(text), max(more_stop, 2 * stop - last))
+            begin, tokens = last, split(text[last:more_stop])
+        stop = more_stop
+    return out + tokens
+
+
+class Coder:
+    """Encodes texts by stitched chunks, through a memo of pre-tokens."""
+
+    def __init__(self, ranks_path: str, pattern: str, newer: tuple[str, str], size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS):
+        self.piece = encoding(ranks_path, pattern)._encode_single_piece
+        self.split, self.size, self.overlap = pre_tokenizer(pattern, newer), size, overlap
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def ids_of(self, token: str) -> bytes:
+        """A pre-token's ids as little-endian unsigned 32-bit integers."""
+        got = self.young.get(token)
+        if got is None:
+            got = self.old.get(token)
+            if got is None:
+                ids = self.piece(token)
+                got = struct.pack(f"<{len(ids)}I", *ids)
+            if len(token) <= REMEMBERED_CHARS:
+                if len(self.young) >= REMEMBERED:
+                    self.old, self.young = self.young, {}
+                self.young[token] = got
+        return got
+
+    def one(self, text: str) -> bytes:
+        tokens = stitched(text, self.split, self.size, self.overlap)
+        known = self.young.get
+        return b"".join([known(t) or self.ids_of(t) for t in tokens])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, offsets of each text in them); null is the empty text."""
+        raw = [self.one(t) if t else b"" for t in texts.to_pylist()]
+        lengths = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        return np.frombuffer(b"".join(raw), "<u4"), np.concatenate([[0], np.cumsum(lengths)])
+
+
+@lru_cache(maxsize=4)
+def memo(ranks_path: str, pattern: str, newer: tuple[str, str] | None = None, size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> Coder:
+    return Coder(ranks_path, pattern, newer or newer_characters(), size, overlap)
 
 
 def _binary_rows(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
@@ -71,15 +202,16 @@ def _binary_rows(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * 4).astype(np.int64)), pa.py_buffer(raw)])
 
 
-def _encode_column(df: DataFrame, text: str, out: str, ranks_path: str, pattern: str) -> DataFrame:
+def _encode_column(df: DataFrame, text: str, out: str, ranks_path: str, pattern: str, size: int, overlap: int) -> DataFrame:
     """df with its text column replaced by the ids as little-endian unsigned 32-bit integers."""
-    keep = [f for f in df.schema.fields if f.name != text]
+    keep = [f for f in df.schema.fields if f.name not in (text, out)]
     schema = T.StructType([*keep, T.StructField(out, T.BinaryType())])
+    newer = newer_characters()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = memo(ranks_path, pattern)
+        coder = memo(ranks_path, pattern, newer, size, overlap)
         for batch in batches:
-            for part in V.slices(batch, text, SEGMENT_SLICE_BYTES):
+            for part in V.slices(batch, text, SLICE_BYTES):
                 ids, offsets = coder.encode(part.column(text))
                 cols = [part.column(f.name) for f in keep] + [_binary_rows(ids, offsets).cast(pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema])
@@ -87,67 +219,92 @@ def _encode_column(df: DataFrame, text: str, out: str, ranks_path: str, pattern:
     return df.transform(map_batches, run, schema)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "ids", chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "ids", chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS, block_chars: int = BLOCK_CHARS, block_overlap: int = BLOCK_OVERLAP_CHARS) -> DataFrame:
     """docs with the column ``out`` (ids as little-endian unsigned 32-bit integers) in place of ``text``."""
-    keep = [c for c in docs.columns if c != text]
+    keep = [c for c in docs.columns if c not in (text, out)]
     size = F.coalesce(F.length(text), F.lit(0))
-    short = _encode_column(docs.where(size <= chunk_chars), text, out, ranks_path, pattern)
-    long = _encode_long(docs.where(size > chunk_chars), keep, text, out, ranks_path, pattern, chunk_chars, overlap_chars)
-    return short.select(*keep, out).unionByName(long.select(*keep, out))
+    how = (ranks_path, pattern, chunk_chars, overlap_chars)
+    short = _encode_column(docs.where(size <= block_chars), text, out, *how).select(*keep, out)
+    long = docs.where(size > block_chars)
+    if long.select(F.lit(1)).isEmpty():
+        return short
+    return short.unionByName(_encode_long(long, keep, text, out, block_chars, block_overlap, *how))
 
 
-def _encode_long(docs: DataFrame, keep: list[str], text: str, out: str, ranks_path: str, pattern: str, size: int, overlap: int) -> DataFrame:
-    rows = docs.select(F.monotonically_increasing_id().alias("sb_row"), F.struct(*[F.col(c) for c in keep]).alias("sb_keep"), F.col(text).alias("sb_text"))
-    chunk_schema = T.StructType([rows.schema["sb_row"], rows.schema["sb_keep"], T.StructField("sb_k", T.IntegerType()), T.StructField("sb_chunk", T.StringType())])
+def _blocks(rows: DataFrame, size: int, overlap: int) -> DataFrame:
+    """sb_row, sb_k, sb_block (with the overlap at its end) and sb_size (characters before the overlap) of each block."""
+    begins = F.sequence(F.lit(0), F.length("sb_text") - 1, F.lit(size))
+    cut = F.transform(begins, lambda a: F.struct((a / size).cast("int").alias("sb_k"), F.substring("sb_text", a + 1, F.lit(size + overlap)).alias("sb_block"), F.lit(size).alias("sb_size")))
+    return rows.select("sb_row", F.explode(cut).alias("b")).select("sb_row", "b.*")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                whole = batch.column("sb_text")[i].as_py()
-                parts = [whole[a : a + size + overlap] for a in range(0, len(whole), size)]
-                one = batch.select(["sb_row", "sb_keep"]).take(pa.array([i] * len(parts)))
-                yield pa.RecordBatch.from_arrays([*one.columns, pa.array(range(len(parts)), pa.int32()), pa.array(parts)], names=chunk_schema.names)
 
-    bound_schema = T.StructType([*chunk_schema.fields, T.StructField("sb_head", T.ArrayType(T.IntegerType())), T.StructField("sb_tail", T.ArrayType(T.IntegerType()))])
+def _bounded(blocks: DataFrame, pattern: str, overlap: int, chunk: int, chunk_overlap: int) -> DataFrame:
+    """blocks with the boundaries in the overlaps: sb_head from a block's start, sb_tail from where the next one starts."""
+    schema = T.StructType([*blocks.schema.fields, *(T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("sb_head", "sb_tail"))])
+    newer = newer_characters()
 
-    def pre_tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = pre_tokenizer(pattern, newer)
         for batch in batches:
-            found = [boundaries(pattern, t) for t in batch.column("sb_chunk").to_pylist()]
-            head = pa.array([[e for e in ends if e <= overlap] for ends in found], pa.list_(pa.int32()))
-            tail = pa.array([[e - size for e in ends if e >= size] for ends in found], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, head, tail], names=bound_schema.names)
+            for at in range(batch.num_rows):
+                one = batch.slice(at, 1)
+                block, size = one.column("sb_block")[0].as_py(), one.column("sb_size")[0].as_py()
+                tokens = stitched(block, split, chunk, chunk_overlap)
+                ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)))
+                sure = ends[: max(0, len(ends) - OPEN_TOKENS)]
+                found = (ends[ends <= overlap], sure[sure >= size] - size)
+                yield pa.RecordBatch.from_arrays([*one.columns, *(pa.array([x.tolist()], pa.list_(pa.int32())) for x in found)], names=schema.names)
+
+    # The blocks of one long text are dealt out before the slow part.
+    return blocks.repartition("sb_row", "sb_k").transform(map_batches, run, schema)
+
 
-    # The chunks of one long text are dealt out before the slow part.
-    chunks = rows.transform(map_batches, cut, chunk_schema).repartition("sb_row", "sb_k").transform(map_batches, pre_tokenise, bound_schema)
+def _stitched_blocks(rows: DataFrame, pattern: str, size: int, overlap: int, chunk: int, chunk_overlap: int) -> DataFrame:
+    """Blocks with sb_cut, where each is stitched to the one before; those without a common boundary are merged and cut again."""
     text_order = Window.partitionBy("sb_row").orderBy("sb_k")
-    stitch = F.array_min(F.array_intersect(F.lag("sb_tail").over(text_order), "sb_head"))
-    cuts = chunks.withColumn("sb_cut", F.when(F.col("sb_k") == 0, F.lit(0)).otherwise(stitch))
-    cuts = cuts.withColumn("sb_next", F.lead("sb_cut").over(text_order)).withColumn("sb_last", F.lead("sb_k").over(text_order).isNull())
-    cuts = cuts.withColumn("sb_whole", F.max(F.col("sb_cut").isNull()).over(Window.partitionBy("sb_row")))
+    done = materialize(_bounded(_blocks(rows, size, overlap), pattern, overlap, chunk, chunk_overlap), "blocks")
+    while True:
+        common = F.array_min(F.array_intersect(F.lag("sb_tail").over(text_order), "sb_head"))
+        cuts = done.withColumn("sb_cut", F.when(F.row_number().over(text_order) == 1, F.lit(0)).otherwise(common))
+        if cuts.where("sb_cut is null").isEmpty():
+            return cuts
+        # Blocks that follow each other without a stitch, two by two.
+        run = F.sum(F.col("sb_cut").isNotNull().cast("int")).over(text_order)
+        cuts = cuts.withColumn("sb_run", run)
+        pair = F.floor((F.row_number().over(Window.partitionBy("sb_row", "sb_run").orderBy("sb_k")) - 1) / 2)
+        cuts = cuts.withColumn("sb_pair", pair).withColumn("sb_n", F.count(F.lit(1)).over(Window.partitionBy("sb_row", "sb_run", "sb_pair")))
+        cuts = materialize(cuts, "pairs")
+        parts = F.array_sort(F.collect_list(F.struct("sb_k", "sb_block", "sb_size")))
+        pairs = cuts.where("sb_n = 2").groupBy("sb_row", "sb_run", "sb_pair").agg(parts.alias("p"))
+        first, last = F.col("p")[0], F.col("p")[1]
+        merged = pairs.select("sb_row", first["sb_k"].alias("sb_k"), F.concat(F.substring(first["sb_block"], F.lit(1), first["sb_size"]), last["sb_block"]).alias("sb_block"), (first["sb_size"] + last["sb_size"]).alias("sb_size"))
+        done = materialize(cuts.where("sb_n = 1").select(*done.columns).unionByName(_bounded(merged, pattern, overlap, chunk, chunk_overlap)), "blocks")
+
+
+def _encode_long(docs: DataFrame, keep: list[str], text: str, out: str, size: int, overlap: int, ranks_path: str, pattern: str, chunk: int, chunk_overlap: int) -> DataFrame:
+    kept = F.struct(*[F.col(c) for c in keep]) if keep else F.struct(F.lit(0).alias("sb_none"))
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("sb_row"), kept.alias("sb_keep"), F.col(text).alias("sb_text")), "long")
+    cuts = _stitched_blocks(rows.select("sb_row", "sb_text"), pattern, size, overlap, chunk, chunk_overlap)
+    end = F.lead("sb_cut").over(Window.partitionBy("sb_row").orderBy("sb_k"))
     start = F.col("sb_cut") + 1
-    piece = F.when(F.col("sb_last"), F.col("sb_chunk").substr(start, F.length("sb_chunk"))).otherwise(F.col("sb_chunk").substr(start, F.col("sb_next") + size - F.col("sb_cut")))
-    stitched = cuts.where(~F.col("sb_whole")).select("sb_row", "sb_keep", "sb_k", piece.alias("sb_piece"))
-    own = F.when(F.col("sb_last"), F.col("sb_chunk")).otherwise(F.substring("sb_chunk", 1, size))
-    whole = cuts.where("sb_whole").groupBy("sb_row").agg(F.first("sb_keep").alias("sb_keep"), F.array_sort(F.collect_list(F.struct("sb_k", own.alias("t")))).alias("parts"))
-    whole = whole.select("sb_row", "sb_keep", F.lit(0).alias("sb_k"), F.array_join(F.col("parts.t"), "").alias("sb_piece"))
-    pieces = _encode_column(stitched.unionByName(whole), "sb_piece", "sb_ids", ranks_path, pattern)
-    joined = pieces.groupBy("sb_row").agg(F.first("sb_keep").alias("sb_keep"), F.array_sort(F.collect_list(F.struct("sb_k", "sb_ids"))).alias("parts"))
-    ids = F.aggregate("parts", F.lit(b"").cast("binary"), lambda all_, x: F.concat(all_, x["sb_ids"]))
-    return joined.select(*[F.col("sb_keep")[c].alias(c) for c in keep], ids.alias(out))
+    piece = F.when(end.isNull(), F.substring("sb_block", start, F.length("sb_block"))).otherwise(F.substring("sb_block", start, end + F.col("sb_size") - F.col("sb_cut")))
+    pieces = cuts.select("sb_row", "sb_k", piece.alias("sb_piece")).repartition("sb_row", "sb_k")
+    ids = _encode_column(pieces, "sb_piece", "sb_ids", ranks_path, pattern, chunk, chunk_overlap)
+    joined = ids.groupBy("sb_row").agg(joined_binary("sb_k", "sb_ids").alias("sb_all"))
+    return rows.select("sb_row", "sb_keep").join(joined, "sb_row").select(*[F.col("sb_keep")[c].alias(c) for c in keep], F.col("sb_all").alias(out))
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """df with the column ``out``: the joined bytes of each row's ids (null ids: no bytes)."""
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())])
+    kept = [f for f in df.schema.fields if f.name != out]
+    schema = T.StructType([*kept, T.StructField(out, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = token_bytes(ranks_path).__getitem__
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in V.slices(batch, ids, SLICE_BYTES):
                 raw = [b"".join(map(of, np.frombuffer(x.as_buffer(), "<u4").tolist())) if x.is_valid else b"" for x in part.column(ids)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(raw, pa.binary())], names=schema.names)
-            pa.default_memory_pool().release_unused()
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(raw, pa.binary())], names=schema.names)
 
     return df.transform(map_batches, run, schema)
 

@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -70,6 +70,12 @@ def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], It
     return df.mapInArrow(function, schema)
 
 
+def joined_binary(order: str, value: str) -> Column:
+    """An aggregate: the group's binary values joined in order; each byte is copied once, as a character."""
+    parts = F.array_sort(F.collect_list(F.struct(order, value)))
+    return F.encode(F.array_join(F.transform(parts, lambda x: F.decode(x[value], "ISO-8859-1")), ""), "ISO-8859-1")
+
+
 def crc32_fold(id_column: str, folds: int, fold: int):
     """Whether a row is in the given fold by crc32 of its id as text; a null id counts as the text "null"."""
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("null")).cast("binary")) % folds == fold

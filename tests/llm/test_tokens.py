@@ -1,5 +1,6 @@
 """Tokenizer operators against the libraries themselves."""
 
+import random
 import zlib
 
 import numpy as np
@@ -44,7 +45,7 @@ def multi():
 @pytest.mark.parametrize("chunk,overlap", [(1 << 16, 2048), (64, 16), (40, 30)])
 def test_bpe_is_the_librarys_and_decodes_to_the_text(spark, multi, chunk, overlap):
     ranks = P.path("byte_bpe_multi_50k.tiktoken")
-    docs = table(spark).drop("ids")
+    docs = table(spark)
     rows = bpe.decode(bpe.encode(docs, ranks, P.PATTERN, chunk_chars=chunk, overlap_chars=overlap), ranks).collect()
     assert len(rows) == len(TEXTS)
     for r in rows:
@@ -53,6 +54,33 @@ def test_bpe_is_the_librarys_and_decodes_to_the_text(spark, multi, chunk, overla
         assert bytes(r["decoded"]) == text.encode()
 
 
+@pytest.mark.parametrize("block,overlap", [(100, 60), (300, 40)])
+def test_blocks_of_long_texts_are_stitched_or_merged(spark, multi, block, overlap):
+    ranks, r = P.path("byte_bpe_multi_50k.tiktoken"), random.Random(3)
+    alphabet = ["a", "b", "é", " ", "  ", "\n", "'", "l", "'re", "1", "23", "!", "日", "7" * 60, " " * 90, "x" * 150]
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randrange(1, 400))) for _ in range(40)] + [None, "", "7" * 2000, "x" * 999 + " y", "ab " * 500]
+    docs = spark.createDataFrame([(i, t, "k", b"q") for i, t in enumerate(texts)], "doc_id long, text string, ids string, decoded binary")
+    rows = bpe.decode(bpe.encode(docs, ranks, P.PATTERN, chunk_chars=40, overlap_chars=30, block_chars=block, block_overlap=overlap), ranks).collect()
+    assert len(rows) == len(texts)
+    for x in rows:
+        text = texts[x["doc_id"]] or ""
+        assert np.frombuffer(x["ids"], "<u4").tolist() == multi.encode_ordinary(text) and bytes(x["decoded"]) == text.encode()
+
+
+@pytest.mark.parametrize("size,overlap", [(12, 10), (40, 30), (100, 60)])
+def test_chunks_are_stitched_to_the_librarys_pieces(multi, size, overlap):
+    r = random.Random(size)
+    newer = bpe.newer_characters()
+    split = bpe.pre_tokenizer(P.PATTERN, newer)
+    coder = bpe.memo(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, newer, size, overlap)
+    alphabet = ["a", "b", "é", " ", "  ", "\n", "\t", "'", "l", "'re", "1", "23", "!", "..", "日", "\u3000", "\xa0", "\U000107bb", "\U00032000", "x" * 40, "7" * 50, " " * 30, "'s ", "don't"]
+    for _ in range(1500):
+        some = r.choice([alphabet, ["a", " ", "b'"], ["\n", " ", "x"], ["'", "l", "r", "e"]])
+        text = "".join(r.choice(some) for _ in range(r.randrange(1, 200)))
+        assert bpe.stitched(text, split, size, overlap) == split(text)
+        assert np.frombuffer(coder.one(text), "<u4").tolist() == multi.encode_ordinary(text)
+
+
 @settings(max_examples=25, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.text(alphabet="ab é'\n\t .,1日▁　", max_size=120), min_size=1, max_size=4))
 def test_segments_agree_with_the_library(multi, texts):
