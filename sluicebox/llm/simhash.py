@@ -2,16 +2,19 @@
 
 A fingerprint of 64 bits is eight positional bytes.  Two fingerprints that
 differ in two bits or fewer differ in two bytes at most, so they share six
-positional bytes: that is the guaranteed minimum.  The index is therefore posted
-by six positional bytes and their places (28 postings for each distinct
-fingerprint): a pair shares a posting list if and only if its tally of shared
-bytes reaches the minimum, without any pair being counted byte by byte.  Members of a
-list differ in two bytes alone, so a list never holds more than 65,536 of them.
-Pairs of short lists are verified by their Hamming distance.  In a longer list
-each member is posted again under itself and each of the 16 fingerprints one bit
-away in the two open bytes: two members within two bits meet at the fingerprint
-midway, all that meet there are within two bits of each other, and one link
-from each to the smallest keeps them together.
+positional bytes or more: the guaranteed minimum.  Lists of a single byte and its
+place would hold a 256th of the corpus, so the index is posted by groups of
+GROUP_BYTES positional bytes (56 postings for each distinct fingerprint), and
+the tally of a pair is the number of lists that it shares: six shared bytes give
+six shared groups at least.  Pairs that reach this are verified by their Hamming
+distance.
+
+A list of more than PAIRED_LIST members makes no pairs.  Its members differ in
+the three open bytes alone: each is posted again under itself and each of the 24
+fingerprints one bit away there.  Two members within two bits meet at the
+fingerprint midway, the 25 at most that meet there are within two bits of each
+other, and one link from each to the smallest keeps them together.  A pair that
+shares a long list is linked so; a pair that shares none has its whole tally.
 
 Documents of one fingerprint are one node.  Components are found by spreading
 the smallest label along links with pointer jumping.
@@ -26,6 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +44,11 @@ from .common import map_batches, materialize
 SHINGLE_WORDS = 3
 SEED = 42
 MAX_DISTANCE = 2
-#: Lists up to this long are verified pair by pair.
+#: Positional bytes that a posting stands for.
+GROUP_BYTES = 5
+#: Groups that a pair shares at least if it shares all bytes but MAX_DISTANCE.
+MIN_TALLY = comb(8 - MAX_DISTANCE, GROUP_BYTES)
+#: Lists up to this long are tallied pair by pair.
 PAIRED_LIST = 32
 
 _LOWER = bytes(V.lower_table())
@@ -94,21 +102,22 @@ def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", out: str
 
 def links(distinct: DataFrame) -> DataFrame:
     """Links (a, b), a < b, that connect all distinct fingerprints (column fp) within MAX_DISTANCE."""
-    postings = []
-    for m, (i, j) in enumerate(combinations(range(8), MAX_DISTANCE)):
-        mask = ~(0xFF << 8 * i | 0xFF << 8 * j)
-        postings.append(F.struct(F.lit(m).alias("m"), F.col("fp").bitwiseAND(F.lit(_signed(mask)).cast("long")).alias("k")))
-    posted = distinct.select("fp", F.explode(F.array(*postings)).alias("p")).select("fp", "p.m", "p.k")
-    # At most 65,536 members: they differ in two bytes alone.
+    groups = list(combinations(range(8), GROUP_BYTES))
+    masks = [_signed(sum(0xFF << 8 * i for i in g)) for g in groups]
+    postings = F.array(*[F.struct(F.lit(m).cast("byte").alias("m"), F.col("fp").bitwiseAND(F.lit(mask).cast("long")).alias("k")) for m, mask in enumerate(masks)])
+    posted = distinct.select("fp", F.explode(postings).alias("p")).select("fp", "p.m", "p.k")
+    # Members of a list differ in three bytes alone, so its length is bounded whatever the corpus.
     lists = posted.groupBy("m", "k").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1)
     lists = materialize(lists, "lists")
-    near = F.expr(f"flatten(transform(members, x -> transform(filter(members, y -> y > x and bit_count(x ^ y) <= {MAX_DISTANCE}), y -> struct(x as a, y as b))))")
-    short = lists.where(F.size("members") <= PAIRED_LIST).select(F.explode(near).alias("e")).select("e.a", "e.b")
+    pairs = F.expr("flatten(transform(members, x -> transform(filter(members, y -> y > x), y -> struct(x as a, y as b))))")
+    shared = lists.where(F.size("members") <= PAIRED_LIST).select(F.explode(pairs).alias("e")).select("e.a", "e.b")
+    tallied = shared.groupBy("a", "b").agg(F.count(F.lit(1)).alias("tally")).where(F.col("tally") >= MIN_TALLY)
+    short = tallied.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_DISTANCE).select("a", "b")
     long = lists.where(F.size("members") > PAIRED_LIST).select("m", F.explode("members").alias("fp"))
-    flips = F.array(*[F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << 8 * p + b)).cast("long") for p in pair for b in range(8)]) for pair in combinations(range(8), MAX_DISTANCE)])
-    midway = long.select("m", "fp", F.explode(flips[F.col("m")]).alias("flip")).select("m", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("at"))
-    met = midway.withColumn("a", F.min("fp").over(Window.partitionBy("m", "at", F.col("fp").bitwiseAND(F.lit(0)))))
-    met = met.where((F.col("a") < F.col("fp")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= MAX_DISTANCE)).select("a", F.col("fp").alias("b"))
+    flips = F.array(*[F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << 8 * p + b)).cast("long") for p in set(range(8)) - set(g) for b in range(8)]) for g in groups])
+    midway = long.select("m", "fp", F.explode(flips[F.col("m").cast("int")]).alias("flip")).select("m", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("at"))
+    met = midway.groupBy("m", "at").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1)
+    met = met.select(F.array_min("members").alias("a"), F.explode("members").alias("b")).where("a < b")
     return short.unionByName(met).distinct()
 
 
