@@ -7,8 +7,8 @@ pre-tokenising pattern looks only forward, so two chunks that have one boundary
 in common agree on all that follows: the first common boundary in the overlap is
 where they are stitched.  Where an overlap holds none (a long run of one kind of
 character), the failed stretch alone is cut again, twice as long, until it
-resynchronises.  The stitched pieces are encoded through a bounded memo of
-pre-tokens.
+resynchronises.  The pieces between stitches are encoded one by one, and their
+ids joined; a text of one chunk is one piece.
 
 A text of up to BLOCK_CHARS is chunked and stitched by the task that holds it.
 Longer texts are cut into blocks of that size first, which overlap likewise and
@@ -24,7 +24,6 @@ table.
 from __future__ import annotations
 
 import base64
-import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -39,17 +38,13 @@ from pyspark.sql import types as T
 from . import vectext as V
 from .common import joined_binary, map_batches, materialize
 
-CHUNK_CHARS = 1024
-OVERLAP_CHARS = 128
+CHUNK_CHARS = 2048
+OVERLAP_CHARS = 192
 #: Longer texts are dealt out in blocks.
 BLOCK_CHARS = 64 << 10
 BLOCK_OVERLAP_CHARS = 2 << 10
 #: How many of a chunk's last pre-tokens may hang on what follows the chunk.
 OPEN_TOKENS = 8
-#: Pre-tokens in each of a worker's two generations; the older one is dropped when the younger is full.
-REMEMBERED = 60_000
-#: Longer pre-tokens are encoded each time.
-REMEMBERED_CHARS = 64
 SLICE_BYTES = 1 << 20
 #: The Unicode white space that the tokenizer's \s stands for (fixed values).
 WHITE_SPACE = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -115,26 +110,30 @@ def pre_tokenizer(pattern: str, newer: tuple[str, str]) -> PreTokenizer:
     return PreTokenizer(pattern, newer)
 
 
-def sure_ends(tokens: list[str], end: int) -> list[tuple[int, int]]:
-    """(end, how many pre-tokens end there or before), from the last, of those that what follows the chunk cannot change."""
+def sure_ends(tokens: list[str], end: int, least: int) -> list[tuple[int, int]]:
+    """(end, how many pre-tokens end there or before), from the last, of those that what follows the chunk cannot change.
+
+    The tokens stand up to ``end``; of the ends below ``least`` only the last one may be given.
+    """
     out = []
     for i in range(len(tokens) - 1, 0, -1):
         end -= len(tokens[i])
         if len(tokens) - i >= OPEN_TOKENS:
+            if end < least and out:
+                break
             out.append((end, i))
     return out
 
 
-def stitched(text: str, split: Callable[[str], list[str]], size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> list[str]:
-    """The pre-tokens of a text from chunks of ``size`` characters and an overlap."""
-    out: list[str] = []
+def stitches(text: str, split: Callable[[str], list[str]], size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> Iterator[tuple[int, int, list[str]]]:
+    """The text as pieces (begin, end, pre-tokens) from chunks of ``size`` characters and an overlap, cut where they are stitched."""
     begin, stop = 0, min(len(text), size + overlap)
     tokens = split(text[:stop])
     while stop < len(text):
         at = stop - overlap
         more_stop = min(len(text), stop + size)
         more = split(text[at:more_stop])
-        ends = sure_ends(tokens, stop)
+        ends = sure_ends(tokens, stop, at)
         sure = dict(ends)
         common, j, head = None, 0, at
         for j, token in enumerate(more, 1):
@@ -145,45 +144,36 @@ def stitched(text: str, split: Callable[[str], list[str]], size: int = CHUNK_CHA
                 common = head
                 break
         if common is not None:
-            out += tokens[: sure[common]]
+            yield begin, common, tokens[: sure[common]]
             begin, tokens = common, more[j:]
         else:
             # Only what follows the last sure boundary is cut again, and twice as far.
             last, i = ends[0] if ends else (begin, 0)
-            out += tokens[:i]
+            if i:
+                yield begin, last, tokens[:i]
             more_stop = min(len(text), max(more_stop, 2 * stop - last))
             begin, tokens = last, split(text[last:more_stop])
         stop = more_stop
-    return out + tokens
+    yield begin, stop, tokens
+
+
+def stitched(text: str, split: Callable[[str], list[str]], size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> list[str]:
+    """The pre-tokens of a text."""
+    return [token for _, _, tokens in stitches(text, split, size, overlap) for token in tokens]
 
 
 class Coder:
-    """Encodes texts by stitched chunks, through a memo of pre-tokens."""
+    """Encodes texts: those of several chunks by the pieces between stitches."""
 
     def __init__(self, ranks_path: str, pattern: str, newer: tuple[str, str], size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS):
-        self.piece = encoding(ranks_path, pattern)._encode_single_piece
+        self.ids = encoding(ranks_path, pattern).encode_ordinary
         self.split, self.size, self.overlap = pre_tokenizer(pattern, newer), size, overlap
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def ids_of(self, token: str) -> bytes:
-        """A pre-token's ids as little-endian unsigned 32-bit integers."""
-        got = self.young.get(token)
-        if got is None:
-            got = self.old.get(token)
-            if got is None:
-                ids = self.piece(token)
-                got = struct.pack(f"<{len(ids)}I", *ids)
-            if len(token) <= REMEMBERED_CHARS:
-                if len(self.young) >= REMEMBERED:
-                    self.old, self.young = self.young, {}
-                self.young[token] = got
-        return got
 
     def one(self, text: str) -> bytes:
-        tokens = stitched(text, self.split, self.size, self.overlap)
-        known = self.young.get
-        return b"".join([known(t) or self.ids_of(t) for t in tokens])
+        """A text's ids as little-endian unsigned 32-bit integers."""
+        if len(text) <= self.size + self.overlap:
+            return np.array(self.ids(text), "<u4").tobytes()
+        return b"".join([np.array(self.ids(text[a:b]), "<u4").tobytes() for a, b, _ in stitches(text, self.split, self.size, self.overlap)])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of each text in them); null is the empty text."""
@@ -202,10 +192,16 @@ def _binary_rows(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * 4).astype(np.int64)), pa.py_buffer(raw)])
 
 
-def _encode_column(df: DataFrame, text: str, out: str, ranks_path: str, pattern: str, size: int, overlap: int) -> DataFrame:
-    """df with its text column replaced by the ids as little-endian unsigned 32-bit integers."""
-    keep = [f for f in df.schema.fields if f.name not in (text, out)]
-    schema = T.StructType([*keep, T.StructField(out, T.BinaryType())])
+def _decoded(ids: pa.Array, ranks_path: str) -> pa.Array:
+    """The joined bytes of each value's ids; null ids have none."""
+    of = token_bytes(ranks_path).__getitem__
+    return pa.array([b"".join(map(of, np.frombuffer(x.as_buffer(), "<u4").tolist())) if x.is_valid else b"" for x in ids], pa.binary())
+
+
+def _encode_column(df: DataFrame, text: str, out: str, ranks_path: str, pattern: str, size: int, overlap: int, decoded: str | None = None) -> DataFrame:
+    """df with its text column replaced by the ids as little-endian unsigned 32-bit integers (and what they decode to)."""
+    keep = [f for f in df.schema.fields if f.name not in (text, out, decoded)]
+    schema = T.StructType([*keep, *(T.StructField(n, T.BinaryType()) for n in (out, decoded) if n)])
     newer = newer_characters()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,21 +210,29 @@ def _encode_column(df: DataFrame, text: str, out: str, ranks_path: str, pattern:
             for part in V.slices(batch, text, SLICE_BYTES):
                 ids, offsets = coder.encode(part.column(text))
                 cols = [part.column(f.name) for f in keep] + [_binary_rows(ids, offsets).cast(pa.binary())]
+                if decoded:
+                    cols.append(_decoded(cols[-1], ranks_path))
                 yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema])
 
     return df.transform(map_batches, run, schema)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "ids", chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS, block_chars: int = BLOCK_CHARS, block_overlap: int = BLOCK_OVERLAP_CHARS) -> DataFrame:
-    """docs with the column ``out`` (ids as little-endian unsigned 32-bit integers) in place of ``text``."""
-    keep = [c for c in docs.columns if c not in (text, out)]
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "ids", chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS, block_chars: int = BLOCK_CHARS, block_overlap: int = BLOCK_OVERLAP_CHARS, decoded: str | None = None) -> DataFrame:
+    """docs with the column ``out`` (ids as little-endian unsigned 32-bit integers) in place of ``text``.
+
+    With ``decoded``, a column of that name holds what decode() makes of the ids;
+    the task that encodes a text decodes it too, so that a stage needs one Python
+    worker for each core and not two.
+    """
+    keep = [c for c in docs.columns if c not in (text, out, decoded)]
     size = F.coalesce(F.length(text), F.lit(0))
     how = (ranks_path, pattern, chunk_chars, overlap_chars)
-    short = _encode_column(docs.where(size <= block_chars), text, out, *how).select(*keep, out)
+    short = _encode_column(docs.where(size <= block_chars), text, out, *how, decoded=decoded)
     long = docs.where(size > block_chars)
     if long.select(F.lit(1)).isEmpty():
         return short
-    return short.unionByName(_encode_long(long, keep, text, out, block_chars, block_overlap, *how))
+    joined = _encode_long(long, keep, text, out, block_chars, block_overlap, *how)
+    return short.unionByName(decode(joined, ranks_path, out, decoded) if decoded else joined)
 
 
 def _blocks(rows: DataFrame, size: int, overlap: int) -> DataFrame:
@@ -300,11 +304,9 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded
     schema = T.StructType([*kept, T.StructField(out, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = token_bytes(ranks_path).__getitem__
         for batch in batches:
             for part in V.slices(batch, ids, SLICE_BYTES):
-                raw = [b"".join(map(of, np.frombuffer(x.as_buffer(), "<u4").tolist())) if x.is_valid else b"" for x in part.column(ids)]
-                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(raw, pa.binary())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), _decoded(part.column(ids), ranks_path)], names=schema.names)
 
     return df.transform(map_batches, run, schema)
 

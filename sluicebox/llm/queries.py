@@ -22,7 +22,7 @@ def tokenizer(name: str) -> str:
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ranks = tokenizer("byte_bpe_multi_50k.tiktoken")
-    return bpe.digests(bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks))
+    return bpe.digests(bpe.encode(docs, ranks, public_tokenizers.PATTERN, decoded="decoded"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
