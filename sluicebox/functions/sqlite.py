@@ -31,7 +31,7 @@ def glob(c: Column, pattern: str) -> Column:
 
 def divide(a: Column, b: Column) -> Column:
     """Whole-number division that truncates toward zero; null for a divisor of 0."""
-    return F.try_divide(a.cast("double"), b.cast("double")).cast("long")
+    return F.call_function("div", a.cast("long"), F.nullif(b.cast("long"), F.lit(0).cast("long")))
 
 
 def substr(c: Column, start: int, length: int) -> Column:

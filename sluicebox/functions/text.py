@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The trailer line is a tool's name, this text, an outcome and optional metrics.
-TRAILER = r"^[A-Za-z]+ Pre-Commit Check:\s*"
+CHECK = "Pre-Commit Check:"
 OUTCOMES = {"ran": "reviewed", "vouched": "vouched", "skipped": "skipped"}
 METRICS = r"iter:(\d+),\s*coverage:(\d+)%"
 
@@ -20,11 +22,16 @@ def blank_to_null(c: Column | str) -> Column:
     return F.nullif(strip(c), F.lit(""))
 
 
-def trailer_line(body: Column) -> Column:
-    """The first line of a message that is a well-formed trailer, without its prefix (null: none)."""
-    lines = F.transform(F.split(body, "\n"), strip)
-    pattern = TRAILER + "(" + "|".join(OUTCOMES) + ")"
-    return F.regexp_replace(F.try_element_at(F.filter(lines, lambda x: x.rlike(pattern)), F.lit(1)), TRAILER, "")
+def trailer_prefix(tool: str) -> str:
+    """A regular expression for the start of the tool's trailers; the name is taken literally."""
+    return rf"^{re.escape(tool)} {CHECK}\s*"
+
+
+def trailer_line(body: Column, tool: str) -> Column:
+    """The first line of a message that is a well-formed trailer of the tool, without its prefix (null: none)."""
+    lines, prefix = F.transform(F.split(body, "\n"), strip), trailer_prefix(tool)
+    pattern = prefix + "(" + "|".join(OUTCOMES) + ")"
+    return F.regexp_replace(F.try_element_at(F.filter(lines, lambda x: x.rlike(pattern)), F.lit(1)), prefix, "")
 
 
 def trailer_action(rest: Column) -> Column:
@@ -39,11 +46,11 @@ def trailer_metric(rest: Column, group: int) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(rest, METRICS, group), F.lit("")).cast("long"), F.lit(0).cast("long"))
 
 
-def format_trailer(action: Column, iterations: Column, pct: Column, tool: str = "Review") -> Column:
+def format_trailer(action: Column, iterations: Column, pct: Column, tool: str) -> Column:
     """The trailer line of an outcome; metrics only after a first iteration, percentages rounded half up."""
     word = F.coalesce(*[F.when(action == a, F.lit(w)) for w, a in OUTCOMES.items()], action)
     metrics = F.concat(F.lit(" (iter:"), iterations.cast("string"), F.lit(", coverage:"), F.floor(pct + 0.5).cast("string"), F.lit("%)"))
-    return F.concat(F.lit(f"{tool} Pre-Commit Check: "), word, F.when(iterations > 0, metrics).otherwise(F.lit("")))
+    return F.concat(F.lit(f"{tool} {CHECK} "), word, F.when(iterations > 0, metrics).otherwise(F.lit("")))
 
 
 def utc_text(c: Column) -> Column:
@@ -56,9 +63,9 @@ def sanitize_message(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"[\r\n]+$", ""), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
 
 
-def initial_message(c: Column) -> Column:
-    """The lines of a message that are no comment, no trailer and not blank."""
-    keep = F.filter(F.split(c, "\n"), lambda x: (strip(x) != "") & ~strip(x).startswith("#") & ~strip(x).rlike(TRAILER))
+def initial_message(c: Column, tool: str) -> Column:
+    """The lines of a message that are no comment, no trailer of the tool and not blank."""
+    keep = F.filter(F.split(c, "\n"), lambda x: (strip(x) != "") & ~strip(x).startswith("#") & ~strip(x).rlike(trailer_prefix(tool)))
     return strip(F.array_join(keep, "\n"))
 
 
@@ -127,5 +134,5 @@ def initials(first: Column, last: Column, email: Column) -> Column:
 
 def positive_id(c: Column) -> Column:
     """An id given as number or text, if it is a whole number over 0."""
-    n = F.expr("try_cast(null as bigint)") if c is None else F.when(strip(c.cast("string")).rlike(r"^\d{1,18}$"), strip(c.cast("string")).cast("long"))
+    n = F.when(strip(c.cast("string")).rlike(r"^\d{1,18}$"), strip(c.cast("string")).cast("long"))
     return F.when(n > 0, n)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tomllib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +40,49 @@ def check_read_only(sql: str) -> str:
     return text
 
 
+#: Functions of Spark that call into the JVM.
+CALLS = {"reflect", "java_method", "try_reflect"}
+
+
+def _nodes(plan) -> Iterator:
+    """All nodes of a parsed plan, those of its expressions' subqueries too."""
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        yield node
+        for part in (node.children(), node.innerChildren(), node.subqueries()):
+            todo += [part.apply(i) for i in range(part.size())]
+
+
+def check_plan(spark: SparkSession, sql: str) -> int:
+    """How often the query's plan, as Spark parses it, names review_log; refuses plans that write or reach out.
+
+    Commands and inserts are refused wherever they stand, and so are functions
+    that call into the JVM and tables with more than one name (paths, catalogs).
+    """
+    jvm = spark.sparkContext._jvm
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    except Exception as e:
+        raise QueryError(str(e).splitlines()[0]) from e
+    logical = "org.apache.spark.sql.catalyst.plans.logical."
+    kinds = [jvm.java.lang.Class.forName(logical + x) for x in ("Command", "ParsedStatement")]
+    found = 0
+    for node in _nodes(plan):
+        if any(k.isInstance(node) for k in kinds):
+            raise QueryError("only SELECT and WITH queries are allowed")
+        if node.nodeName() == "UnresolvedRelation" or node.getClass().getSimpleName() == "UnresolvedRelation":
+            names = node.multipartIdentifier()
+            if names.size() > 1:
+                raise QueryError("only review_log and the query's own tables are allowed")
+            found += names.apply(0).lower() == "review_log"
+        text = node.expressions()
+        for i in range(text.size()):
+            if CALLS & set(re.findall(r"\w+", text.apply(i).treeString().lower())):
+                raise QueryError("functions that call into the JVM are not allowed")
+    return found
+
+
 @dataclass
 class Arguments:
     """What a command line says: words, bounds and the output's form."""
@@ -117,19 +162,24 @@ class Catalog:
 
 
 def run(log: DataFrame, query: str, catalog: Catalog | None = None) -> DataFrame:
-    """The result of a named query or of SQL text over review_log. The gate comes before the scan."""
+    """The result of a named query or of SQL text over review_log. The gate comes before the scan.
+
+    A log that the query names more than once is kept, so that it is parsed once.
+    """
     sql = check_read_only((catalog or Catalog()).resolve(query.strip()) or query)
+    if check_plan(log.sparkSession, sql) > 1:
+        log = log.persist()
     log.createOrReplaceTempView("review_log")
     return log.sparkSession.sql(sql)
 
 
-def command(spark: SparkSession, dump: str, args: list[str], catalog: Catalog | None = None) -> tuple[DataFrame, Arguments]:
-    """Run a query command over the dumps at a path; one word may be a name, other words are SQL."""
+def command(spark: SparkSession, dump: str, args: list[str], tool: str, catalog: Catalog | None = None) -> tuple[DataFrame, Arguments]:
+    """Run a query command over the dumps at a path, with the trailers of a tool; one word may be a name, other words are SQL."""
     found = Arguments.parse(args)
     if not found.words:
         raise QueryError("a query or the name of one is needed")
     text = found.words[0] if len(found.words) == 1 else " ".join(found.words)
-    log = history.bounded(history.parse(history.read_dump(spark, dump)), found.start or None, found.end or None)
+    log = history.bounded(history.parse(history.read_dump(spark, dump), tool), found.start or None, found.end or None)
     return run(log, text, catalog), found
 
 

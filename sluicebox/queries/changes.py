@@ -103,8 +103,8 @@ def coverage_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trailer_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A trailer is written for each session and read again."""
     rows = derived.orders_as_sessions(spark, sf_dir)
-    line = X.format_trailer(F.col("action"), F.col("id") % 4, (F.col("id") % 997).cast("double") / 10)
-    rest = X.trailer_line(line)
+    line = X.format_trailer(F.col("action"), F.col("id") % 4, (F.col("id") % 997).cast("double") / 10, derived.TOOL)
+    rest = X.trailer_line(line, derived.TOOL)
     return rows.select("id", X.trailer_action(rest).alias("action"), X.trailer_metric(rest, 1).alias("iterations"), X.trailer_metric(rest, 2).alias("coverage"))
 
 

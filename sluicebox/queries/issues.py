@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import comments as C
@@ -75,7 +75,7 @@ def category_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = facets.category_tree(rows, DISABLED, hidden_keys(rows))
     flat = tree.select(F.col("value").alias("category"), F.explode("subcategories").alias("s"))
     flat = flat.select("category", F.col("s.value").alias("subcategory"), F.col("s.count").alias("n"), F.col("s.active").alias("active"))
-    return flat.join(flat.groupBy("category").agg(F.sum("n").alias("category_n")), "category")
+    return flat.withColumn("category_n", F.sum("n").over(Window.partitionBy("category")))
 
 
 @query("""SELECT lower(category) AS value, min(category) AS label, count(*) AS count, lower(category) NOT IN ('brand#11', 'brand#12') AS active, count(DISTINCT nullif(lower(subcategory), '')) AS n_sub

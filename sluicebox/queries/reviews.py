@@ -74,7 +74,7 @@ def duration_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DECISIONS = """
     s AS (
         SELECT conv_id AS scenario_id, turn AS seq, CASE WHEN role = 'system' OR turn % 4 = 2 THEN 'poll' ELSE 'decision' END AS event, CASE role WHEN 'user' THEN 'web' ELSE 'terminal' END AS source,
-            CASE turn % 5 WHEN 3 THEN 5 ELSE CAST(turn % 5 AS INTEGER) END AS code, CASE WHEN turn % 2 = 0 THEN '' ELSE left(text, 20) END AS message, conv_id % 3 = 0 AS start_complete, conv_id % 2 = 0 AS precommit, turn % 7 = 0 AS push FROM conversations),
+            CASE turn % 5 WHEN 3 THEN 5 ELSE CAST(turn % 5 AS INTEGER) END AS code, CASE WHEN turn % 2 = 0 THEN '' ELSE text END AS message, conv_id % 3 = 0 AS start_complete, conv_id % 2 = 0 AS precommit, turn % 7 = 0 AS push FROM conversations),
     p AS (SELECT *, start_complete OR coalesce(bool_or(event = 'poll') OVER (PARTITION BY scenario_id ORDER BY seq ROWS UNBOUNDED PRECEDING), false) AS complete FROM s),
     d AS (SELECT *, code = 1 OR (code IN (2, 4) AND NOT complete) OR (code IN (0, 5) AND complete) AS allowed FROM p WHERE event = 'decision'),
     v AS (SELECT *, allowed AND NOT (source = 'web' AND code = 0 AND message = '') AS valid FROM d),
@@ -158,10 +158,21 @@ def usage_top_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.top_members(rows).select("org_id", "member_id", "loc", "label", "place")
 
 
-@query("SELECT type, count(*) AS n, count(DISTINCT review) AS reviews, min(seq) AS first_seq FROM e GROUP BY type")
+@query("""SELECT seq, type, CASE type WHEN 'log' THEN '' WHEN 'batch' THEN CASE WHEN seq % 4 = 0 THEN 'Batch b started: processing ' || CAST(seq % 3 AS VARCHAR) || CASE WHEN seq % 3 = 1 THEN ' file' ELSE ' files' END
+            WHEN seq % 4 = 1 THEN 'Batch b completed: generated ' || CAST(seq % 3 AS VARCHAR) || CASE WHEN seq % 3 = 1 THEN ' comment' ELSE ' comments' END WHEN seq % 4 = 2 THEN 'Batch b: pending' ELSE 'Batch b: unknown status' END
+        WHEN 'status' THEN CASE WHEN seq % 2 = 0 THEN 'Status: running' ELSE 'Status: unknown' END WHEN 'artifact' THEN CASE WHEN seq % 2 = 0 THEN 'Generated: artifact' ELSE 'Artifact: unknown' END
+        ELSE CASE WHEN seq % 3 = 0 THEN 'all done' ELSE 'Process completed with ' || CAST(seq % 2 AS VARCHAR) || CASE WHEN seq % 2 = 1 THEN ' comment' ELSE ' comments' END END END AS message FROM e""")
 def event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = events.message(review_events(spark, sf_dir)).where("message is not null")
-    return rows.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("review").alias("reviews"), F.min("seq").alias("first_seq"))
+    """Each event's line of the log; the events' data vary by their number."""
+    n = F.col("seq")
+    data = F.struct(
+        F.element_at(F.array(F.lit("processing"), F.lit("completed"), F.lit("pending"), F.lit("")), (n % 4 + 1).cast("int")).alias("batch_status"),
+        F.when(n % 2 == 0, "running").otherwise("").alias("status"),
+    )
+    status = F.when(F.col("type") == "batch", data["batch_status"]).otherwise(data["status"])
+    count = F.when(F.col("type") == "completion", n % 2).otherwise(n % 3)
+    made = F.to_json(F.struct(status.alias("status"), (n % 3).alias("fileCount"), count.alias("commentCount"), F.when(n % 2 == 0, "u").alias("url"), F.when((F.col("type") == "completion") & (n % 3 == 0), "all done").alias("resultSummary")))
+    return events.message(review_events(spark, sf_dir).withColumn("data", made)).select("seq", "type", "message")
 
 
 @query("""SELECT review, seq FROM (SELECT review, seq, row_number() OVER (PARTITION BY review ORDER BY time DESC, seq DESC) AS k FROM e) t WHERE k = 1""")

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import CHECK
 from . import history
 
+#: The tool whose trailers the derived log has.
+TOOL = "Review"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,7 +27,7 @@ def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     hash_ = F.md5(id_.cast("string").cast("binary"))
     author = F.concat(F.lit("dev"), (F.col("user_id") % 10).cast("string"))
     metrics = F.concat(F.lit(" (iter:"), (id_ % 5).cast("string"), F.lit(", coverage:"), (id_ % 101).cast("string"), F.lit("%)"))
-    line = lambda x: F.concat(F.lit("Review Pre-Commit Check: "), x)
+    line = lambda x: F.concat(F.lit(f"{TOOL} {CHECK} "), x)
     kind = F.col("event_type")
     trailer = F.when(kind == "view", line(F.concat(F.lit("ran"), metrics))).when(kind == "click", line(F.concat(F.lit("vouched"), metrics))).when(kind == "signup", line(F.lit("skipped"))).when(kind == "error", line(F.lit("skipped manually"))).otherwise(F.lit(""))
     body = F.concat(kind, F.lit("\n\n"), trailer)
@@ -32,7 +36,7 @@ def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def review_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.parse(raw_log(spark, sf_dir))
+    return history.parse(raw_log(spark, sf_dir), TOOL)
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,12 +21,12 @@ def read_dump(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("lineSep", RECORD).text(path)
 
 
-def parse(raw: DataFrame, branch: str = "main") -> DataFrame:
-    """review_log of raw records; blank records and those of fewer than seven fields are dropped."""
+def parse(raw: DataFrame, tool: str, branch: str = "main") -> DataFrame:
+    """review_log of raw records with the trailers of one tool; blank records and those of fewer than seven fields are dropped."""
     parts = F.split("value", FIELD)
     rows = raw.where((X.strip("value") != "") & (F.size(parts) >= 7)).select(parts.alias("p"))
     p: Column = F.col("p")
-    rest = X.trailer_line(p[6])
+    rest = X.trailer_line(p[6], tool)
     return rows.select(
         X.strip(p[0]).alias("hash"),
         X.strip(p[1]).alias("short_hash"),

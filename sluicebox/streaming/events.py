@@ -20,16 +20,18 @@ LOADING = ["Reading the change", "Looking for issues", "Checking details", "Coll
 
 
 def event_key() -> Column:
-    """The id, or what tells an event without one apart."""
-    return F.coalesce(F.nullif(F.col("id"), F.lit("")), F.concat_ws(":", "type", F.col("time").cast("string"), "batchId", "data"))
+    """The id (the empty one too), or for an event without one its parts and its number (seq)."""
+    part = lambda c, other: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit(other))
+    return F.coalesce(F.col("id"), F.concat(part("type", "event"), F.lit(":"), part("time", "unknown"), F.lit(":"), part("batchId", ""), F.lit(":"), part("data", "undefined"), F.lit(":"), part("seq", "")))
 
 
 def deduplicate(events: DataFrame, within: str | None = None) -> DataFrame:
-    """The first event of each key; a stream with ``within`` forgets keys after so long."""
+    """The first event of each key by seq; a stream takes the first to come, and with ``within`` forgets keys after so long."""
     keyed = events.withColumn("event_key", event_key())
-    if events.isStreaming and within:
-        return keyed.withWatermark("time", within).dropDuplicatesWithinWatermark(["event_key"])
-    return keyed.dropDuplicates(["event_key"])
+    if events.isStreaming:
+        return keyed.withWatermark("time", within).dropDuplicatesWithinWatermark(["event_key"]) if within else keyed.dropDuplicates(["event_key"])
+    first = keyed.groupBy("event_key").agg(F.min_by(F.struct(*events.columns), "seq").alias("e"))
+    return first.select(*[F.col("e")[c].alias(c) for c in events.columns], "event_key")
 
 
 def bookmark(events: DataFrame, *keys: str) -> DataFrame:
@@ -60,18 +62,30 @@ def status(events: DataFrame, *keys: str) -> DataFrame:
     return events.withColumn("told", told).groupBy(*keys).agg(F.coalesce(F.max_by("told", F.when(F.col("told").isNotNull(), F.col("seq"))), F.lit("")).alias("status"))
 
 
+def _counted(n: Column, noun: str) -> Column:
+    return F.concat(n.cast("string"), F.lit(f" {noun}"), F.when(n == 1, F.lit("")).otherwise(F.lit("s")))
+
+
 def message(events: DataFrame) -> DataFrame:
-    """A line of the event log for each event."""
-    d = F.from_json("data", "message string, status string, batchCount int, kind string, errorSummary string")
-    n = F.coalesce(d["batchCount"], F.lit(0))
+    """A line of the event log for each event; an unknown type shows its data."""
+    d = F.from_json("data", "message string, status string, fileCount int, commentCount int, kind string, url string, resultSummary string")
+    some = lambda name: F.nullif(d[name], F.lit(""))
+    files, comments_ = (F.coalesce(d[x], F.lit(0)) for x in ("fileCount", "commentCount"))
+    batch = F.concat(F.lit("Batch "), F.coalesce(F.nullif("batchId", F.lit("")), F.lit("unknown")))
+    log = F.coalesce(d["message"], F.lit(""))
+    for mark, meant in (("\\n", "\n"), ("\\t", "  "), ('\\"', '"')):
+        log = F.replace(log, F.lit(mark), F.lit(meant))
     text = (
-        F.when(F.col("type") == "log", d["message"])
-        .when(F.col("type") == "batch", F.concat(F.lit("Batch "), F.col("batchId"), F.lit(": "), d["status"]))
-        .when(F.col("type") == "status", F.concat(F.lit("Status: "), d["status"]))
-        .when(F.col("type") == "artifact", F.concat(F.lit("Artifact: "), d["kind"]))
-        .when(F.col("type") == "completion", F.when(F.coalesce(d["errorSummary"], F.lit("")) != "", F.concat(F.lit("Failed: "), d["errorSummary"])).otherwise(F.concat(F.lit("Done: "), n.cast("string"), F.when(n == 1, F.lit(" batch")).otherwise(F.lit(" batches")))))
+        F.when(F.col("type") == "log", log)
+        .when((F.col("type") == "batch") & (d["status"] == "processing"), F.concat(batch, F.lit(" started: processing "), _counted(files, "file")))
+        .when((F.col("type") == "batch") & (d["status"] == "completed"), F.concat(batch, F.lit(" completed: generated "), _counted(comments_, "comment")))
+        .when(F.col("type") == "batch", F.concat(batch, F.lit(": "), F.coalesce(some("status"), F.lit("unknown status"))))
+        .when(F.col("type") == "status", F.concat(F.lit("Status: "), F.coalesce(some("status"), F.lit("unknown"))))
+        .when((F.col("type") == "artifact") & some("url").isNotNull(), F.concat(F.lit("Generated: "), F.coalesce(some("kind"), F.lit("artifact"))))
+        .when(F.col("type") == "artifact", F.concat(F.lit("Artifact: "), F.coalesce(some("kind"), F.lit("unknown"))))
+        .when(F.col("type") == "completion", F.coalesce(some("resultSummary"), F.concat(F.lit("Process completed with "), _counted(comments_, "comment"))))
     )
-    return events.withColumn("message", F.coalesce(text, F.col("type")))
+    return events.withColumn("message", F.coalesce(text, "data", F.lit("{}")))
 
 
 def loading_line(elapsed_ms: Column) -> Column:

@@ -29,15 +29,15 @@ def test_trailers(spark):
         (f"{P} other\n{P} vouched (iter:4)\n{P} ran (iter:1, coverage:1%)", ("vouched", 0, 0)),
         (f"see {P} ran", ("none", 0, 0)),
     ]
-    rest = lambda c: X.trailer_line(c)
+    rest = lambda c: X.trailer_line(c, "Review")
     got = column(spark, [c for c, _ in cases], lambda c: F.struct(X.trailer_action(rest(c)), X.trailer_metric(rest(c), 1), X.trailer_metric(rest(c), 2)))
     assert [tuple(g) for g in got] == [e for _, e in cases]
 
 
 def test_a_trailer_that_is_written_reads_back(spark):
     rows = spark.createDataFrame([("reviewed", 2, 49.5), ("vouched", 1, 100.0), ("skipped", 0, 80.0), ("odd", 3, 1.0)], "a string, n long, p double")
-    line = X.format_trailer(F.col("a"), F.col("n"), F.col("p"))
-    got = [tuple(r) for r in rows.select(line, X.trailer_action(X.trailer_line(line))).collect()]
+    line = X.format_trailer(F.col("a"), F.col("n"), F.col("p"), "Review")
+    got = [tuple(r) for r in rows.select(line, X.trailer_action(X.trailer_line(line, "Review"))).collect()]
     assert got == [(f"{P} ran (iter:2, coverage:50%)", "reviewed"), (f"{P} vouched (iter:1, coverage:100%)", "vouched"), (f"{P} skipped", "skipped"), (f"{P} odd (iter:3, coverage:1%)", "none")]
 
 
@@ -50,7 +50,7 @@ def test_dumps_are_read_and_malformed_records_dropped(spark, tmp_path):
     plain = record("bb22", "bb", "Bob", "b@x", "not a date", "wip", "wip")
     text = history.RECORD.join([good, "\n" + plain, "\n" + record("too", "few"), "\n"])
     (tmp_path / "dump").write_text(text)
-    rows = history.parse(history.read_dump(spark, f"file://{tmp_path}/dump"), "dev").orderBy("hash").collect()
+    rows = history.parse(history.read_dump(spark, f"file://{tmp_path}/dump"), "Review", "dev").orderBy("hash").collect()
     assert [tuple(r) for r in rows] == [("aa11", "aa", " Ann ", "a@x", "2026-01-01T21:34:05Z", "dev", "fix: it", "reviewed", 1, 40), ("bb22", "bb", "Bob", "b@x", "", "dev", "wip", "none", 0, 0)]
 
 
@@ -65,6 +65,33 @@ def test_gate_stops_the_rest(sql):
         catalog.check_read_only(sql)
 
 
+def test_gate_refuses_what_a_plan_would_write_or_reach(spark):
+    log = spark.createDataFrame(log_rows(4), history.SCHEMA)
+    spark.createDataFrame([(1,)], "a int").write.mode("overwrite").saveAsTable("victim")
+    bad = [
+        "WITH t AS (SELECT 7 AS a) INSERT INTO victim SELECT a FROM t",
+        "WITH t AS (SELECT 7 AS a) FROM t INSERT OVERWRITE victim SELECT a",
+        "SELECT reflect('java.lang.System', 'getProperty', 'user.home')",
+        "SELECT * FROM (SELECT java_method('java.util.UUID', 'randomUUID'))",
+        "SELECT * FROM parquet.`/tmp/x`",
+        "SELECT * FROM review_log WHERE EXISTS (SELECT * FROM text.`/etc/hosts`)",
+        "SELECT (1",
+    ]
+    for sql in bad:
+        with pytest.raises(catalog.QueryError):
+            catalog.run(log, sql)
+    assert [tuple(r) for r in spark.table("victim").collect()] == [(1,)]
+    spark.sql("DROP TABLE victim")
+    twice = "WITH a AS (SELECT author FROM review_log) SELECT count(*) AS n FROM a JOIN review_log USING (author) WHERE author NOT IN (SELECT author FROM review_log WHERE iterations > 9)"
+    assert catalog.run(log, twice).first()["n"] == 4
+
+
+def test_trailers_of_other_tools_are_none(spark):
+    rows = spark.createDataFrame([("Other Pre-Commit Check: ran",), ("XReview Pre-Commit Check: ran",), ("Re.iew Pre-Commit Check: ran",), (f"  {P} ran",)], "m string")
+    assert [r[0] for r in rows.select(X.trailer_action(X.trailer_line(F.col("m"), "Review"))).collect()] == ["none", "none", "none", "reviewed"]
+    assert [r[0] for r in rows.select(X.trailer_action(X.trailer_line(F.col("m"), "Re.iew"))).collect()] == ["none", "none", "reviewed", "none"]
+
+
 def test_arguments():
     a = catalog.Arguments.parse(["stats", "--json", "--from=2026-01-01", "--to", "2026-02-01", "--range", "a..b"])
     assert (a.words, a.json, a.start, a.end, a.range) == (["stats"], True, "2026-01-01", "2026-02-01", "a..b")
@@ -106,11 +133,11 @@ def test_groups_and_empty_logs(spark):
 def test_commands_over_a_dump(spark, tmp_path):
     records = [record(f"h{i}", f"{i}", "Ann", "a@x", f"2026-01-{i:02}T00:00:00Z", "s", f"{P} ran") for i in range(1, 10)]
     (tmp_path / "d").write_text(history.RECORD.join(records))
-    rows, args = catalog.command(spark, f"file://{tmp_path}/d", ["stats", "--from", "2026-01-03", "--to=2026-01-05", "-j"])
+    rows, args = catalog.command(spark, f"file://{tmp_path}/d", ["stats", "--from", "2026-01-03", "--to=2026-01-05", "-j"], "Review")
     columns, cells = render.rows_of(rows)
     assert args.json and render.json_rows(columns, cells) == '[{"Action":"reviewed","Commits":"3","AvgIter":"0","AvgCoveragePct":"0"}]'
     with pytest.raises(catalog.QueryError):
-        catalog.command(spark, "unused", ["--json"])
+        catalog.command(spark, "unused", ["--json"], "Review")
 
 
 def test_rendering():
@@ -126,6 +153,8 @@ def test_sqlite_columns(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
     lit = F.lit
     assert one(S.divide(lit(5), lit(2))) == 2 and one(S.divide(lit(-5), lit(2))) == -2 and one(S.divide(lit(1), lit(0))) is None
+    big = lit(9007199254740993)
+    assert one(S.divide(big, lit(1))) == 9007199254740993 and one(S.divide(big, lit(-2))) == -4503599627370496 and one(S.divide(lit(None).cast("long"), lit(2))) is None
     assert one(S.substr(lit("hello"), 0, 3)) == "he" and one(S.substr(lit("hello"), 2, 3)) == "ell"
     assert one(S.glob(lit("a1b"), "a[0-9]*")) and not one(S.glob(lit("A1b"), "a*")) and one(S.glob(lit("a.b"), "a.?"))
     assert one(S.greatest(lit(1), lit(3))) == 3 and one(S.greatest(lit(1), lit(None))) is None and one(S.least(lit(1), lit(3))) == 1
@@ -141,7 +170,7 @@ def test_sqlite_columns(spark):
 
 def test_text_columns(spark):
     assert column(spark, ["msg\r\n\n", "a\x07b\tc"], X.sanitize_message) == ["msg", "ab\tc"]
-    assert column(spark, [f"# c\n\nkeep\n{P} ran\n two "], X.initial_message) == ["keep\n two"]
+    assert column(spark, [f"# c\n\nkeep\n{P} ran\n two "], lambda c: X.initial_message(c, "Review")) == ["keep\n two"]
     assert column(spark, ["text\n ## Head it \nmore", "none"], X.first_heading) == ["Head it", ""]
     assert column(spark, ["a  b\nc", "x" * 70], lambda c: X.preview(c, 60)) == ["a b c", "x" * 59 + "…"]
     assert column(spark, [["a", "b", "c"], ["a"]], lambda c: X.capped_list(c, 2), "array<string>") == ["a, b and 1 more", "a"]

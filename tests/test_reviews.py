@@ -165,7 +165,19 @@ def test_events(spark):
     (one, two) = events.comments(rows).collect()
     assert (one["file_path"], one["line"], one["content"], one["severity"], one["category"]) == ("a.go", 3, "hm", "critical", "review") and two["content"] == "hm"
     assert {r["review"]: r["status"] for r in events.status(rows, "review").collect()} == {1: "completed", 2: ""}
-    assert events.message(rows.where("seq = 6")).first()["message"] == "Done: 1 batch"
+    assert events.message(rows.where("seq = 6")).first()["message"] == "Process completed with 0 comments"
+    texts = [
+        ("log", None, r'{"message": "a\\nb \\t\\\"c"}', 'a\nb   "c'), ("batch", None, '{"status": "processing", "fileCount": 1}', "Batch unknown started: processing 1 file"),
+        ("batch", "7", '{"status": "completed", "commentCount": 2}', "Batch 7 completed: generated 2 comments"), ("batch", "7", "{}", "Batch 7: unknown status"), ("status", None, "{}", "Status: unknown"),
+        ("artifact", None, '{"url": "u", "kind": "report"}', "Generated: report"), ("artifact", None, '{"kind": ""}', "Artifact: unknown"),
+        ("completion", None, '{"resultSummary": "fine", "commentCount": 3}', "fine"), ("completion", None, '{"commentCount": 1}', "Process completed with 1 comment"), ("odd", None, '{"a":1}', '{"a":1}'), ("odd", None, None, "{}"),
+    ]
+    told = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "seq int, type string, batchId string, data string, want string")
+    assert all(r["message"] == r["want"] for r in events.message(told).collect())
+    # Events without an id are told apart by their number, and parts that are missing keep their place.
+    alike = [(None, "log", None, "b", "x", 1), (None, "log", None, "b", "x", 2), (None, "log", None, None, "x", 3), (None, "log", "b", None, "x", 3), ("", "log", None, "", "x", 4), ("", "odd", None, "", "y", 5)]
+    kept = events.deduplicate(spark.createDataFrame(alike, "id string, type string, time string, batchId string, data string, seq int")).collect()
+    assert sorted(r["seq"] for r in kept) == [1, 2, 3, 3, 4]
     perf = {r["review"]: (r["elapsed_ms"], r["first_comment_ms"], r["total_comments"]) for r in events.performance(rows, "review").collect()}
     assert perf == {1: (4000, 1000, 2), 2: (0, 0, 1)}
 
