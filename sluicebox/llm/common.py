@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,14 +20,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders that this driver has written, in order.
+_written: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder that the driver and all executors share.
 
-    It lies in ``spark.checkpoint.dir``; where that is unset (a local session in
-    tests) it is a temporary folder of this machine.
+    It lies in ``spark.checkpoint.dir``, in one folder for the application, which
+    release() deletes.  Where that is unset, a session of this machine alone gets a
+    temporary folder of this machine; a cluster is refused.
     """
-    top = spark.conf.get("spark.checkpoint.dir", "") or os.path.join(tempfile.gettempdir(), f"sluicebox-{spark.sparkContext.applicationId}")
-    return f"{top.rstrip('/')}/sluicebox-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    top = spark.conf.get("spark.checkpoint.dir", "")
+    if not top:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        top = tempfile.gettempdir()
+    path = f"{top.rstrip('/')}/sluicebox-{context.applicationId}/{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def release(spark: SparkSession, since: int = 0, but: int = 0) -> None:
+    """Delete the folders written so far (from the one numbered ``since`` on, but for the last ones): results that read them must have been written."""
+    for path in _written[since : len(_written) - but]:
+        _delete(spark, path)
+    del _written[since : len(_written) - but]
+
+
+def stage_result(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What make() gives, written and read again; what it has written on the way is deleted."""
+    since = len(_written)
+    out = materialize(make(), name)
+    release(out.sparkSession, since, 1)
+    return out
 
 
 @contextmanager
@@ -71,8 +102,8 @@ def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], It
 
 
 def joined_binary(order: str, value: str) -> Column:
-    """An aggregate: the group's binary values joined in order; each byte is copied once, as a character."""
-    parts = F.array_sort(F.collect_list(F.struct(order, value)))
+    """An aggregate: the group's binary values (null: none) joined in order; each byte is copied once, as a character."""
+    parts = F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), F.struct(order, value))))
     return F.encode(F.array_join(F.transform(parts, lambda x: F.decode(x[value], "ISO-8859-1")), ""), "ISO-8859-1")
 
 
@@ -82,5 +113,5 @@ def crc32_fold(id_column: str, folds: int, fold: int):
 
 
 def text_key(text: str = "text"):
-    """A short digest that tells apart rows which share an id but not their text."""
-    return F.hash(F.coalesce(F.col(text), F.lit("")))
+    """A digest that tells apart rows which share an id but not their text."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
