@@ -8,9 +8,12 @@ corpus.  Document shingles meet these prefixes; the prefix's place in the window
 then fixes where the window must start and end (positional and length bounds),
 and the words there are compared one by one with the window's.
 
-The windows go to the tasks in blocks of bounded bytes, whatever the size of the
-benchmark; each block is a pass over the documents.  Documents are never
-shuffled unless a benchmark has more than one block.
+Windows, shingles, their counts and the choice of the rarest are Spark tables.
+Two kinds of things go to the tasks, in blocks of bounded size whatever the
+benchmark's: shingle hashes to be counted in a pass over the documents, and
+(window, item) pairs with their prefix to be searched for in another.  A window
+that very many items share is so many pairs, dealt over the blocks.  Documents
+are never shuffled unless the pairs are more than one block.
 
 Defined results: a null or empty text has no words, no hits and no items; items
 without words have no windows; repeated items count by their distinct ids, null
@@ -21,7 +24,6 @@ benchmark hits nothing; other columns are kept and never looked at.
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +37,10 @@ from .common import map_batches, materialize
 
 WINDOW_WORDS = 10
 SHINGLE_WORDS = 5
-#: Bytes of window text that go to the tasks at once.
+#: Bytes of windows and their items that go to the tasks at once, about.
 BLOCK_BYTES = 16 << 20
+#: Shingle hashes that go to the tasks at once, about.
+BLOCK_SHINGLES = 1 << 20
 
 
 def words_of(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -67,53 +71,76 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
     return rows.transform(map_batches, run, "item_id string, window_bytes binary").distinct()
 
 
+def shingles(windows: DataFrame) -> DataFrame:
+    """Each window's shingles: window_bytes, n (words in the shingle), h and j (its place)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            joined = batch.column("window_bytes").to_pylist()
+            words = [w.split(b" ") for w in joined]
+            raw = np.frombuffer(b"".join(b for w in words for b in w), np.uint8)
+            lens = np.array([len(b) for w in words for b in w], np.int64)
+            ends = np.cumsum(lens)
+            hashes = V.span_hashes(raw, ends - lens, ends)
+            at, own, sizes, grams, places = 0, [], [], [], []
+            for i, w in enumerate(words):
+                n = min(SHINGLE_WORDS, len(w))
+                own_grams = V.gram_hashes(hashes[at : at + len(w)], n)
+                own.append(np.full(len(own_grams), i))
+                sizes.append(np.full(len(own_grams), n, np.int32))
+                grams.append(own_grams)
+                places.append(np.arange(len(own_grams), dtype=np.int32))
+                at += len(w)
+            if own:
+                yield pa.RecordBatch.from_arrays([batch.column("window_bytes").take(pa.array(np.concatenate(own))), *(pa.array(np.concatenate(x)) for x in (sizes, [g.view(np.int64) for g in grams], places))], names=["window_bytes", "n", "h", "j"])
+
+    return windows.transform(map_batches, run, "window_bytes binary, n int, h long, j int")
+
+
 class Block:
-    """A bounded part of the windows, as arrays that tasks can search."""
-
-    def __init__(self, windows: list[tuple[bytes, list[str]]]):
-        self.windows = windows
-        joined = [w.split(b" ") for w, _ in windows]
-        self.size = np.array([len(w) for w in joined])
-        # Shingles by their number of words: all five, or all the words of a shorter window.
-        self.elements: list[tuple[int, int, int, int]] = []  # words in the shingle, hash, window, place
-        flat = np.frombuffer(b"".join(b for w in joined for b in w), np.uint8)
-        lens = np.array([len(b) for w in joined for b in w], np.int64)
-        ends = np.cumsum(lens)
-        hashes = V.span_hashes(flat, ends - lens, ends)
-        at = 0
-        for i, w in enumerate(joined):
-            n = min(SHINGLE_WORDS, len(w))
-            for j, h in enumerate(V.gram_hashes(hashes[at : at + len(w)], n)):
-                self.elements.append((n, int(h), i, j))
-            at += len(w)
-        self.keys = {n: np.unique(np.array([h for m, h, _, _ in self.elements if m == n], np.uint64)) for n in sorted({e[0] for e in self.elements})}
-
-    def choose(self, seen: dict[tuple[int, int], int]) -> None:
-        """Keep each window's rarest shingle only; seen: how often each stands in the corpus."""
-        best: dict[int, tuple] = {}
-        for n, h, i, j in self.elements:
-            rank = (seen.get((n, h), 0), h, j)
-            if i not in best or rank < best[i][0]:
-                best[i] = (rank, n, h, j)
-        prefix: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for i, (rank, n, h, j) in best.items():
-            if rank[0]:
-                prefix[n][h].append((i, j))
-        self.prefix = {n: (np.array(sorted(p), np.uint64), [p[h] for h in sorted(p)]) for n, p in prefix.items()}
-        self.elements = []
-
-
-def _blocks(windows: DataFrame, block_bytes: int) -> Iterator[Block]:
-    grouped = windows.groupBy("window_bytes").agg(F.array_sort(F.collect_set("item_id")).alias("items")).orderBy("window_bytes")
-    rows, size = [], 0
-    for r in grouped.toLocalIterator():
-        rows.append((bytes(r["window_bytes"]), r["items"]))
-        size += len(rows[-1][0]) + 16 * len(rows[-1][1])
-        if size >= block_bytes:
-            yield Block(rows)
-            rows, size = [], 0
-    if rows:
-        yield Block(rows)
+    """A bounded part of the (window, item) pairs with the windows' prefixes, as arrays that tasks can search."""
+
+    def __init__(self, pairs: pa.Table):
+        coded = pairs.column("window_bytes").combine_chunks().dictionary_encode()
+        self.windows = coded.dictionary.to_pylist()
+        code = np.asarray(coded.indices, np.int64)
+        items = pairs.column("item_id").to_pylist()
+        order = np.argsort(code, kind="stable")
+        cut = np.searchsorted(code[order], np.arange(len(self.windows) + 1))
+        self.items = [[items[i] for i in order[a:b]] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        first = order[cut[:-1]] if len(code) else order
+        n, h, j, size = (pairs.column(c).to_numpy()[first] for c in ("n", "h", "j", "size"))
+        self.size = size
+        #: By the number of words in a shingle: sorted hashes, and the windows and places of each.
+        self.prefix = {}
+        for words in np.unique(n):
+            mine = np.flatnonzero(n == words)
+            keys, back = np.unique(h[mine].view(np.uint64), return_inverse=True)
+            places: list[list[tuple[int, int]]] = [[] for _ in keys]
+            for k, w in zip(back.tolist(), mine.tolist(), strict=True):
+                places[k].append((w, int(j[w])))
+            self.prefix[int(words)] = (keys, places)
+
+
+def _blocks_of(rows: DataFrame, n: int, *by: str) -> Iterator[DataFrame]:
+    """rows in n parts by a hash."""
+    for b in range(n):
+        yield rows if n == 1 else rows.where(F.pmod(F.xxhash64(*by), F.lit(n)) == b)
+
+
+def prefixed(benchmark: DataFrame, docs: DataFrame, text: str, window: int = WINDOW_WORDS) -> DataFrame:
+    """(window_bytes, item_id) with the window's prefix n, h, j and its words (size); windows of which no document has all shingles are left out."""
+    pairs = materialize(item_windows(benchmark, window), "windows")
+    elements = materialize(shingles(pairs.select("window_bytes").distinct()), "shingles")
+    keys = materialize(elements.select("n", "h").distinct(), "keys")
+    counts = None
+    for part in _blocks_of(keys, max(1, -(-keys.count() // BLOCK_SHINGLES)), "h"):
+        found = shingle_counts(docs, part.toArrow(), text)
+        counts = found if counts is None else counts.unionByName(found)
+    counted = elements.join(materialize(counts, "counts"), ["n", "h"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    rarest = counted.groupBy("window_bytes").agg(F.min(F.struct("c", "h", "j", "n")).alias("p")).where("p.c > 0")
+    size = F.size(F.split(F.decode("window_bytes", "UTF-8"), " "))
+    return materialize(pairs.join(rarest, "window_bytes").select("window_bytes", "item_id", "p.n", "p.h", "p.j", size.alias("size")), "prefixes")
 
 
 def _found(keys: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,9 +163,10 @@ def _inside(first: np.ndarray, n_words: int, size: int) -> np.ndarray:
     return row[: n_words - size + 1] == row[size - 1 :] if n_words >= size else np.zeros(0, bool)
 
 
-def shingle_counts(docs: DataFrame, block: Block, text: str) -> dict[tuple[int, int], int]:
-    """How often each shingle of the block stands in all documents (at most a row for each and task is shuffled)."""
-    shared = docs.sparkSession.sparkContext.broadcast(block.keys)
+def shingle_counts(docs: DataFrame, wanted: pa.Table, text: str) -> DataFrame:
+    """How often each wanted shingle (n, h) stands in all documents: c. At most a row for each and task is shuffled."""
+    n, h = wanted.column("n").to_numpy(), wanted.column("h").to_numpy().view(np.uint64)
+    shared = docs.sparkSession.sparkContext.broadcast({int(k): np.sort(h[n == k]) for k in np.unique(n)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = shared.value
@@ -154,8 +182,7 @@ def shingle_counts(docs: DataFrame, block: Block, text: str) -> dict[tuple[int,
             some = np.flatnonzero(total[n])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), n, np.int32)), pa.array(k[some].view(np.int64)), pa.array(total[n][some])], names=["n", "h", "c"])
 
-    counted = docs.select(text).transform(map_batches, run, "n int, h long, c long").groupBy("n", "h").agg(F.sum("c").alias("c"))
-    return {(r["n"], r["h"] & ((1 << 64) - 1)): r["c"] for r in counted.toLocalIterator()}
+    return docs.select(text).transform(map_batches, run, "n int, h long, c long").groupBy("n", "h").agg(F.sum("c").alias("c"))
 
 
 def _hits(part: pa.RecordBatch, text: str, block: Block) -> tuple[np.ndarray, list[np.ndarray], list[set[str]]]:
@@ -174,11 +201,10 @@ def _hits(part: pa.RecordBatch, text: str, block: Block) -> tuple[np.ndarray, li
                 a, b = p - j, p - j + int(block.size[i])
                 if a < first[row] or b > first[row + 1]:
                     continue
-                window, ids = block.windows[i]
-                if b" ".join(data[s:e].tobytes() for s, e in zip(starts[a:b], ends[a:b], strict=True)) == window:
+                if b" ".join(data[s:e].tobytes() for s, e in zip(starts[a:b], ends[a:b], strict=True)) == block.windows[i]:
                     marks[a] += 1
                     marks[b] -= 1
-                    items[row].update(ids)
+                    items[row].update(block.items[i])
     hit = np.flatnonzero(np.cumsum(marks[:-1]) > 0)
     cut = np.searchsorted(hit, first)
     return n_words, [hit[cut[i] : cut[i + 1]] - first[i] for i in range(part.num_rows)], items
@@ -197,37 +223,31 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", kee
     keep = [c for c in docs.columns if c not in names and (keep_text or c != text)]
     kept = [f for f in docs.schema.fields if f.name in keep]
     schema = T.StructType([*kept, *(T.StructField(*x) for x in RESULT)])
-    blocks = _blocks(materialize(item_windows(benchmark), "windows"), block_bytes)
-    sc = docs.sparkSession.sparkContext
-    done = [_ready(docs, next(blocks, Block([])), text)]
-    following = next(blocks, None)
-    if following is None:
-        shared = sc.broadcast(done[0])
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in V.slices(batch, text):
-                    n_words, hit, items = _hits(part, text, shared.value)
-                    n_hit = np.array([len(h) for h in hit], np.int64)
-                    cols = [part.column(c) for c in keep] + [pa.array(n_words), pa.array(n_hit), pa.array([len(x) for x in items], pa.int64()), pa.array([_digest(x) for x in items], pa.string()), pa.array(n_hit > 0)]
-                    yield pa.RecordBatch.from_arrays(cols, names=schema.names)
-
-        return docs.select(*dict.fromkeys([*keep, text])).transform(map_batches, run, schema)
-    return _by_blocks(docs, text, keep, done[0], following, blocks)
+    pairs = prefixed(benchmark, docs, text)
+    weight = pairs.agg(F.sum(F.octet_length("window_bytes") + F.octet_length("item_id") + 16).alias("w")).first()["w"] or 0
+    blocks = [*_blocks_of(pairs, max(1, -(-weight // block_bytes)), "window_bytes", "item_id")]
+    if len(blocks) > 1:
+        return _by_blocks(docs, text, keep, blocks)
+    shared = docs.sparkSession.sparkContext.broadcast(Block(pairs.toArrow()))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in V.slices(batch, text):
+                n_words, hit, items = _hits(part, text, shared.value)
+                n_hit = np.array([len(h) for h in hit], np.int64)
+                cols = [part.column(c) for c in keep] + [pa.array(n_words), pa.array(n_hit), pa.array([len(x) for x in items], pa.int64()), pa.array([_digest(x) for x in items], pa.string()), pa.array(n_hit > 0)]
+                yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-def _ready(docs: DataFrame, block: Block, text: str) -> Block:
-    block.choose(shingle_counts(docs, block, text) if block.elements else {})
-    return block
+    return docs.select(*dict.fromkeys([*keep, text])).transform(map_batches, run, schema)
 
 
-def _by_blocks(docs: DataFrame, text: str, keep: list[str], block: Block, following: Block | None, blocks: Iterator[Block]) -> DataFrame:
-    """The same for a benchmark of several blocks: one pass over the documents for each, then hits are joined by text."""
+def _by_blocks(docs: DataFrame, text: str, keep: list[str], blocks: list[DataFrame]) -> DataFrame:
+    """The same for pairs of several blocks: one pass over the documents for each, then hits are joined by text."""
     sc, digest = docs.sparkSession.sparkContext, F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
     texts = docs.select(digest.alias("sb_text_digest"), F.col(text).alias("sb_text"))
     found = None
-    while block is not None:
-        shared = sc.broadcast(block)
+    for block in blocks:
+        shared = sc.broadcast(Block(block.toArrow()))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -238,9 +258,8 @@ def _by_blocks(docs: DataFrame, text: str, keep: list[str], block: Block, follow
 
         # Copies of a text have the same hits, so each text's are kept once.
         part = materialize(texts.transform(map_batches, run, "sb_text_digest string, sb_hit array<bigint>, sb_items array<string>").groupBy("sb_text_digest").agg(F.first("sb_hit").alias("sb_hit"), F.first("sb_items").alias("sb_items")), "hits")
+        shared.destroy()
         found = part if found is None else found.unionByName(part)
-        block = _ready(docs, following, text) if following is not None else None
-        following = next(blocks, None)
     merged = found.groupBy("sb_text_digest").agg(F.size(F.array_distinct(F.flatten(F.collect_list("sb_hit")))).cast("long").alias("sb_n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sb_items")))).alias("sb_items"))
     counted = contamination_words(docs.withColumn("sb_text_digest", digest), text)
     joined = counted.join(merged, "sb_text_digest", "left")
