@@ -13,6 +13,10 @@ from . import bitplanes, bpe, decontam, language, media, quality, sharding, simh
 from .common import crc32_fold, shared_dir, table
 
 
+#: The setting that names the folder of stored token counts.
+TOKEN_CACHE = "spark.sluicebox.tokenCache"
+
+
 def tokenizer(name: str) -> str:
     """Where a public tokenizer's file is; the folder can be set by SLUICEBOX_TOKENIZERS."""
     folder = os.environ.get("SLUICEBOX_TOKENIZERS")
@@ -27,7 +31,9 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_counts.count_tokens(docs, tokenizer("piece_bpe_32k.model"), f"{shared_dir(spark)}/token_counts")
+    # A cache that outlives the run is named by the session; without one the run keeps its own.
+    cache = spark.conf.get(TOKEN_CACHE, "") or f"{shared_dir(spark)}/token_counts"
+    return token_counts.count_tokens(docs, tokenizer("piece_bpe_32k.model"), cache)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

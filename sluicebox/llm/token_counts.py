@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from . import vectext as V
-from .common import map_batches, shuffle_cleanup
+from .common import map_batches, materialize, shuffle_cleanup
 from .segments import SEGMENT_SLICE_BYTES, SegmentMemo, byte_level_memo, word_piece_memo
 
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens long"
@@ -109,6 +109,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, text: st
         _encode_distinct(misses.repartition("content_digest"), tokenizer_path, version).write.mode("append").parquet(cache_path)
     # Two runs at once may both store a text; a count depends on nothing but the digests.
     counts = read_cache(spark, cache_path).where(F.col("tokenizer_digest") == version).groupBy("content_digest").agg(F.max("n_tokens").alias("sb_tokens"))
+    # Both sides of the join are then plain reads, so that Spark can split the rows of a digest that very many texts have.
+    counts = materialize(counts, "counts")
     keep = [c for c in docs.columns if c not in (text, "n_bytes", "n_tokens", "over_limit")]
     rows = docs.select(F.struct(*keep).alias("sb_keep"), F.octet_length(body).cast("long").alias("n_bytes"), digest.alias("content_digest"))
     joined = rows.join(counts, "content_digest")
