@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from . import vectext as V
-from .common import map_batches, shuffle_cleanup
+from .common import joined_binary, map_batches, shuffle_cleanup
 from .segments import SEGMENT_SLICE_BYTES, SegmentMemo, byte_level_memo
 
 BLOCK_IDS = 1 << 16
@@ -167,6 +167,6 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     sizes = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     pieces = blocks.transform(map_batches, _pieces, PIECE_SCHEMA)
-    joined = pieces.groupBy("part", "start").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.max("crc").alias("crc"), F.array_sort(F.collect_list(F.when(F.col("raw").isNotNull(), F.struct("block", "raw")))).alias("parts"))
-    raw = F.aggregate("parts", F.lit(b"").cast("binary"), lambda all_, x: F.concat(all_, x["raw"]))
-    return joined.join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.col("start")).cast("long").alias("start"), "n_tokens", F.coalesce("crc", F.crc32(raw)).alias("ids_crc32"))
+    # Only documents over several blocks come in pieces with bytes.
+    joined = pieces.groupBy("part", "start").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.max("crc").alias("crc"), joined_binary("block", "raw").alias("raw"))
+    return joined.join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.col("start")).cast("long").alias("start"), "n_tokens", F.coalesce("crc", F.crc32("raw")).alias("ids_crc32"))
