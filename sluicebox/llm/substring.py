@@ -27,7 +27,6 @@ are kept and never looked at; an empty table gives an empty table.
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -216,7 +215,8 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     wanted = texts.join(several, "fp", "left_semi").select("one.sb_key", "one.sb_tk", "one.s1", "one.s2", (F.col("n") == 1).alias("open"))
     # A repeated row gives its windows twice, but all its entries are whole already, so nothing open is added.
     digests = materialize(_window_digests(docs, wanted, key, text, window), "digests")
-    twice = digests.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w")
+    # A plain read on both sides: Spark can split the entries of a window that very many texts have.
+    twice = materialize(digests.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w"), "twice")
     single = digests.where("open").join(twice, "w", "left_semi").select("sb_key", "sb_tk", F.col("s").alias("s1"), F.col("s").alias("s2"))
     return whole.unionByName(single)
 
@@ -268,7 +268,3 @@ def _left(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndar
     sizes = np.concatenate([[0], np.cumsum(np.where(gone, 0, lengths))])
     begin, stop = sizes[first[:-1]], sizes[first[1:]]
     return data[stay].tobytes(), [(a, max(a, b - 1)) for a, b in zip(begin.tolist(), stop.tolist(), strict=True)]
-
-
-def sha256_of(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
