@@ -7,8 +7,10 @@ those that use the script.  Viterbi over the words of a text, with a penalty for
 each switch of language, then labels spans; a text's language is the one that
 holds most of its letters, and its score is that share.
 
-The counts behind the model are taken over all training rows and merged by
-Spark; a model has at most N-gram buckets x languages entries.
+The counts behind the model are taken over all training rows, in tasks that hold
+COUNTED_TOGETHER languages at once, and merged by Spark.  There is no limit on
+the number of languages; the model has a float for each bucket and language,
+which is 1.3 MB a language in the driver and in each worker.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0;
 ties go to the language first by name; without any training row every text is
@@ -45,7 +47,8 @@ LIKELIHOOD_MARGIN = 1.3
 #: Bytes of text whose rows advance in step.
 STEP_BYTES = 1 << 20
 UNDETERMINED = "und"
-MAX_LANGUAGES = 250
+#: Languages whose counts a training task holds; it hands on those of the others first.
+COUNTED_TOGETHER = 12
 
 #: First code points of ranges and the script that they begin.
 SCRIPT_RANGES = [
@@ -104,45 +107,55 @@ class Model:
 def train(docs: DataFrame, chosen: Column, text: str = "text", lang: str = "lang") -> Model:
     """Learn from the rows for which ``chosen`` holds and whose language is known."""
     rows = docs.where(chosen & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    languages = sorted(r["lang"] for r in rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    languages = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
     number = {x: i for i, x in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(languages), DIMENSIONS), np.int64)
-        used = np.zeros((len(languages), len(SCRIPTS)), np.int64)
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def hand_on(k: int) -> pa.RecordBatch:
+            total, used = held.pop(k)
+            some = np.flatnonzero(total)
+            return _counts(k, np.concatenate([some, -1 - np.arange(len(SCRIPTS))]), np.concatenate([total[some], used]))
+
         for batch in batches:
             own = np.array([number[x] for x in batch.column("lang").to_pylist()], np.int64)
-            for k in range(len(languages)):
+            for k in np.unique(own).tolist():
                 mine = batch.filter(pa.array(own == k))
+                if k not in held and len(held) >= COUNTED_TOGETHER:
+                    yield hand_on(next(iter(held)))
+                # What was counted last is handed on last.
+                total, used = held[k] = held.pop(k, None) or (np.zeros(DIMENSIONS, np.int64), np.zeros(len(SCRIPTS), np.int64))
                 for part in V.slices(mine, "text", STEP_BYTES):
                     data, offsets = V.flat(part.column("text"))
                     if not len(data):
                         continue
                     starts, _, _ = V.word_spans(data, offsets, LETTERS)
-                    used[k] += np.bincount(scripts_of(data, starts), minlength=len(SCRIPTS))
+                    used += np.bincount(scripts_of(data, starts), minlength=len(SCRIPTS))
                     near = _in_words(data)
                     for g in grams(data):
-                        total[k] += np.bincount(g[near], minlength=DIMENSIONS)
-        for k in range(len(languages)):
-            some = np.flatnonzero(total[k])
-            yield _counts(k, some, total[k][some])
-            yield _counts(k, -1 - np.arange(len(SCRIPTS)), used[k])
+                        total += np.bincount(g[near], minlength=DIMENSIONS)
+        while held:
+            yield hand_on(next(iter(held)))
 
     merged = rows.transform(map_batches, count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     k, bucket, n = (merged.column(c).to_numpy() for c in ("lang", "bucket", "n"))
-    counts, used = np.zeros((len(languages), DIMENSIONS)), np.zeros((len(languages), len(SCRIPTS)))
-    counts[k[bucket >= 0], bucket[bucket >= 0]] = n[bucket >= 0]
-    used[k[bucket < 0], -1 - bucket[bucket < 0]] = n[bucket < 0]
+    order = np.argsort(k, kind="stable")
+    cut = np.searchsorted(k[order], np.arange(len(languages) + 1))
+    used = np.zeros((len(languages), len(SCRIPTS)))
     table = np.zeros((DIMENSIONS, max(1, len(languages))), np.float32)
     usual = np.zeros(max(1, len(languages)))
-    for a, b in ((BASES[0], BASES[1]), (BASES[1], BASES[2]), (BASES[2], DIMENSIONS)):
-        # A bucket that a language has never shown counts as SMOOTHING times.
-        part = counts[:, a:b] + SMOOTHING
-        if languages:
-            table[a:b] = (np.log(part) - np.log(part.sum(1, keepdims=True))).T / 2
-            usual += (counts[:, a:b] * table[a:b].T).sum(1) / np.maximum(counts[:, a:b].sum(1), 1)
+    for i in range(len(languages)):
+        mine = order[cut[i] : cut[i + 1]]
+        own, times = bucket[mine], n[mine]
+        used[i, -1 - own[own < 0]] = times[own < 0]
+        counts = np.zeros(DIMENSIONS)
+        counts[own[own >= 0]] = times[own >= 0]
+        for a, b in ((BASES[0], BASES[1]), (BASES[1], BASES[2]), (BASES[2], DIMENSIONS)):
+            # A bucket that a language has never shown counts as SMOOTHING times.
+            part = counts[a:b] + SMOOTHING
+            table[a:b, i] = (np.log(part) - np.log(part.sum())) / 2
+            usual[i] += (counts[a:b] * table[a:b, i]).sum() / max(counts[a:b].sum(), 1)
     allowed = (used > np.maximum(SCRIPT_SHARE * used.sum(1, keepdims=True), 0)).T
     return Model(languages, table, allowed, usual)
 
@@ -186,10 +199,10 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float = SWITCH_PENAL
     begin, lengths = first[:-1][order], lengths[order]
     steps = int(lengths[0]) if len(lengths) else 0
     states = scores.shape[1]
-    back = np.empty(scores.shape, np.uint8)
+    back = np.empty(scores.shape, np.min_scalar_type(max(1, states - 1)))
     best = np.zeros((len(order), states), np.float64)
     active = np.searchsorted(-lengths, -np.arange(1, steps + 1), side="right")
-    own = np.arange(states, dtype=np.uint8)
+    own = np.arange(states, dtype=back.dtype)
     for t in range(steps):
         k = active[t]
         v = best[:k]
@@ -197,9 +210,9 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float = SWITCH_PENAL
         switch = v[np.arange(k), top] - penalty
         stay = v >= switch[:, None]
         w = begin[:k] + t
-        back[w] = np.where(stay, own, top[:, None].astype(np.uint8))
+        back[w] = np.where(stay, own, top[:, None].astype(back.dtype))
         best[:k] = np.where(stay, v, switch[:, None]) + scores[w]
-    label = np.empty(len(scores), np.uint8)
+    label = np.empty(len(scores), back.dtype)
     state = best.argmax(1)
     for t in range(steps - 1, -1, -1):
         k = active[t]
@@ -236,13 +249,15 @@ def identify(docs: DataFrame, model: Model, text: str = "text", spans: bool = Fa
     kept = [f for f in docs.schema.fields if f.name not in {x.name for x in extra}]
     schema = T.StructType(kept + extra)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    # A word has a score in each language: with many languages fewer rows go together.
+    step = max(1 << 16, STEP_BYTES * 4 // max(4, len(model.languages)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             # Texts of like length go together: rows of a slice advance in step.
             batch = batch.take(pc.sort_indices(pc.fill_null(pc.binary_length(batch.column(text)), 0)))
-            for part in V.slices(batch, text, STEP_BYTES):
+            for part in V.slices(batch, text, step):
                 pred, score, known, found = predict(part, text, m, spans, determined)
                 if filtered:
                     ok = np.array([p != UNDETERMINED for p in pred], bool)
