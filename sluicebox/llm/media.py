@@ -3,25 +3,28 @@
 An Aho-Corasick automaton finds all magic bytes of a stored value in one pass.
 Each place found is handed to its format's validator, which confirms the
 structure (chunk lengths, checksums, sizes) and returns the format's own length.
-The format that stands at the value's first byte corrects the declared type;
-confirmed formats that start later, or that stand in what follows the first
-one's end, are carved out.
+The format that stands at the value's first byte corrects the declared type; all
+other confirmed formats are carved out, those that follow it and those that lie
+whole in another's body (a picture in a PDF's stream or in a WAV's samples),
+each with the place of the piece that holds it.
 
 ``store`` is the other direction: it keeps a text's bytes losslessly as 8-bit
 samples of a mono WAV file.
 
 Defined results: a null or empty value has no type and nothing carved; a value
 whose first bytes confirm no format keeps the declared type, unconfirmed; equal
-values give equal results; other columns are kept and never looked at.
+values give equal results; other columns are kept and never looked at, but for
+those that have an output's name, which the output replaces.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import ahocorasick
@@ -47,6 +50,7 @@ class Found:
     length: int
     detail: str
     body: tuple[int, int] = (0, 0)  # where the samples stand
+    inside: int = -1  # where the innermost piece that holds it starts
 
 
 def _wav(b: bytes, at: int) -> Found | None:
@@ -146,11 +150,17 @@ def _bmp(b: bytes, at: int) -> Found | None:
     return Found("image/bmp", at, size, f"{width}x{abs(height)}/{bits}bit")
 
 
+#: The end of a PDF's cross-references: each revision of a file has one, and a linearized file has one near its start.
+_PDF_END = re.compile(rb"startxref\s+\d+\s+%%EOF")
+
+
 def _pdf(b: bytes, at: int) -> Found | None:
-    end = b.find(b"%%EOF", at)
-    if end < 0 or not b[at + 5 : at + 6].isdigit() or b.rfind(b"startxref", at, end) < 0:
+    """Up to the last end of cross-references before another file's header."""
+    if not b[at + 5 : at + 6].isdigit():
         return None
-    return Found("application/pdf", at, end + 5 - at, b[at + 5 : at + 8].decode("latin-1"))
+    following = b.find(b"%PDF-", at + 5)
+    ends = [m.end() for m in _PDF_END.finditer(b, at, following if following >= 0 else len(b))]
+    return Found("application/pdf", at, ends[-1] - at, b[at + 5 : at + 8].decode("latin-1")) if ends else None
 
 
 def _gzip(b: bytes, at: int) -> Found | None:
@@ -191,14 +201,19 @@ def automaton() -> ahocorasick.Automaton:
 
 
 def sniff(value: bytes) -> list[Found]:
-    """The confirmed, non-overlapping pieces of media in value, by their place."""
+    """The confirmed pieces of media in value, by their place; one that overlaps another lies whole in it."""
     out: list[Found] = []
-    end = 0
+    holders: list[Found] = []
     places = sorted((last - len(FORMATS[i][0]) + 1, i) for last, i in automaton().iter(value.decode("latin-1")))
     for at, i in places:
-        if at >= end and (found := FORMATS[i][1](value, at)):
-            out.append(found)
-            end = at + found.length
+        while holders and at >= holders[-1].offset + holders[-1].length:
+            holders.pop()
+        found = FORMATS[i][1](value, at)
+        if found is None or holders and at + found.length > holders[-1].offset + holders[-1].length:
+            continue
+        found = replace(found, inside=holders[-1].offset if holders else -1)
+        out.append(found)
+        holders.append(found)
     return out
 
 
@@ -211,7 +226,7 @@ SNIFFED = T.StructType(
         T.StructField("detail", T.StringType()),
         T.StructField("body_start", T.LongType()),
         T.StructField("body_length", T.LongType()),
-        T.StructField("carved", T.ArrayType(T.StructType([T.StructField("media_type", T.StringType()), T.StructField("offset", T.LongType()), T.StructField("bytes", T.BinaryType())]))),
+        T.StructField("carved", T.ArrayType(T.StructType([T.StructField("media_type", T.StringType()), T.StructField("offset", T.LongType()), T.StructField("inside", T.LongType()), T.StructField("bytes", T.BinaryType())]))),
     ]
 )
 
@@ -228,7 +243,7 @@ def sniffed(value: bytes | None, declared: str | None) -> dict:
         "detail": own.detail if own else "",
         "body_start": own.body[0] if own else 0,
         "body_length": own.body[1] - own.body[0] if own else 0,
-        "carved": [{"media_type": p.mime, "offset": p.offset, "bytes": value[p.offset : p.offset + p.length]} for p in pieces if p is not own],
+        "carved": [{"media_type": p.mime, "offset": p.offset, "inside": p.inside, "bytes": value[p.offset : p.offset + p.length]} for p in pieces if p is not own],
     }
 
 
@@ -283,23 +298,39 @@ def describe(found: Found, samples: bytes, carved: int) -> str:
     return f"{found.mime};{found.detail};peak={int(np.abs(x).max())};energy={int((x * x).sum(dtype=np.int64)) // len(x)};crossings={crossings};carved={carved}"
 
 
-FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media_type string, type_corrected boolean, carved array<struct<media_type: string, offset: long, inside: long, length: long>>"
+
 
+def features(stored: DataFrame, media: str = "media", declared: str = "declared_type") -> DataFrame:
+    """stored without its file and declared type, with what sniff() finds in the file read back (FEATURES).
 
-def features(stored: DataFrame, media: str = "media") -> DataFrame:
-    """Read stored files back through sniff() and describe what they hold (FEATURES)."""
-    names = [x.split()[0] for x in FEATURES.split(", ")]
+    A file whose first bytes are no WAV (a null one too) has no payload: null
+    features, its declared type unless another format is confirmed.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    outputs = T._parse_datatype_string(FEATURES)
+    kept = [f for f in stored.schema.fields if f.name not in {media, declared, *outputs.names}]
+    schema = T.StructType([*kept, *outputs.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for value in batch.column(media).to_pylist():
-                own, *rest = sniff(value)
-                if own.offset or own.mime != "audio/wav":
-                    raise ValueError("a stored value is not the file that was written")
-                samples = value[own.body[0] : own.body[1]]
-                out.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(value), hashlib.sha256(value).hexdigest(), describe(own, samples, len(rest))))
-            cols = [batch.column("doc_id"), batch.column("n_bytes")] + [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    return stored.select("doc_id", "n_bytes", media).transform(map_batches, run, FEATURES)
+            for part in V.slices(batch, media, 4 << 20):
+                out = [_read_back(v, d) for v, d in zip(part.column(media).to_pylist(), part.column(declared).to_pylist(), strict=True)]
+                cols = [pa.array([r[i] for r in out], to_arrow_type(f.dataType)) for i, f in enumerate(outputs.fields)]
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), *cols], names=schema.names)
+
+    return stored.transform(map_batches, run, schema)
+
+
+def _read_back(value: bytes | None, declared: str | None) -> tuple:
+    """The features of one stored file."""
+    pieces = sniff(value) if value else []
+    own = pieces[0] if pieces and pieces[0].offset == 0 else None
+    carved = [{"media_type": p.mime, "offset": p.offset, "inside": p.inside, "length": p.length} for p in pieces if p is not own]
+    kind, corrected = (own.mime, own.mime != declared) if own else (declared if value else None, False)
+    size, digest = (len(value), hashlib.sha256(value).hexdigest()) if value is not None else (None, None)
+    if own is None or own.mime != "audio/wav":
+        return None, None, None, size, digest, None, kind, corrected, carved
+    samples = value[own.body[0] : own.body[1]]
+    return len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), size, digest, describe(own, samples, len(carved)), kind, corrected, carved
