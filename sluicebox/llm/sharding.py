@@ -9,7 +9,7 @@ it gets overflow pages instead, each of rows of like size so that none passes th
 
 Defined results: null and empty texts have size 0; a single row over the limit
 is a page of its own; repeated rows are placed each for itself; an empty table
-has no shards; other columns are kept and never looked at.
+has no shards; other columns are never looked at, and kept where assign() is told to carry them.
 """
 
 from __future__ import annotations
@@ -91,9 +91,12 @@ def pages(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def assign(docs: DataFrame, limit: int = MAX_SHARD_BYTES, key: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """doc_id (and the columns to carry), n_bytes, shard (bucket bits, colon, page), shard_bits and shard_bytes of each row."""
+    """doc_id (and the columns to carry), n_bytes, shard (bucket bits, colon, page), shard_bits and shard_bytes of each row.
+
+    Columns to carry that have an output's name are replaced by the output.
+    """
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
-    carry = carry or []
+    carry = [c for c in carry or [] if c not in (key, "n_bytes", "shard", "shard_bits", "shard_bytes")]
     rows = materialize(docs.select(*carry, F.col(key).alias("sb_key"), hash_of(key).alias("sb_hash"), size.alias("sb_bytes"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("sb_digest")), "rows")
     buckets = materialize(directory(rows, limit), "directory")
     depths = [r["bits"] for r in buckets.select("bits").distinct().collect()]  # 61 at most
