@@ -21,7 +21,7 @@ def hunk_ranges(diff: Column) -> Column:
 def diff_lines(diffs: DataFrame, key: str, diff: str) -> DataFrame:
     """A row for each content line of each file's hunks, numbered on both sides.
 
-    Columns: key, file_path, hunk, pos, kind (add, del, context), old_line,
+    Columns: key, file_path, hunk, header, pos, kind (add, del, context), old_line,
     new_line, content.  The path is the first token that starts with ``b/``;
     context lines get one more space in front, as the renderer shows them.
     """
@@ -44,7 +44,7 @@ def diff_lines(diffs: DataFrame, key: str, diff: str) -> DataFrame:
     old = F.when(F.col("kind") != "add", start(1) + running(F.col("kind") != "add"))
     new = F.when(F.col("kind") != "del", start(3) + running(F.col("kind") != "del"))
     content = F.when(F.col("kind") == "context", F.concat(F.lit(" "), "line")).otherwise(F.substring("line", 2, 1 << 30))
-    return rows.select(key, "file_path", "hunk", "pos", "kind", old.cast("int").alias("old_line"), new.cast("int").alias("new_line"), content.alias("content"))
+    return rows.select(key, "file_path", "hunk", "header", "pos", "kind", old.cast("int").alias("old_line"), new.cast("int").alias("new_line"), content.alias("content"))
 
 
 def ignore_regex(pattern: str) -> tuple[str, bool]:
@@ -52,7 +52,8 @@ def ignore_regex(pattern: str) -> tuple[str, bool]:
 
     A pattern with a slash that is not its last character is anchored at the top;
     a trailing slash matches a folder's content; ``*`` and ``?`` stop at slashes
-    and ``**`` does not.
+    and ``**`` does not; ``[...]`` is one of its characters but a slash, and none of
+    them after ``!`` or ``^``; a backslash takes the next character as it is.
     """
     negated = pattern.startswith("!")
     p = pattern[1:] if negated else pattern
@@ -70,11 +71,24 @@ def ignore_regex(pattern: str) -> tuple[str, bool]:
             out, i = out + "[^/]*", i + 1
         elif p[i] == "?":
             out, i = out + "[^/]", i + 1
+        elif p[i] == "\\" and i + 1 < len(p):
+            out, i = out + re.escape(p[i + 1]), i + 2
+        elif p[i] == "[" and (end := p.find("]", i + 3 if p[i + 1 : i + 2] in ("!", "^") else i + 2)) > 0:
+            inside = p[i + 1 : end]
+            negated_class = inside[:1] in ("!", "^")
+            members = re.sub(r"([\[\]\\&^])", r"\\\1", inside[1:] if negated_class else inside)
+            out, i = out + (f"[^/{members}]" if negated_class else f"(?!/)[{members}]"), end + 1
         else:
             out, i = out + re.escape(p[i]), i + 1
     return ("^" if anchored else "(?:^|/)") + out + ("/" if folder else "(?:/|$)"), negated
 
 
+def ignore_lines(text: str) -> list[str]:
+    """The patterns of an ignore file: its lines without carriage returns, blank lines and comments."""
+    lines = [x.rstrip("\r") for x in text.split("\n")]
+    return [x for x in lines if x.strip() and not x.strip().startswith("#")]
+
+
 def ignored(path: Column, patterns: list[str]) -> Column:
     """Whether the last pattern that matches a path excludes it."""
     out = F.lit(False)
@@ -91,3 +105,19 @@ def diff_sections(diffs: DataFrame, key: str, diff: str, patterns: list[str]) ->
     head = lambda x: F.regexp_extract(x, r"^diff --git a/(.+) b/(.+)", 2)
     out = lambda x: (head(x) != "") & ignored(head(x), patterns)
     return diffs.select(key, F.array_join(F.filter(parts, lambda x: ~out(x)), "").alias("kept"), F.transform(F.filter(parts, out), head).alias("excluded"))
+
+
+def tree_changes(names: DataFrame) -> DataFrame:
+    """tree1, tree2 and file_path of listings of changed names (tree1, tree2, names: a path a line)."""
+    return names.select("tree1", "tree2", F.explode(F.split("names", r"[\r\n]+")).alias("file_path")).where("file_path <> ''").distinct()
+
+
+def changed_ranges(diffs: DataFrame) -> DataFrame:
+    """tree1, tree2, file_path, start and end (both in) of the new side of each hunk of diffs between trees (tree1, tree2, diff).
+
+    A hunk that only takes lines away has none.
+    """
+    parts = F.split(F.regexp_replace("diff", r"(?m)^(?=diff --git a/)", "\u0000"), "\u0000")
+    sections = diffs.select("tree1", "tree2", F.explode(parts).alias("s")).withColumn("file_path", F.regexp_extract("s", r"^diff --git a/(.+) b/(.+)", 2)).where("file_path <> ''")
+    hunks = sections.select("tree1", "tree2", "file_path", F.explode(hunk_ranges(F.col("s"))).alias("h")).where("h.new_line_count > 0")
+    return hunks.select("tree1", "tree2", "file_path", F.col("h.new_start_line").alias("start"), (F.col("h.new_start_line") + F.col("h.new_line_count") - 1).alias("end"))

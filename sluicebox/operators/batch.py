@@ -49,6 +49,10 @@ OSV = """results array<struct<source:struct<path:string>,packages:array<struct<
         ecosystem_specific:struct<imports:array<struct<path:string,symbols:array<string>>>>>>>>>>>>"""
 
 
+#: Notes on vulnerabilities that are called, and on the others.
+OSV_NOTES = ("Reachable stdlib path reported by scanner; prioritize Go patch-level/major upgrade.", "Scanner reports not-called; confirm with code-path review before closure.")
+
+
 def _text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -84,6 +88,7 @@ def osv_rows(reports: DataFrame) -> DataFrame:
     ).withColumns({
         "disposition": F.when(yes, "actionable-now").otherwise("verify-reachability"),
         "fix_track": F.when(yes, "runtime-upgrade+targeted-hardening").otherwise("runtime-upgrade"),
+        "notes": F.when(yes, OSV_NOTES[0]).otherwise(OSV_NOTES[1]),
     })
 
 

@@ -2,13 +2,15 @@
 
 Sessions hold the files and hunk ranges that a review looked at, trees are
 compared through the tables of changed files and changed ranges.  One plan does
-all sessions and branches at once: lines are exploded, changed lines are taken
-off by an anti join on the line, and what is left is counted without repeats.
+all sessions and branches at once.  A line of a changed file is uncovered only if
+it is new against every tree that has looked at the file, so the trees are counted:
+all of a file's, and those in whose changed ranges the line stands.  Ranges are
+events on the file's lines, summed in line order; lines never meet trees.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FILES = "array<struct<file_path:string,hunks:array<struct<old_start_line:int,old_line_count:int,new_start_line:int,new_line_count:int>>>>"
@@ -57,9 +59,16 @@ def prior_coverage(sessions: DataFrame, current: DataFrame, tree_changes: DataFr
     changed = files.join(tree_changes, ["tree1", "tree2", "file_path"], "left_semi").where("tree1 <> tree2")
     unchanged = files.join(changed, ["branch", "tree1", "tree2", "file_path"], "left_anti").select("branch", "tree2", "file_path").distinct()
     seen = changed.join(looked, ["branch", "tree1", "file_path"], "left_semi")
-    gone = changed_ranges.select("tree1", "tree2", "file_path", F.explode(F.when(F.col("end") >= F.col("start"), F.sequence("start", "end"))).alias("line"))
-    whole = places.join(unchanged, ["branch", "tree2", "file_path"], "left_semi")
-    partly = places.join(seen, ["branch", "tree2", "file_path"]).join(gone, ["tree1", "tree2", "file_path", "line"], "left_anti").select("branch", "tree2", "file_path", "line")
+    file = ["branch", "tree2", "file_path"]
+    trees_of = seen.groupBy(*file).agg(F.count(F.lit(1)).alias("trees"))
+    ends = F.array(F.struct(F.col("start").alias("line"), F.lit(1).alias("step")), F.struct((F.col("end") + 1).alias("line"), F.lit(-1).alias("step")))
+    gone = seen.join(merged_ranges(changed_ranges), ["tree1", "tree2", "file_path"]).select(*file, F.explode(ends).alias("e")).select(*file, "e.line", "e.step")
+    both = places.join(trees_of, file, "left_semi").select(*file, "line", F.lit(0).alias("step")).unionByName(gone)
+    # All that stands at a line counts for it: a range that starts there and one that has ended before.
+    to_line = Window.partitionBy(*file).orderBy("line").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    new_against = both.withColumn("new_against", F.sum("step").over(to_line)).where("step = 0")
+    whole = places.join(unchanged, file, "left_semi")
+    partly = new_against.join(trees_of, file).where("new_against < trees").select(*file, "line")
     covered = whole.unionByName(partly).distinct().groupBy("branch", "tree2").agg(F.count(F.lit(1)).alias("covered_lines"))
     counts = sessions.groupBy("branch").agg((F.count(F.lit(1)) + 1).alias("iterations"), F.count_if(F.col("action") == "reviewed").alias("prior_reviews"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
@@ -68,6 +77,15 @@ def prior_coverage(sessions: DataFrame, current: DataFrame, tree_changes: DataFr
     return out.withColumn("prior_pct", F.coalesce(F.try_divide(F.col("covered_lines").cast("double"), F.col("total_lines").cast("double")) * 100, F.lit(0.0)))
 
 
+def merged_ranges(ranges: DataFrame) -> DataFrame:
+    """Ranges (start, end, both in) of each pair of trees and file, those that overlap as one."""
+    file = Window.partitionBy("tree1", "tree2", "file_path").orderBy("start", "end")
+    before = F.max("end").over(file.rowsBetween(Window.unboundedPreceding, -1))
+    rows = ranges.where("end >= start").withColumn("new", F.coalesce((F.col("start") > before).cast("int"), F.lit(1)))
+    rows = rows.withColumn("n", F.sum("new").over(file))
+    return rows.groupBy("tree1", "tree2", "file_path", "n").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("n")
+
+
 def file_paths(sessions: DataFrame) -> DataFrame:
     """branch, tree1 and file_path of all that the sessions looked at."""
     return sessions.select("branch", F.col("tree_hash").alias("tree1"), F.explode(F.from_json("diff_files", FILES)["file_path"]).alias("file_path")).distinct()

@@ -149,6 +149,13 @@ def keep_visible(files: DataFrame, disabled: dict[str, list[str]]) -> DataFrame:
     return rows.groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct("ord", "line", "severity", "content"))).alias("comments"))
 
 
+def toggle_category(categories: Column, subcategories: Column, value: Column, children: Column) -> Column:
+    """Both sets after a category is toggled: its subcategories (children) are disabled and enabled with it."""
+    on = F.array_contains(categories, value)
+    below = F.filter(F.transform(children, norm), lambda x: x != "")
+    return F.struct(toggle(categories, value).alias("categories"), F.when(on, F.array_except(subcategories, below)).otherwise(F.array_union(subcategories, below)).alias("subcategories"))
+
+
 def toggle(disabled: Column, value: Column) -> Column:
     """The set without the value if it is in, with it if not."""
     return F.when(F.array_contains(disabled, value), F.array_remove(disabled, value)).otherwise(F.array_append(disabled, value))

@@ -39,6 +39,11 @@ def json_rows(columns: list[str], rows: list[list[str]]) -> str:
     return "[" + ",".join("{" + ",".join(f"{text(c)}:{text(v)}" for c, v in zip(columns, r, strict=True)) + "}" for r in rows) + "]"
 
 
+def indented(text: str) -> str:
+    """JSON text over several lines, two spaces a level; <, > and & are escaped."""
+    return json.dumps(json.loads(text), indent=2, ensure_ascii=False).translate({ord(c): f"\\u{ord(c):04x}" for c in "<>&\u2028\u2029"}) + "\n"
+
+
 def numbered(items: list[str]) -> str:
     """Items with their numbers, a blank line between them."""
     return "\n\n".join(f"{i}. {x}" for i, x in enumerate(items, 1))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,7 +59,8 @@ class SessionStore:
         folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
     def record(self, session: DataFrame, tree_changes: DataFrame, changed_ranges: DataFrame) -> DataFrame:
-        """Coverage of new sessions by the ones before them; the new ones are stored after that is known."""
-        before = coverage.prior_coverage(self.read(), session, tree_changes, changed_ranges).toArrow()
+        """Coverage of new sessions by the ones before them, written under the store's own folder of results; the new ones are stored after that."""
+        path = f"{self.path.rstrip('/')}-coverage/{uuid.uuid4().hex}"
+        coverage.prior_coverage(self.read(), session, tree_changes, changed_ranges).write.parquet(path)
         self.append(session)
-        return self.spark.createDataFrame(before)
+        return self.spark.read.parquet(path)

@@ -39,18 +39,36 @@ def bookmark(events: DataFrame, *keys: str) -> DataFrame:
     return events.groupBy(*keys).agg(F.max("time").alias("last_seen"), (F.max("time") - F.expr(f"INTERVAL {OVERLAP}")).alias("since"))
 
 
-COMMENT = "struct<IsInternal:boolean,FilePath:string,filePath:string,file_path:string,Line:string,lineNumber:string,Content:string,content:string,Severity:string,severity:string,Confidence:string,confidence:string,Type:string,type:string,Category:string,category:string,Subcategory:string,subcategory:string>"
-DATA = "status string, errorSummary string, comments array<struct<is_internal:boolean,file_path:string,line:string,content:string,severity:string,confidence:string,type:string,category:string,subcategory:string>>"
+#: The spellings of a comment's fields; the first that is there counts.
+SPELLINGS = {
+    "is_internal": ("IsInternal", "isInternal", "is_internal"),
+    "file_path": ("FilePath", "filePath", "file_path"),
+    "line": ("Line", "line", "lineNumber", "line_number"),
+    "content": ("Content", "content"),
+    "severity": ("Severity", "severity"),
+    "confidence": ("Confidence", "confidence"),
+    "type": ("Type", "type"),
+    "category": ("Category", "category"),
+    "subcategory": ("Subcategory", "subcategory"),
+}
+DATA = "status string, errorSummary string, comments array<map<string,string>>"
+
+
+def comment_fields(c: Column) -> list[Column]:
+    """The fields of a comment (a map) whatever their spelling; of paths the first that is not empty."""
+    get = lambda name, k: F.nullif(c[k], F.lit("")) if name == "file_path" else c[k]
+    return [F.coalesce(*[get(name, k) for k in keys]).alias(name) for name, keys in SPELLINGS.items()]
 
 
 def comments(events: DataFrame) -> DataFrame:
     """External comments of completed batches, one row each, normalised."""
     parsed = events.where("type = 'batch'").withColumn("d", F.from_json("data", DATA)).where("d.status = 'completed'")
-    rows = parsed.select("id", F.posexplode("d.comments").alias("pos", "c")).select("id", "pos", "c.*")
+    rows = parsed.select("id", F.posexplode("d.comments").alias("pos", "c")).select("id", "pos", *comment_fields(F.col("c")))
     severity = F.lower(strip(F.coalesce("severity", F.lit("info"))))
     line = F.col("line").try_cast("double")
     text = lambda c: strip(F.coalesce(c, F.lit("")))
-    rows = rows.where(~F.coalesce("is_internal", F.lit(False)) & (F.coalesce("file_path", F.lit("")) != "") & (line > 0) & (text("content") != ""))
+    internal = ~F.coalesce(F.lower("is_internal"), F.lit("")).isin("", "false", "0")
+    rows = rows.where(~internal & (F.coalesce("file_path", F.lit("")) != "") & (line > 0) & (text("content") != ""))
     category = F.coalesce(F.nullif(text("category"), F.lit("")), F.lit("review"))
     return rows.select("id", "pos", "file_path", line.cast("long").alias("line"), text("content").alias("content"), F.when(severity.isin(SEVERITIES[:2]), severity).otherwise("info").alias("severity"), text("confidence").alias("confidence"), text("type").alias("type"), category.alias("category"), text("subcategory").alias("subcategory"))
 
