@@ -61,19 +61,35 @@ def simhash(text: str | None) -> int:
 
 def components(prints: list[tuple[int, int]], most: int = 2) -> dict[int, int]:
     """doc_id to the smallest doc_id reachable."""
-    parent = {d: d for d, _ in prints}
+    by = defaultdict(list)
+    for d, f in prints:
+        by[f].append(d)
+    keys = sorted(by)
+    pairs = [(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if (a ^ b).bit_count() <= most]
+    return reachable([d for d, _ in prints], [(by[f][0], d) for f in keys for d in by[f]] + [(by[a][0], by[b][0]) for a, b in pairs])
+
+
+def reachable(ids: list[int], links: list[tuple[int, int]]) -> dict[int, int]:
+    """The smallest id that each is linked to."""
+    parent = {d: d for d in ids}
 
     def root(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    by = defaultdict(list)
-    for d, f in prints:
-        by[f].append(d)
-    keys = sorted(by)
-    pairs = [(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if (a ^ b).bit_count() <= most]
-    for d, e in [(by[f][0], d) for f in keys for d in by[f]] + [(by[a][0], by[b][0]) for a, b in pairs]:
+    for d, e in links:
         x, y = root(d), root(e)
         parent[max(x, y)] = min(x, y)
-    return {d: root(d) for d, _ in prints}
+    return {d: root(d) for d in ids}
+
+
+def similar(docs: list[tuple], size: int = 5, least: float = 0.8) -> dict[int, int]:
+    """doc_id to the smallest doc_id reachable over shingle sets of the similarity."""
+    sets = {}
+    for d, t in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(AZ))
+        sets[d] = {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))}
+    ids = list(sets)
+    near = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])]
+    return reachable(ids, near)
