@@ -39,6 +39,17 @@ def review_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.parse(raw_log(spark, sf_dir), TOOL)
 
 
+def generated_log(spark: SparkSession, n: int) -> DataFrame:
+    """review_log of n made-up commits, for measuring: authors, actions and metrics in turn, one commit an hour."""
+    i = F.col("id")
+    hash_ = F.lower(F.lpad(F.hex("id"), 40, "0"))
+    author = F.concat(F.lit("dev"), (i % 10).cast("string"))
+    when = F.date_format(F.timestamp_seconds(F.unix_timestamp(F.lit("2026-01-01 00:00:00")) + i * 3600), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    action = F.element_at(F.array(*map(F.lit, ("reviewed", "vouched", "skipped", "none"))), (i % 4 + 1).cast("int"))
+    fields = [hash_.alias("hash"), F.substring(hash_, 34, 7).alias("short_hash"), author.alias("author"), F.concat(author, F.lit("@example.com")).alias("email"), when.alias("date"), F.lit("main").alias("branch"), F.concat(F.lit("commit "), i.cast("string")).alias("subject"), action.alias("action"), (i % 5).alias("iterations"), (i % 101).alias("coverage")]
+    return spark.range(n).select(*fields)
+
+
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """review_sessions with one session for each order; hunks come from its line items."""
     hunk = F.struct(F.lit(0).alias("old_start_line"), F.lit(0).alias("old_line_count"), (F.col("l_linenumber") * 10).alias("new_start_line"), (F.floor("l_quantity").cast("int") % 10).alias("new_line_count"))
