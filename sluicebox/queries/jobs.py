@@ -159,14 +159,17 @@ def osv_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["osv_flatten"] = osv_flatten
 
 
-@query("""WITH f AS (SELECT lang AS folder, CASE WHEN doc_id % 10 = 0 THEN 'INSTRUCTIONS.md' WHEN doc_id % 10 = 1 THEN 'README.md' ELSE 'r' || CAST(doc_id AS VARCHAR) || '.md' END AS name, 'rule ' || CAST(n_chars AS VARCHAR) AS content FROM documents WHERE n_chars < 400)
-    SELECT folder, bundle, CAST(strlen(bundle) AS BIGINT) AS bytes, strlen(bundle) > 3000 AS too_long FROM (
-        SELECT folder, string_agg('## ' || replace(name, '.md', '') || chr(10) || chr(10) || content, chr(10) || chr(10) ORDER BY CASE WHEN name = 'INSTRUCTIONS.md' THEN 0 ELSE 1 END, name, content) AS bundle FROM f WHERE name <> 'README.md' GROUP BY folder) t""")
+@query(r"""WITH f AS (SELECT coalesce(source, '') || '/' || CAST(doc_id // 20 AS VARCHAR) AS folder, CASE WHEN doc_id % 10 = 0 THEN 'INSTRUCTIONS.md' WHEN doc_id % 10 = 1 THEN 'README.md' ELSE 'r' || CAST(doc_id AS VARCHAR) || '.md' END AS name, regexp_replace(text, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g') AS content FROM documents)
+    SELECT folder, sha256(bundle) AS bundle_sha256, CAST(strlen(bundle) AS BIGINT) AS bytes, strlen(bundle) > 3000 AS too_long FROM (
+        SELECT folder, string_agg('## ' || replace(name, '.md', '') || chr(10) || chr(10) || content, chr(10) || chr(10) ORDER BY CASE WHEN name = 'INSTRUCTIONS.md' THEN 0 ELSE 1 END, name, content) AS bundle FROM f WHERE name <> 'README.md' AND content <> '' GROUP BY folder) t""")
 def rules_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = derived.table(spark, sf_dir, "documents").where("n_chars < 400")
+    """A rule folder for each source and twenty ids, with the whole texts as rules."""
+    docs = derived.table(spark, sf_dir, "documents")
     k = F.col("doc_id") % 10
     name = F.when(k == 0, "INSTRUCTIONS.md").when(k == 1, "README.md").otherwise(F.concat(F.lit("r"), F.col("doc_id").cast("string"), F.lit(".md")))
-    return batch.rules_bundle(docs.select(F.col("lang").alias("folder"), name.alias("name"), F.concat(F.lit(" rule "), F.col("n_chars").cast("string")).alias("content")))
+    folder = F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.floor(F.col("doc_id") / 20).cast("string"))
+    rows = batch.rules_bundle(docs.select(folder.alias("folder"), name.alias("name"), F.col("text").alias("content")))
+    return rows.select("folder", F.sha2("bundle", 256).alias("bundle_sha256"), "bytes", "too_long")
 
 
 @query("""SELECT 'p' || CAST(p_partkey AS VARCHAR) AS path, CAST(2 AS BIGINT) AS line_no, 'a/**/**/b' AS rule FROM part WHERE p_partkey % 5 = 0""")
@@ -176,8 +179,10 @@ def ignore_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch.lint_ignore(part.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("path"), content.alias("content")))
 
 
-@query("""SELECT 'net' AS rule, 'd' || CAST(doc_id AS VARCHAR) AS path FROM documents WHERE text LIKE '%http%' AND doc_id % 3 <> 0""")
+@query("""SELECT 'net' AS rule, 'd' || CAST(doc_id AS VARCHAR) AS path FROM documents WHERE (text LIKE '%http%' OR text LIKE '%@%') AND doc_id % 3 <> 0
+    UNION ALL SELECT 'digits', 'd' || CAST(doc_id AS VARCHAR) FROM documents WHERE regexp_matches(text, '[0-9]{3}')""")
 def boundary_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses and numbers of three digits in the documents' texts; a third of the documents may hold addresses."""
     docs = derived.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content"))
     allowed = docs.where("doc_id % 3 = 0").select(F.lit("net").alias("rule"), "path")
-    return batch.boundary_hits(docs, {"net": "http", "never": "\\bnosuchword\\d{9}\\b"}, allowed).select("rule", "path")
+    return batch.boundary_hits(docs, {"net": "http|@", "digits": "[0-9]{3}"}, allowed).select("rule", "path")
