@@ -120,6 +120,13 @@ def draft_register(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["draft_register"] = draft_register
+ORACLES["draft_register"] = """WITH RECURSIVE
+    r AS (SELECT conv_id AS draft_id, turn AS seq, turn % 6 = 5 AS stops, turn % 3 AS expected, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+    f AS (
+        SELECT draft_id, k, seq, CASE WHEN stops THEN 'frozen' ELSE 'accepted' END AS result, CASE WHEN stops THEN 0 ELSE 1 END AS version, stops AS frozen FROM r WHERE k = 1
+        UNION ALL SELECT r.draft_id, r.k, r.seq, CASE WHEN stops THEN 'frozen' WHEN f.frozen THEN 'refused-frozen' WHEN 0 < expected AND expected < version THEN 'refused-stale' ELSE 'accepted' END,
+            CASE WHEN stops OR f.frozen OR (0 < expected AND expected < version) THEN version ELSE version + 1 END, f.frozen OR stops FROM f JOIN r ON r.draft_id = f.draft_id AND r.k = f.k + 1)
+    SELECT draft_id, seq, result, CAST(version AS BIGINT) AS version FROM f"""
 
 
 @query("""SELECT scenario_id, CASE WHEN decided IS NOT NULL AND (polled IS NULL OR decided <= polled + 300) THEN 'decision' ELSE 'poll' END AS winner FROM (
