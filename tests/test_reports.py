@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluicebox.functions import diff as D
-from sluicebox.operators import coverage, facets, reports
+from sluicebox.operators import coverage, facets, reports, slides
 from sluicebox.plans import render
 from sluicebox.queries import changes
 from sluicebox.queries import reports as Q
@@ -187,3 +187,54 @@ def test_coverage_of_random_histories(spark):
         frame = lambda rows, schema: spark.createDataFrame(rows, schema)
         got = coverage.prior_coverage(frame(sessions, store.SCHEMA), frame(current, store.SCHEMA), frame(changed, "tree1 string, tree2 string, file_path string"), frame(ranges, "tree1 string, tree2 string, file_path string, start int, `end` int")).first()
         assert got["covered_lines"] == len(covered)
+
+
+def test_slides_of_sentences_and_points(spark):
+    text = """# The Title
+
+First one, e.g. This stays. Second (it is) here! "Third" at http://a.b/c. Not new... And on.
+It goes on v1.2 now? 4 more `code. Here` ends. lower stays.
+
+## Impact
+
+- plain point. With two sentences
+  carried on
+* src/a-b.go:12: does a thing. Then another.
+1. Risk: may fail. Or not.
+2) word - no file
+
+```
+# no heading
+- no item
+```
+> quoted
+> twice
+
+| a | b |
+|---|---|
+---
+### Deep
+tail"""
+    rows = spark.createDataFrame([(1, text), (2, None), (3, "  \n"), (4, "no heading. Two")], "doc_id int, text string")
+    got = [(r["doc_id"], r["n"], r["kind"], r["title"], r["top"], r["label"], r["content"]) for r in slides.slides(rows).orderBy("doc_id", "n").collect()]
+    assert got == [
+        (1, 1, "intro", "The Title", "", "", ""),
+        (1, 2, "sentence", "", "", "", "First one, e.g. This stays."),
+        (1, 3, "sentence", "", "", "", "Second (it is) here!"),
+        (1, 4, "sentence", "", "", "", '"Third" at http://a.b/c. Not new... And on.'),
+        (1, 5, "sentence", "", "", "", "It goes on v1.2 now?"),
+        (1, 6, "sentence", "", "", "", "4 more `code. Here` ends. lower stays."),
+        (1, 7, "list", "Impact", "Impact", "", "plain point. With two sentences carried on"),
+        (1, 8, "file-point", "Impact", "Impact", "src/a-b.go:12", "does a thing."),
+        (1, 9, "file-point", "Impact", "Impact", "src/a-b.go:12", "Then another."),
+        (1, 10, "label-point", "Impact", "Impact", "Risk", "may fail."),
+        (1, 11, "label-point", "Impact", "Impact", "Risk", "Or not."),
+        (1, 12, "list", "Impact", "Impact", "", "word - no file"),
+        (1, 13, "code", "Impact", "Impact", "", "```\n# no heading\n- no item\n```"),
+        (1, 14, "block", "Impact", "Impact", "", "> quoted\n> twice"),
+        (1, 15, "block", "Impact", "Impact", "", "| a | b |\n|---|---|"),
+        (1, 16, "block", "Impact", "Impact", "", "---"),
+        (1, 17, "sentence", "Deep", "Impact", "", "tail"),
+        (4, 1, "sentence", "", "", "", "no heading."),
+        (4, 2, "sentence", "", "", "", "Two"),
+    ]
