@@ -12,7 +12,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sluicebox.llm import bpe, language, media, quality, sharding
+from sluicebox.llm import bpe, language, media, quality, sharding, token_counts
 from sluicebox.llm import queries as Q
 from sluicebox.llm.common import crc32_fold
 
@@ -134,7 +134,7 @@ def test_all_queries_of_empty_tables(spark, tables, tmp_path):
         assert query(spark, f"file://{tmp_path}").count() == 0, name
 
 
-def test_null_ids_repeated_rows_and_clashing_columns(spark):
+def test_null_ids_repeated_rows_and_clashing_columns(spark, tmp_path):
     rows = [(None, "no id here", "en"), (None, "no id here", "en"), (1, "the house", "en"), (1, "the house", "en"), (2, None, None)]
     docs = spark.createDataFrame([(*r, "mine", 5, "s") for r in rows], "doc_id long, text string, lang string, spans string, lang_pred int, score string")
     model = language.train(docs, F.lit(True))
@@ -146,6 +146,11 @@ def test_null_ids_repeated_rows_and_clashing_columns(spark):
     placed = sharding.assign(docs.withColumn("shard", F.lit("x")), 12, carry=["lang", "shard"])
     assert placed.count() == 5 and placed.columns == ["lang", "doc_id", "n_bytes", "shard", "shard_bits", "shard_bytes"]
     assert docs.where(crc32_fold("doc_id", 3, 1)).count() >= 0
+    ranks = P.path("byte_bpe_multi_50k.tiktoken")
+    coded = bpe.digests(bpe.encode(docs, ranks, P.PATTERN, decoded="decoded")).collect()
+    assert sorted((str(r["doc_id"]), r["decoded_sha256"]) for r in coded) == sorted((str(d), brute.sha(t or "")) for d, t, _ in rows)
+    counted = token_counts.count_tokens(docs, P.path("piece_bpe_32k.model"), f"file://{tmp_path}/counts").collect()
+    assert sorted((str(r["doc_id"]), r["n_bytes"]) for r in counted) == sorted((str(d), len(t or "")) for d, t, _ in rows) and {r["n_tokens"] for r in counted if r["doc_id"] == 2} == {0}
 
 
 def test_more_languages_than_a_task_counts_together(spark):
