@@ -1,4 +1,4 @@
-"""The ten operators as queries over the whole ``documents`` table, and SQL for those it can express."""
+"""The thirteen operators as queries over the whole ``documents`` table, and SQL for those it can express."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplanes, bpe, decontam, language, media, quality, sharding, simhash, substring, token_counts
+from . import bitplanes, bpe, decontam, fim, language, media, quality, sharding, simhash, spelling, substring, token_counts, toxicity
 from .common import crc32_fold, shared_dir, table
 
 
@@ -78,7 +78,22 @@ def op10_bitplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.read_ids(spark, path)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_token_counts, op3_decontaminate, op4_media, op5_shards, op6_language, op7_substring_dedup, op8_simhash, op9_quality, op10_bitplanes)}
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~crc32_fold("doc_id", 3, 1))
+    return toxicity.score(docs.select("doc_id", crc32_fold("doc_id", 3, 1).alias("held_out"), "text"), model)
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+_ALL = (op1_byte_bpe, op2_token_counts, op3_decontaminate, op4_media, op5_shards, op6_language, op7_substring_dedup, op8_simhash, op9_quality, op10_bitplanes, op11_toxicity, op12_spelling, op13_fill_in_middle)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 _WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
@@ -110,4 +125,18 @@ ORACLES: dict[str, str] = {
             FROM levels JOIN buckets USING (bits, prefix) WHERE bytes <= {sharding.MAX_SHARD_BYTES})
         SELECT doc_id, n_bytes, CASE WHEN bits = 0 THEN '' ELSE lpad(format('{{:b}}', prefix), CAST(bits AS INTEGER), '0') END || ':0' AS shard, CAST(bits AS INTEGER) AS shard_bits, bytes AS shard_bytes
         FROM placed WHERE k = 1""",
+    "op13_fill_in_middle": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents),
+        g AS (
+            SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+                CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM d),
+        f AS (
+            SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+            FROM g),
+        o AS (SELECT *, substring(t, 1, a) AS p, substring(t, a + 1, b - a) AS m, substring(t, b + 1, n - b) AS s FROM f)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+            sha256(t) AS restored_sha256
+        FROM o""",
 }
