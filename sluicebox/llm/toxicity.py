@@ -4,7 +4,8 @@ A text's features are the presence of its words, word pairs and triples, and of
 word pairs with one or two words between them, in hashed buckets.  The learner
 keeps for each bucket the sum of squared gradients, which sets that bucket's own
 rate, and a lazily regularised sum of gradients: a bucket whose sum stays below
-L1 has weight zero.  What is left is a short list of buckets and weights, which
+L1 has weight zero.  (Rates, L1, L2 and the number of passes were chosen by
+folds of the training rows.)  What is left is a short list of buckets and weights, which
 goes to the tasks; its size is at most 12 bytes a bucket whatever the corpus.  A
 logistic curve, fitted on rows that the learner has not seen, turns margins into
 scores.
@@ -38,9 +39,11 @@ from .quality import curve, sample
 TRAINING_ROWS = 8000
 BUCKET_BITS = 20
 #: Rates: alpha / (beta + root of a bucket's summed squared gradients).
-ALPHA, BETA = 0.1, 1.0
-L1, L2 = 1.0, 1.0
+ALPHA, BETA = 2.0, 1.0
+L1, L2 = 10.0, 0.01
 EPOCHS = 4
+#: Buckets that fewer rows of the sample have are not learnt.
+MIN_ROWS = 2
 #: One row in so many of the sample fits the curve instead of the weights.
 CURVE_EVERY = 4
 #: Distances of the second (and third) word of a gram from its first.
@@ -119,10 +122,13 @@ def fit(rows: list[np.ndarray], y: np.ndarray) -> Model:
         return Model(*none, 0.0, 1.0, 0.0 if not len(y) else 60.0 * y[0] - 30)
     late = np.arange(len(y)) % CURVE_EVERY == CURVE_EVERY - 1
     late &= bool(len(set(y[late])) == 2 and len(set(y[~late])) == 2)
+    early = np.flatnonzero(~late)
+    common = np.bincount(np.concatenate([rows[i] for i in early]), minlength=1 << BUCKET_BITS) >= MIN_ROWS
+    learnt = [rows[i][common[rows[i]]] for i in early]
     learner = Learner(1 << BUCKET_BITS)
     for _ in range(EPOCHS):
-        for i in np.flatnonzero(~late):
-            learner.learn(rows[i], y[i])
+        for buckets, label in zip(learnt, y[early], strict=True):
+            learner.learn(buckets, label)
     w = learner.weights()
     at = np.flatnonzero(w[:-1]).astype(np.int32)
     model = Model(at, w[at], float(w[-1]), 1.0, 0.0)
