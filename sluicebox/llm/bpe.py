@@ -7,13 +7,15 @@ pre-tokenising pattern looks only forward, so two chunks that have one boundary
 in common agree on all that follows: the first common boundary in the overlap is
 where they are stitched.  Where an overlap holds none (a long run of one kind of
 character), the failed stretch alone is cut again, twice as long, until it
-resynchronises.  The pieces between stitches are encoded one by one, and their
-ids joined; a text of one chunk is one piece.
+resynchronises.  The pre-tokens of the pieces between stitches are encoded one
+by one, and their ids joined; a text of one chunk is encoded as it is.
 
 A text of up to BLOCK_CHARS is chunked and stitched by the task that holds it.
 Longer texts are cut into blocks of that size first, which overlap likewise and
 are dealt out over the tasks; their stitches are found by Spark over the blocks'
-boundaries, and blocks that fail are merged two by two and dealt out again.
+boundaries, and blocks that fail are merged two by two and dealt out again.  A
+block is split anew between its stitches, so these may not follow white space,
+whose extent hangs on what comes after it.
 
 Defined results: null and empty texts have no ids; repeated rows are encoded
 each for itself; other columns are kept and never looked at, but for those that
@@ -46,6 +48,9 @@ BLOCK_OVERLAP_CHARS = 2 << 10
 #: How many of a chunk's last pre-tokens may hang on what follows the chunk.
 OPEN_TOKENS = 8
 SLICE_BYTES = 1 << 20
+#: Ids of pre-tokens up to MEMO_CHARS long that a worker remembers.
+MEMO_TOKENS = 200_000
+MEMO_CHARS = 40
 #: The Unicode white space that the tokenizer's \s stands for (fixed values).
 WHITE_SPACE = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -163,17 +168,29 @@ def stitched(text: str, split: Callable[[str], list[str]], size: int = CHUNK_CHA
 
 
 class Coder:
-    """Encodes texts: those of several chunks by the pieces between stitches."""
+    """Encodes texts: those of several chunks by the pre-tokens of the pieces between stitches."""
 
     def __init__(self, ranks_path: str, pattern: str, newer: tuple[str, str], size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS):
         self.ids = encoding(ranks_path, pattern).encode_ordinary
         self.split, self.size, self.overlap = pre_tokenizer(pattern, newer), size, overlap
+        self.known: dict[str, bytes] = {}
+
+    def _token(self, token: str) -> bytes:
+        """Ids of a pre-token; split by itself it stays one."""
+        if len(token) > MEMO_CHARS:
+            return np.array(self.ids(token), "<u4").tobytes()
+        found = self.known.get(token)
+        if found is None:
+            if len(self.known) >= MEMO_TOKENS:
+                self.known.clear()
+            found = self.known[token] = np.array(self.ids(token), "<u4").tobytes()
+        return found
 
     def one(self, text: str) -> bytes:
         """A text's ids as little-endian unsigned 32-bit integers."""
         if len(text) <= self.size + self.overlap:
             return np.array(self.ids(text), "<u4").tobytes()
-        return b"".join([np.array(self.ids(text[a:b]), "<u4").tobytes() for a, b, _ in stitches(text, self.split, self.size, self.overlap)])
+        return b"".join([self._token(t) for _, _, tokens in stitches(text, self.split, self.size, self.overlap) for t in tokens])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of each text in them); null is the empty text."""
@@ -255,8 +272,9 @@ def _bounded(blocks: DataFrame, pattern: str, overlap: int, chunk: int, chunk_ov
                 block, size = one.column("sb_block")[0].as_py(), one.column("sb_size")[0].as_py()
                 tokens = stitched(block, split, chunk, chunk_overlap)
                 ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)))
+                closed = np.fromiter((not t[-1].isspace() for t in tokens), bool, len(tokens))
                 sure = ends[: max(0, len(ends) - OPEN_TOKENS)]
-                found = (ends[ends <= overlap], sure[sure >= size] - size)
+                found = (ends[closed & (ends <= overlap)], sure[closed[: len(sure)] & (sure >= size)] - size)
                 yield pa.RecordBatch.from_arrays([*one.columns, *(pa.array([x.tolist()], pa.list_(pa.int32())) for x in found)], names=schema.names)
 
     # The blocks of one long text are dealt out before the slow part.

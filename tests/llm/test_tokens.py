@@ -81,6 +81,26 @@ def test_chunks_are_stitched_to_the_librarys_pieces(multi, size, overlap):
         assert np.frombuffer(coder.one(text), "<u4").tolist() == multi.encode_ordinary(text)
 
 
+SPACES = [" \xa0", "\u3000", "\r\n", "\t\t ", " \n \xa0", "\x85\u2003 "]
+
+
+@pytest.mark.parametrize("space", SPACES)
+def test_white_space_at_every_offset_around_a_stitch(multi, space):
+    coder = bpe.memo(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    for at in range(bpe.CHUNK_CHARS - 40, bpe.CHUNK_CHARS + bpe.OVERLAP_CHARS + 40, 3):
+        for unit in ("word ", "a", "b's 1 "):
+            text = (unit * 3000)[:at] + space + "word" + space + "7 more" + space * 2 + "it's " + unit * 900
+            assert np.frombuffer(coder.one(text), "<u4").tolist() == multi.encode_ordinary(text)
+
+
+def test_white_space_at_offsets_around_a_blocks_end(spark, multi):
+    ranks, block = P.path("byte_bpe_multi_50k.tiktoken"), bpe.BLOCK_CHARS
+    texts = [("some words " * 9000)[: block + d] + (space + "word") * 40 + " rest" * 900 for space in SPACES for d in range(-13, 3000, 311)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for x in bpe.encode(docs, ranks, P.PATTERN).collect():
+        assert np.frombuffer(x["ids"], "<u4").tolist() == multi.encode_ordinary(texts[x["doc_id"]])
+
+
 @settings(max_examples=25, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.text(alphabet="ab é'\n\t .,1日▁　", max_size=120), min_size=1, max_size=4))
 def test_segments_agree_with_the_library(multi, texts):
