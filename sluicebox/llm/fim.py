@@ -38,6 +38,8 @@ PLAIN_PERCENT = 10
 #: Of the rows that aren't plain, the share with the suffix first.
 SUFFIX_FIRST_PERCENT = 20
 SEED = 1
+#: Bytes of text that a task flattens at once; a unit takes some sixty bytes more than its own.
+SLICE_BYTES = 1 << 17
 OUTPUTS = ("n", "form", "prefix_chars", "middle_chars", "output")
 
 
@@ -84,7 +86,7 @@ def _blocks(text: pa.Array) -> Iterator[tuple[int, pa.Array]]:
     raw, _ = V.flat(text)
     at = before = 0
     while at < len(raw):
-        stop = min(len(raw), at + V.SLICE_BYTES)
+        stop = min(len(raw), at + SLICE_BYTES)
         while stop < len(raw) and raw[stop] & 0xC0 == 0x80:
             stop += 1
         yield before, pa.LargeStringArray.from_buffers(1, pa.py_buffer(np.array([at, stop])), pa.py_buffer(raw))
@@ -96,7 +98,7 @@ def rearranged(text: pa.Array, form: pa.Array, first: pa.Array, second: pa.Array
     """The output of each row: the text itself where the form is plain."""
     text = V.as_text(text)
     first, second = pc.fill_null(first, 0), pc.fill_null(second, 0)
-    if len(text) == 1 and pc.binary_length(text)[0].as_py() > V.SLICE_BYTES:
+    if len(text) == 1 and pc.binary_length(text)[0].as_py() > SLICE_BYTES:
         parts = zip(*(pieces(block, first, second, before) for before, block in _blocks(text)), strict=True)
         joined = (pa.LargeListArray.from_arrays(pa.array([0, len(p)]), pa.concat_arrays(p)) for p in parts)
         prefix, middle, suffix = (pc.binary_join(p, pa.scalar("", pa.large_string())) for p in joined)
@@ -118,7 +120,7 @@ def transform(docs: DataFrame, text: str = "text", key: str = "doc_id", seed: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in V.slices(batch, "text"):
+            for part in V.slices(batch, "text", SLICE_BYTES):
                 own, text, n, form, first, middle = part.columns
                 output = rearranged(text, form, first, pc.add(first, middle), marks)
                 yield pa.RecordBatch.from_arrays([own, n, form, first, middle, output.cast(pa.string())], names=schema.names)
