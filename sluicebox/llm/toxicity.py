@@ -4,9 +4,11 @@ A text's features are the presence of its words, word pairs and triples, and of
 word pairs with one or two words between them, in hashed buckets.  The learner
 keeps for each bucket the sum of squared gradients, which sets that bucket's own
 rate, and a lazily regularised sum of gradients: a bucket whose sum stays below
-L1 has weight zero.  (Rates, L1, L2 and the number of passes were chosen by
-folds of the training rows.)  What is left is a short list of buckets and weights, which
-goes to the tasks; its size is at most 12 bytes a bucket whatever the corpus.  A
+L1 has weight zero.  (Rates, L2 and the number of passes were chosen by folds of
+the training rows; L1 is, in each fit, by the rows that the learner has not
+seen.)  What is left is a short list of buckets and weights, which
+goes to the tasks; its size is at most 12 bytes a bucket whatever the corpus.  As
+L1 also shrinks the weights that stay, these buckets are learnt once more.  A
 logistic curve, fitted on rows that the learner has not seen, turns margins into
 scores.
 
@@ -40,8 +42,12 @@ TRAINING_ROWS = 8000
 BUCKET_BITS = 20
 #: Rates: alpha / (beta + root of a bucket's summed squared gradients).
 ALPHA, BETA = 2.0, 1.0
-L1, L2 = 10.0, 0.01
+#: Values of L1 that are tried.
+L1 = (5.0, 10.0, 20.0, 40.0)
+L2 = 0.01
 EPOCHS = 4
+#: Rate and L1 of the second fit, which learns the chosen buckets alone and shrinks them less.
+SECOND_ALPHA, SECOND_L1, SECOND_L2 = 0.5, 0.5, 0.1
 #: Buckets that fewer rows of the sample have are not learnt.
 MIN_ROWS = 2
 #: One row in so many of the sample fits the curve instead of the weights.
@@ -73,7 +79,7 @@ def features(column) -> tuple[np.ndarray, np.ndarray]:
 class Learner:
     """The state of FTRL-proximal: a sum of gradients and one of their squares for each bucket, the last being the bias."""
 
-    def __init__(self, size: int, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2):
+    def __init__(self, size: int, alpha: float = ALPHA, beta: float = BETA, l1: float = L1[0], l2: float = L2):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros(size + 1), np.zeros(size + 1)
 
@@ -115,28 +121,42 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(*features(column)) + self.shift, -30, 30)))
 
 
+def _passes(rows: list[np.ndarray], y: np.ndarray, allowed: np.ndarray, learner: Learner) -> np.ndarray:
+    """Weights (the bias last) after EPOCHS passes over the rows' allowed buckets."""
+    learnt = [r[allowed[r]] for r in rows]
+    for _ in range(EPOCHS):
+        for buckets, label in zip(learnt, y, strict=True):
+            learner.learn(buckets, label)
+    return learner.weights()
+
+
+def _loss(margins: np.ndarray, y: np.ndarray) -> float:
+    return float(np.logaddexp(0, np.where(y > 0, -margins, margins)).mean())
+
+
 def fit(rows: list[np.ndarray], y: np.ndarray) -> Model:
-    """A model of rows (their buckets) with labels 1 and 0."""
+    """A model of rows (their buckets) with labels 1 and 0; of the values of L1 the one with the least loss on the late rows."""
     none = np.zeros(0, np.int32), np.zeros(0)
     if not len(y) or (y > 0).all() or not (y > 0).any():
         return Model(*none, 0.0, 1.0, 0.0 if not len(y) else 60.0 * y[0] - 30)
     late = np.arange(len(y)) % CURVE_EVERY == CURVE_EVERY - 1
     late &= bool(len(set(y[late])) == 2 and len(set(y[~late])) == 2)
-    early = np.flatnonzero(~late)
-    common = np.bincount(np.concatenate([rows[i] for i in early]), minlength=1 << BUCKET_BITS) >= MIN_ROWS
-    learnt = [rows[i][common[rows[i]]] for i in early]
-    learner = Learner(1 << BUCKET_BITS)
-    for _ in range(EPOCHS):
-        for buckets, label in zip(learnt, y[early], strict=True):
-            learner.learn(buckets, label)
-    w = learner.weights()
-    at = np.flatnonzero(w[:-1]).astype(np.int32)
-    model = Model(at, w[at], float(w[-1]), 1.0, 0.0)
-    if late.any():
-        on = np.flatnonzero(late)
-        offsets = np.append(0, np.cumsum([len(rows[i]) for i in on]))
-        model.slope, model.shift = curve(model.margins(np.concatenate([rows[i] for i in on]), offsets), np.where(y[on] > 0, 1, -1))
-    return model
+    early, on = np.flatnonzero(~late), np.flatnonzero(late if late.any() else ~late)
+    learnt, held = [rows[i] for i in early], [rows[i] for i in on]
+    buckets, offsets = np.concatenate(held), np.append(0, np.cumsum([len(r) for r in held]))
+    common = np.bincount(np.concatenate(learnt), minlength=1 << BUCKET_BITS) >= MIN_ROWS
+    best, least = None, np.inf
+    for l1 in L1:
+        w = _passes(learnt, y[early], common, Learner(1 << BUCKET_BITS, l1=l1))
+        w = _passes(learnt, y[early], w[:-1] != 0, Learner(1 << BUCKET_BITS, SECOND_ALPHA, l1=SECOND_L1, l2=SECOND_L2))
+        at = np.flatnonzero(w[:-1]).astype(np.int32)
+        model = Model(at, w[at], float(w[-1]), 1.0, 0.0)
+        margins = model.margins(buckets, offsets)
+        model.slope, model.shift = curve(margins, np.where(y[on] > 0, 1, -1))
+        loss = _loss(model.slope * margins + model.shift, y[on])
+        if loss < least:
+            best, least = model, loss
+    return best
 
 
 def train(docs: DataFrame, labels: DataFrame, chosen: Column, label: str = "toxic", text: str = "text", rows: int = TRAINING_ROWS) -> Model:

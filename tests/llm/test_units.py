@@ -183,7 +183,7 @@ def test_the_learner_is_ftrl_proximal():
     assert w[2] == w[:-1].max() > 0 and (np.abs(learner.z) <= 0.7).sum() == (w == 0).sum()
 
 
-def toxic_rows(n=900):
+def toxic_rows(n=1500):
     r = random.Random(6)
     words, bad = [f"w{i}" for i in range(400)], ["vile", "rotten", "filth"]
     rows = []
@@ -203,7 +203,7 @@ def test_toxic_rows_that_were_held_out_are_found(spark, tmp_path):
     docs.write.parquet(f"file://{tmp_path}/documents.parquet")
     labels.write.parquet(f"file://{tmp_path}/labels.parquet")
     got = {x["doc_id"]: x for x in Q.op11_toxicity(spark, f"file://{tmp_path}").collect()}
-    assert set(got[0].asDict()) == {"doc_id", "held_out", "score", "predicted"} and len(got) == 902
+    assert set(got[0].asDict()) == {"doc_id", "held_out", "score", "predicted"} and len(got) == 1502
     held = [(y, got[d]["predicted"]) for d, _, _, y in rows if got[d]["held_out"]]
     assert all(got[d]["held_out"] == (zlib.crc32(str(d).encode()) % 3 == 1) and got[d]["predicted"] == int(got[d]["score"] >= 0.7) for d in got)
     assert sum(p for y, p in held if y) >= 0.95 * sum(y for y, _ in held) and sum(p for y, p in held if not y) <= 0.01 * len(held)
