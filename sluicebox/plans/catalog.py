@@ -42,44 +42,74 @@ def check_read_only(sql: str) -> str:
 
 #: Functions of Spark that call into the JVM.
 CALLS = {"reflect", "java_method", "try_reflect"}
-
-
-def _nodes(plan) -> Iterator:
-    """All nodes of a parsed plan, those of its expressions' subqueries too."""
-    todo = [plan]
+#: The nodes of Spark's parsed plans that a query may have; all others are refused.
+NODES = set(
+    """Aggregate CTERelationDef Deduplicate Distinct Except Expand Filter Generate GlobalLimit Intersect Join LateralJoin LocalLimit
+    LocalRelation NamedParametersQuery Offset OneRowRelation Pivot Project Repartition RepartitionByExpression ResolvedInlineTable Sample
+    Sort SubqueryAlias Tail Union UnionLoop UnresolvedHaving UnresolvedHint UnresolvedInlineTable UnresolvedRelation
+    UnresolvedSubqueryColumnAliases UnresolvedTVFAliases UnresolvedTableValuedFunction UnresolvedWith Unpivot Window WithCTE
+    WithWindowDefinition""".split()
+)
+
+
+def _all(top, *inner: str) -> Iterator:
+    """A tree of the JVM's, node by node, with what the named methods give of each."""
+    todo = [top]
     while todo:
         node = todo.pop()
         yield node
-        for part in (node.children(), node.innerChildren(), node.subqueries()):
+        for name in inner:
+            part = getattr(node, name)()
             todo += [part.apply(i) for i in range(part.size())]
 
 
+def _kind(node) -> str:
+    return node.getClass().getSimpleName()
+
+
+def _names(parts) -> list[str]:
+    return [parts.apply(i) for i in range(parts.size())]
+
+
+def _check_function(parts: list[str], known: set[str]) -> None:
+    names = [p.lower() for p in parts]
+    if len(names) > 1 or names[0] in CALLS or names[0] not in known:
+        raise QueryError(f"the function {'.'.join(names)} is not allowed")
+
+
+def built_in_functions(spark: SparkSession) -> set[str]:
+    return {r[0].lower() for r in spark.sql("SHOW SYSTEM FUNCTIONS").collect()} | {"if", "coalesce"}
+
+
 def check_plan(spark: SparkSession, sql: str) -> int:
     """How often the query's plan, as Spark parses it, names review_log; refuses plans that write or reach out.
 
-    Commands and inserts are refused wherever they stand, and so are functions
-    that call into the JVM and tables with more than one name (paths, catalogs).
+    The plan may have the nodes of NODES alone, so commands, inserts and scripts
+    are refused wherever they stand.  Functions are Spark's own, without those
+    that call into the JVM; tables have one name (no paths, no catalogs).
     """
-    jvm = spark.sparkContext._jvm
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except Exception as e:
         raise QueryError(str(e).splitlines()[0]) from e
-    logical = "org.apache.spark.sql.catalyst.plans.logical."
-    kinds = [jvm.java.lang.Class.forName(logical + x) for x in ("Command", "ParsedStatement")]
-    found = 0
-    for node in _nodes(plan):
-        if any(k.isInstance(node) for k in kinds):
-            raise QueryError("only SELECT and WITH queries are allowed")
-        if node.nodeName() == "UnresolvedRelation" or node.getClass().getSimpleName() == "UnresolvedRelation":
-            names = node.multipartIdentifier()
-            if names.size() > 1:
+    found, known = 0, built_in_functions(spark)
+    for node in _all(plan, "children", "innerChildren", "subqueries"):
+        kind = _kind(node)
+        if kind not in NODES:
+            raise QueryError(f"only SELECT and WITH queries are allowed (found {kind})")
+        if kind == "UnresolvedRelation":
+            names = _names(node.multipartIdentifier())
+            if len(names) > 1:
                 raise QueryError("only review_log and the query's own tables are allowed")
-            found += names.apply(0).lower() == "review_log"
-        text = node.expressions()
-        for i in range(text.size()):
-            if CALLS & set(re.findall(r"\w+", text.apply(i).treeString().lower())):
-                raise QueryError("functions that call into the JVM are not allowed")
+            found += names[0].lower() == "review_log"
+        elif kind == "UnresolvedTableValuedFunction":
+            _check_function(_names(node.name()), known)
+        for i in range(node.expressions().size()):
+            for part in _all(node.expressions().apply(i), "children"):
+                if _kind(part) == "UnresolvedFunction":
+                    _check_function(_names(part.nameParts()), known)
+                elif _kind(part) == "UnresolvedGenerator":
+                    _check_function(part.name().unquotedString().split("."), known)
     return found
 
 
@@ -164,11 +194,11 @@ class Catalog:
 def run(log: DataFrame, query: str, catalog: Catalog | None = None) -> DataFrame:
     """The result of a named query or of SQL text over review_log. The gate comes before the scan.
 
-    A log that the query names more than once is kept, so that it is parsed once.
+    The log is a temporary view under the name ``review_log``; to parse it once
+    for a query that names it often, pass a log that is written or cached.
     """
     sql = check_read_only((catalog or Catalog()).resolve(query.strip()) or query)
-    if check_plan(log.sparkSession, sql) > 1:
-        log = log.persist()
+    check_plan(log.sparkSession, sql)
     log.createOrReplaceTempView("review_log")
     return log.sparkSession.sql(sql)
 

@@ -76,6 +76,14 @@ def test_gate_refuses_what_a_plan_would_write_or_reach(spark):
         "SELECT * FROM parquet.`/tmp/x`",
         "SELECT * FROM review_log WHERE EXISTS (SELECT * FROM text.`/etc/hosts`)",
         "SELECT (1",
+        "SELECT TRANSFORM (hash) USING 'id' AS (h) FROM review_log",
+        "WITH t AS (FROM review_log SELECT TRANSFORM (hash) USING 'id' AS (h)) SELECT * FROM t",
+        "SELECT * FROM review_log WHERE hash IN (SELECT TRANSFORM (hash) USING 'id' AS (h) FROM review_log)",
+        "SELECT system.builtin.reflect('java.util.UUID', 'randomUUID')",
+        "SELECT count(*) FROM review_log HAVING max(try_reflect('java.util.UUID', 'randomUUID')) > ''",
+        "SELECT nosuchfunction(hash) FROM review_log",
+        "SELECT * FROM nosuchtable(3)",
+        "SELECT sum(coverage) OVER (PARTITION BY reflect('java.util.UUID', 'randomUUID')) FROM review_log",
     ]
     for sql in bad:
         with pytest.raises(catalog.QueryError):
@@ -86,6 +94,24 @@ def test_gate_refuses_what_a_plan_would_write_or_reach(spark):
     assert catalog.run(log, twice).first()["n"] == 4
 
 
+@pytest.mark.parametrize("sql,n", [
+    ("SELECT hash FROM review_log WHERE action = 'reflect' OR subject = 'java_method'", 0),
+    ("SELECT author AS reflect, count(*) AS n FROM review_log GROUP BY ALL ORDER BY ALL LIMIT 1", 1),
+    ("SELECT * FROM review_log PIVOT (count(hash) FOR action IN ('reviewed', 'none')) LIMIT 1", 1),
+    ("SELECT * FROM (SELECT hash, iterations, coverage FROM review_log) UNPIVOT (v FOR k IN (iterations, coverage))", 8),
+    ("SELECT r.hash, x.c FROM review_log r, LATERAL (SELECT explode(split(r.author, '')) AS c) x WHERE c = 'd'", 4),
+    ("SELECT hash, w FROM review_log LATERAL VIEW explode(split(email, '@')) e AS w", 8),
+    ("SELECT i FROM range(3) AS t(i) UNION ALL SELECT 7 INTERSECT SELECT 7", 4),
+    ("SELECT author, grouping(action) AS g FROM review_log GROUP BY ROLLUP (author, action) HAVING count(*) > 0 AND author IS NULL", 1),
+    ("WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 5) SELECT n FROM t", 5),
+    ("SELECT DISTINCT if(coverage > 1, 'a', 'b') AS x FROM review_log WHERE EXISTS (SELECT 1 FROM VALUES (1) AS v(a)) AND cast(date AS date) IS NOT NULL AND hash LIKE '%'", None),
+    ("SELECT count(*) FILTER (WHERE iterations BETWEEN 0 AND 9) AS n, percentile_approx(coverage, 0.5) AS p FROM review_log", 1),
+])
+def test_gate_lets_all_kinds_of_reading_through(spark, sql, n):
+    got = catalog.run(spark.createDataFrame(log_rows(4), history.SCHEMA), sql).count()
+    assert n is None or got == n
+
+
 def test_trailers_of_other_tools_are_none(spark):
     rows = spark.createDataFrame([("Other Pre-Commit Check: ran",), ("XReview Pre-Commit Check: ran",), ("Re.iew Pre-Commit Check: ran",), (f"  {P} ran",)], "m string")
     assert [r[0] for r in rows.select(X.trailer_action(X.trailer_line(F.col("m"), "Review"))).collect()] == ["none", "none", "none", "reviewed"]
