@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import changes, history, issues, jobs, reports, reviews
+from . import changes, graph, history, issues, jobs, reports, reviews
 
-MODULES = (history, changes, issues, reviews, jobs, reports)
+MODULES = (history, graph, changes, issues, reviews, jobs, reports)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
