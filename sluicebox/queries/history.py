@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import sqlite as S
 from ..plans import catalog
-from ..sources import derived
+from ..sources import derived, dumps
 from ..sources import history as log
+from ..sources.scratch import folder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -204,3 +205,13 @@ def relative_since(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT name, source FROM (VALUES ('by-author', 'built-in'), ('recent', 'built-in'), ('stats', 'built-in')) AS t(name, source)""")
 def alias_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.Catalog().table(spark).select("name", "source")
+
+
+@query("SELECT author, action, count(*) AS n, max(coverage) AS best FROM review_log WHERE date >= '2024-01-10T00:00:00Z' AND date <= '2024-01-20T00:00:00Z' AND author IN ('dev1', 'dev4') GROUP BY author, action")
+def dump_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log written as dumps, and read by byte ranges with bounds, an author pattern and an index that skips ranges."""
+    path, statistics = folder(spark), folder(spark)
+    derived.raw_log(spark, sf_dir).write.option("lineSep", log.RECORD).text(path)
+    dumps.index(spark, path, derived.TOOL, statistics)
+    rows = dumps.read(spark, path, derived.TOOL, index=statistics, author="^dev[14] <", **{"from": "2024-01-10", "to": "2024-01-20"})
+    return rows.groupBy("author", "action").agg(F.count(F.lit(1)).alias("n"), F.max("coverage").alias("best"))

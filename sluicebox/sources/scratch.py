@@ -3,19 +3,31 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the checkpoint folder, which the driver and all executors share.
+def _shared(spark: SparkSession) -> str:
+    """The checkpoint folder, which the driver and all executors share.
 
-    Spark takes that folder from ``spark.checkpoint.dir``.  A session of this
-    machine alone gets a temporary folder where it is unset; a cluster is refused.
+    Spark takes it from ``spark.checkpoint.dir``.  A session of this machine
+    alone gets a temporary folder where that is unset; a cluster is refused.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="sluicebox-"))
+    return context.getCheckpointDir()
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder in the checkpoint folder."""
+    return f"{_shared(spark)}/{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df, computed once and written to the checkpoint folder."""
+    _shared(df.sparkSession)
     return df.checkpoint()
