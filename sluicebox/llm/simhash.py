@@ -34,7 +34,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -162,22 +162,20 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int
     Links are fingerprints within MAX_DISTANCE; with a similarity, shingle sets
     of at least that Jaccard similarity.
     """
-    columns = docs.columns
-    digest = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    # The user's columns stand in one, so that none has the name of one of ours.
+    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("sb_row"), F.col(key).alias("sb_id"), F.col(text).alias("sb_text"))
+    rows, keys = whole.withColumn("sb_digest", F.xxhash64(F.coalesce("sb_text", F.lit("")))), ["sb_id", "sb_digest"]
     if similarity is None:
-        prints = materialize(fingerprints(docs.withColumn("sb_digest", digest), [key, "sb_digest"], text, size=size), "prints")
-        edges = None
+        prints, edges = materialize(fingerprints(rows, keys, "sb_text", size=size), "prints"), None
     else:
         from . import jaccard
 
-        digested = docs.withColumn("sb_digest", digest)
-        prints = materialize(jaccard.signatures(digested, [key, "sb_digest"], size, text), "prints")
-        edges = jaccard.links(prints, digested, [key, "sb_digest"], size, similarity, text)
-    of = classes(prints, key, edges)
+        prints = materialize(jaccard.signatures(rows, keys, size, "sb_text"), "prints")
+        edges = jaccard.links(prints, rows, keys, size, similarity, "sb_text")
+    of = classes(prints, "sb_id", edges)
     joined = prints.join(of, prints["sb_fp"] == of["fp"])
-    chosen = joined.groupBy("component_id", "fp").agg(F.min(F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("sb_digest").alias("d"))).alias("first"))
+    chosen = joined.groupBy("component_id", "fp").agg(F.min(F.struct(F.col("sb_id").isNull().alias("n"), F.col("sb_id").alias("k"), F.col("sb_digest").alias("d"))).alias("first"))
     chosen = chosen.groupBy("component_id").agg(F.min("first").alias("first")).select(F.col("first.k").alias("sb_key"), F.col("first.d").alias("sb_kept"))
-    rows = docs.withColumn("sb_digest", digest)
-    kept = rows.join(chosen, rows[key].eqNullSafe(F.col("sb_key")) & (rows["sb_digest"] == F.col("sb_kept")))
-    once = Window.partitionBy(key, "sb_digest").orderBy("sb_digest")
-    return kept.withColumn("sb_n", F.row_number().over(once)).where("sb_n = 1").select(*columns)
+    kept = rows.join(chosen, rows["sb_id"].eqNullSafe(F.col("sb_key")) & (rows["sb_digest"] == F.col("sb_kept")))
+    # Repeated rows of the chosen id and text: tasks drop theirs before the shuffle.
+    return kept.dropDuplicates(keys).select("sb_row.*")

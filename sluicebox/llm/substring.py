@@ -231,34 +231,36 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     """
     spans = repeated_windows(docs, key, text, window, batches)
     spans = spans.groupBy("sb_key", "sb_tk").agg(F.collect_set(F.struct("s1", "s2")).alias("sb_spans"))
-    rows = docs.withColumn("sb_t", text_key(text))
-    joined = rows.join(spans, rows[key].eqNullSafe(spans["sb_key"]) & (rows["sb_t"] == spans["sb_tk"]), "left").select(*[rows[c] for c in docs.columns], "sb_spans")
-    names = {f.name for f in REMOVED}
-    kept = [f for f in docs.schema.fields if replace or f.name not in names | {text}]
-    schema = T.StructType(kept + ([] if replace else REMOVED))
+    # The user's columns stand in one, so that none has the name of one of ours.
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("sb_row"), F.col(key).alias("sb_id"), F.col(text).alias("sb_text"), text_key(text).alias("sb_t"))
+    joined = rows.join(spans, rows["sb_id"].eqNullSafe(spans["sb_key"]) & (rows["sb_t"] == spans["sb_tk"]), "left").select("sb_row", "sb_text", "sb_spans")
+    schema = T.StructType([joined.schema["sb_row"], T.StructField("kept", T.StringType()), *REMOVED[:2]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in V.slices(batch, text):
-                data, starts, ends, first = spaced_words(part.column(text))
+            for part in V.slices(batch, "sb_text"):
+                texts = part.column("sb_text")
+                data, starts, ends, first = spaced_words(texts)
                 gone = np.zeros(len(starts) + 1, np.int64)
                 for i, spans in enumerate(part.column("sb_spans").to_pylist()):
                     for s in spans or ():
                         gone[first[i] + s["s1"]] += 1
                         gone[first[i] + s["s2"] + window] -= 1
                 gone = np.cumsum(gone[:-1]) > 0
-                n_words = np.diff(first)
                 lost = np.concatenate([[0], np.cumsum(gone)])
                 n_removed = lost[first[1:]] - lost[first[:-1]]
                 left, size = _left(data, starts, ends, first, gone)
-                texts = [left[a:b] for a, b in size]
+                kept = [left[a:b] for a, b in size]
                 if replace:
-                    texts = [old if not n else new.decode() for old, new, n in zip(part.column(text).to_pylist(), texts, n_removed, strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if f.name == text else part.column(f.name) for f in kept], names=schema.names)
-                else:
-                    yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(n_words), pa.array(n_removed), pa.array(texts, pa.binary()).cast(pa.string())], names=schema.names)
-
-    return joined.transform(map_batches, run, schema)
+                    kept = [old if not n else new.decode() for old, new, n in zip(texts.to_pylist(), kept, n_removed, strict=True)]
+                kept = pa.array(kept, pa.string()) if replace else pa.array(kept, pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([part.column("sb_row"), kept, pa.array(np.diff(first)), pa.array(n_removed)], names=schema.names)
+
+    done, own = joined.transform(map_batches, run, schema), F.col("sb_row")
+    if replace:
+        return done.select(*[F.col("kept").alias(c) if c == text else own[c].alias(c) for c in docs.columns])
+    names = {f.name for f in REMOVED} | {text}
+    return done.select(*[own[c].alias(c) for c in docs.columns if c not in names], *[f.name for f in REMOVED])
 
 
 def _left(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, gone: np.ndarray) -> tuple[bytes, list[tuple[int, int]]]:

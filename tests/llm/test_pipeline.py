@@ -3,10 +3,11 @@
 import random
 
 import brute
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from sluicebox.llm import bpe
+from sluicebox.llm import bpe, jaccard, simhash, substring
 from sluicebox.llm.queries import op6_language, tokenizer
 
 
@@ -93,6 +94,45 @@ def test_a_group_whose_members_are_alike_but_mostly_not_enough(spark, tmp_path):
     assert left == set(expected.values())
 
 
+def test_long_lists_lose_no_link(spark, tmp_path):
+    rows = []
+    for seed in range(3):
+        r = random.Random(30 + seed)
+        word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+        base = [word() for _ in range(150)]
+        for i in range(500):
+            words = list(base)
+            for at in r.sample(range(150), r.choice([2, 3, 4, 5])):
+                words[at] = word()
+            rows.append((1000 * seed + i, " ".join(words)))
+    expected = brute.similar(rows)
+    assert 500 < len(set(expected.values())) < 1300
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {x["doc_id"] for x in corpus_pipeline.near_duplicate_stage(spark, docs, str(tmp_path)).collect()}
+    assert left == set(expected.values())
+
+
+def test_common_shingles_are_counted_by_products(monkeypatch):
+    monkeypatch.setattr(jaccard, "PRODUCT_COLUMNS", 7)
+    r = np.random.default_rng(2)
+    sets = [np.unique(r.integers(0, 60, n)) for n in (0, 1, 5, 30, 30, 59)]
+    got = jaccard.common(sets)
+    assert all(got[i, j] == len(np.intersect1d(a, b)) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j)
+    twins = [np.arange(10), np.arange(10), np.arange(9), np.arange(50, 60), np.arange(50, 60)]
+    assert len(jaccard.connecting([5, 4, 3, 2, 1], [5, 4, 3, 2, 1], twins, 0.8)) == 3 and jaccard.connecting([5, 4, 3], [7, 7, 7], twins[:3], 0.8) == []
+
+
+def test_columns_with_the_names_of_inner_ones(spark, tmp_path):
+    names = ["sb_digest", "sb_n", "sb_key", "sb_row", "sb_id", "sb_text", "sb_spans", "sb_t", "sb_fp", "sb_bands", "fp", "sb_tk", "sb_kept", "key", "members", "root", "component_id"]
+    rows = [(1, "one two " * 40), (2, "one two " * 40), (3, None), (4, "x " * 90)]
+    docs = spark.createDataFrame([(*r, *["mine"] * len(names)) for r in rows], f"doc_id long, text string, {', '.join(n + ' string' for n in names)}")
+    for out, left in ((simhash.keep_one(docs), [1, 3, 4]), (simhash.keep_one(docs, size=5, similarity=0.8), [1, 3, 4]), (substring.remove_repeats(docs, replace=True), [1, 2, 3, 4])):
+        assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == left
+        assert {r[n] for r in out.collect() for n in names} == {"mine"}
+    out = substring.remove_repeats(docs)
+    assert out.columns == ["doc_id", *names, "n_words", "n_removed", "kept"] and {r["doc_id"]: r["n_removed"] for r in out.collect()} == {1: 80, 2: 80, 3: 0, 4: 90}
+
+
 def test_texts_of_unlearnt_languages_go(spark, tmp_path):
     r = random.Random(6)
     vocab = {
