@@ -91,7 +91,7 @@ class Range(InputPartition):
 def _records(part: Range) -> Iterator[str]:
     """The records that begin in the byte range."""
     end = history.RECORD.encode()
-    system, path = _opened(part.file)
+    system, path = opened(part.file)
     with system.open_input_file(path) as f:
         at = max(0, part.start - 1)
         f.seek(at)
@@ -115,10 +115,21 @@ def _records(part: Range) -> Iterator[str]:
                 return
 
 
-def _opened(path: str) -> tuple[pafs.FileSystem, str]:
+def opened(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
+def files_of(path: str) -> list[tuple[str, int]]:
+    """(path, bytes) of the files at or under a path, without hidden ones and marks."""
+    system, at = opened(path)
+    info = system.get_file_info(at)
+    if info.type == pafs.FileType.NotFound:
+        raise FileNotFoundError(path)
+    found = [info] if info.is_file else system.get_file_info(pafs.FileSelector(at, recursive=True))
+    prefix = path[: path.index(at)] if at in path else ""
+    return sorted((prefix + x.path, x.size) for x in found if x.is_file and x.size and not re.search(r"/[._][^/]*$", f"/{x.path}"))
+
+
 class DumpReader(DataSourceReader):
     def __init__(self, options: dict, columns: list[str]):
         self.path, self.columns = options["path"], columns
@@ -136,20 +147,13 @@ class DumpReader(DataSourceReader):
         self.pushed: list[Filter] = []
 
     def ranges(self) -> list[Range]:
-        system, path = _opened(self.path)
-        info = system.get_file_info(path)
-        if info.type == pafs.FileType.NotFound:
-            raise FileNotFoundError(self.path)
-        found = [info] if info.is_file else system.get_file_info(pafs.FileSelector(path, recursive=True))
-        files = sorted((x.path, x.size) for x in found if x.is_file and x.size and not re.search(r"(^|/)[._][^/]*$", x.path))
-        prefix = self.path[: self.path.index(path)] if path in self.path else ""
-        return [Range(prefix + file, at, min(size, at + self.split_bytes)) for file, size in files for at in range(0, size, self.split_bytes)]
+        return [Range(file, at, min(size, at + self.split_bytes)) for file, size in files_of(self.path) for at in range(0, size, self.split_bytes)]
 
     def partitions(self) -> Sequence[InputPartition]:
         every = self.ranges()
         if not self.index:
             return every
-        system, path = _opened(self.index)
+        system, path = opened(self.index)
         rows = ds.dataset(path, filesystem=system, format="parquet").to_table().to_pylist()
         known = {(r["file"], r["start"]): r for r in rows if r["split_bytes"] == self.split_bytes}
         return [p for p in every if (p.file, p.start) not in known or self._may_match(known[p.file, p.start])]
