@@ -231,8 +231,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     """
     spans = repeated_windows(docs, key, text, window, batches)
     spans = spans.groupBy("sb_key", "sb_tk").agg(F.collect_set(F.struct("s1", "s2")).alias("sb_spans"))
-    # The user's columns stand in one, so that none has the name of one of ours.
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("sb_row"), F.col(key).alias("sb_id"), F.col(text).alias("sb_text"), text_key(text).alias("sb_t"))
+    # The user's other columns stand in one, so that none has the name of one of ours.
+    others = [F.col(c) for c in docs.columns if c != text] or [F.lit(0).alias("sb_none")]
+    rows = docs.select(F.struct(*others).alias("sb_row"), F.col(key).alias("sb_id"), F.col(text).alias("sb_text"), text_key(text).alias("sb_t"))
     joined = rows.join(spans, rows["sb_id"].eqNullSafe(spans["sb_key"]) & (rows["sb_t"] == spans["sb_tk"]), "left").select("sb_row", "sb_text", "sb_spans")
     schema = T.StructType([joined.schema["sb_row"], T.StructField("kept", T.StringType()), *REMOVED[:2]])
 
