@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import changes, graph, history, issues, jobs, reports, reviews, streams
+from . import changes, dialect, graph, history, issues, jobs, reports, reviews, streams
 
-MODULES = (history, graph, changes, issues, reviews, jobs, reports, streams)
+MODULES = (history, graph, dialect, changes, issues, reviews, jobs, reports, streams)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}

@@ -1,11 +1,11 @@
-"""Queries over the commit graph."""
+"""Queries over the commit graph and over pages that name the next one."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import commits
+from ..operators import commits, paging
 from ..sources import derived
 from .history import LOG
 
@@ -52,3 +52,22 @@ def commit_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 def commit_range_symmetric(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = commits.in_range(derived.review_log(spark, sf_dir), graph(spark, sf_dir), "topic...HEAD")
     return rows.groupBy("author").agg(F.count(F.lit(1)).alias("n"))
+
+
+def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five listings of pages; the third lacks a page, the fifth goes round."""
+    events = derived.table(spark, sf_dir, "events")
+    id_, name = F.col("event_id"), lambda c: F.concat(F.lit("e"), c.cast("string"))
+    last = F.broadcast(events.agg(F.max("event_id").alias("last")))  # one row
+    following = F.when(id_ + 5 <= F.col("last"), name(id_ + 5)).when(id_ % 5 == 4, F.lit("e4"))
+    rows = events.join(last).select((id_ % 5).alias("listing"), F.when((id_ >= 5) | (id_ == 4), name(id_)).alias("start"), following.alias("next"), id_.alias("page"))
+    return rows.where("page <> 502")
+
+
+def paged_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paging.ordered(listing_pages(spark, sf_dir)).select("listing", "page", "place", "status")
+
+
+QUERIES["paged_listing"] = paged_listing
+ORACLES["paged_listing"] = """SELECT event_id % 5 AS listing, event_id AS page, CASE WHEN event_id % 5 = 4 THEN NULL WHEN event_id % 5 = 2 AND event_id > 502 THEN (event_id - 507) // 5 ELSE event_id // 5 END AS place,
+    CASE WHEN event_id % 5 = 4 THEN 'cycle' WHEN event_id % 5 = 2 AND event_id > 502 THEN 'gap' ELSE 'ok' END AS status FROM events WHERE event_id <> 502"""

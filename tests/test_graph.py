@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from sluicebox.operators import commits
+from sluicebox.operators import commits, paging
 
 
 def walk(parents, tip):
@@ -57,3 +57,17 @@ def test_revisions(spark):
     # A parent that the table lacks is reached, but no row of a log.
     log = spark.createDataFrame([("aaaa1",), ("dddd1",), ("aaaa2",)], "hash string")
     assert hashes(commits.in_range(log, graph, "HEAD")) == {"aaaa1", "dddd1"}
+
+
+def test_pages_come_in_order_with_gaps_and_cycles(spark):
+    made = lambda name, starts, last=None: [(name, a, b, f"{name}{i}") for i, (a, b) in enumerate(zip(starts, [*starts[1:], last]))]
+    rows = made("long", [None, *(f"n{i:03}" for i in range(1, 300))]) + made("one", [None])
+    gap = made("gap", [None, *(f"g{i}" for i in range(1, 9))])
+    rows += [*gap[:4], *gap[5:], gap[2], *made("round", ["a", "b", "c"], "a")]
+    random.Random(2).shuffle(rows)
+    df = spark.createDataFrame(rows, "listing string, start string, next string, page string").repartition(3)
+    got = {r["page"]: (r["place"], r["status"]) for r in paging.ordered(df).collect()}
+    assert {p: x for p, x in got.items() if p.startswith("long")} == {f"long{i}": (i, "ok") for i in range(300)} and got["one0"] == (0, "ok")
+    assert [got.get(f"gap{i}") for i in range(9)] == [(0, "ok"), (1, "ok"), (2, "ok"), (3, "ok"), None, (0, "gap"), (1, "gap"), (2, "gap"), (3, "gap")]
+    assert [got[f"round{i}"] for i in range(3)] == [(None, "cycle")] * 3
+    assert paging.ordered(df.limit(0)).count() == 0
