@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -29,11 +29,11 @@ def query(sql: str | None, prefix: str = EVENTS):
     return register
 
 
-def review_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of reviews; a tenth of the ids come twice. Batches carry a comment each."""
+def review_events(spark: SparkSession, sf_dir: str, copies: Column | None = None) -> DataFrame:
+    """Events of reviews; a tenth of the ids come twice. Batches carry a comment each, or so many copies of one."""
     kind = F.create_map(*[F.lit(x) for x in ("view", "log", "click", "batch", "signup", "status", "error", "completion", "purchase", "artifact")])
     e = derived.table(spark, sf_dir, "events")
-    comment = F.to_json(F.struct(F.lit("completed").alias("status"), F.array(F.struct(F.concat(F.lit("f"), (F.col("event_id") % 50).cast("string")).alias("file_path"), (F.col("event_id") % 40).cast("string").alias("line"), F.lit(" look ").alias("content"), F.when(F.col("event_id") % 3 == 0, "CRITICAL").otherwise("odd").alias("severity"), (F.col("event_id") % 5 == 0).alias("is_internal"), F.lit("").alias("category"))).alias("comments")))
+    comment = F.to_json(F.struct(F.lit("completed").alias("status"), F.array_repeat(F.struct(F.concat(F.lit("f"), (F.col("event_id") % 50).cast("string")).alias("file_path"), (F.col("event_id") % 40).cast("string").alias("line"), F.lit(" look ").alias("content"), F.when(F.col("event_id") % 3 == 0, "CRITICAL").otherwise("odd").alias("severity"), (F.col("event_id") % 5 == 0).alias("is_internal"), F.lit("").alias("category")), F.lit(1) if copies is None else copies).alias("comments")))
     data = F.when(F.col("event_type") == "click", comment).when(F.col("event_type") == "signup", F.to_json(F.struct(F.when(F.col("event_id") % 2 == 0, "running").otherwise("").alias("status")))).when(F.col("event_type") == "error", F.to_json(F.struct(F.when(F.col("event_id") % 3 == 0, "broken").otherwise("").alias("errorSummary")))).otherwise(F.lit("{}"))
     return e.select((F.col("event_id") % 9000).cast("string").alias("id"), F.col("event_id").alias("seq"), F.col("ts").alias("time"), F.col("user_id").alias("review"), kind[F.col("event_type")].alias("type"), F.lit("b").alias("batchId"), data.alias("data"))
 
@@ -57,10 +57,17 @@ def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.status(review_events(spark, sf_dir), "review")
 
 
-@query("""SELECT review, greatest(coalesce(done, last) - base, 0) AS elapsed_ms, greatest(first - base, 0) AS first_comment_ms, n AS total_comments FROM (
-        SELECT review, min(epoch_us(time) // 1000) AS base, max(epoch_us(time) // 1000) AS last, min(CASE WHEN type = 'batch' THEN epoch_us(time) // 1000 END) AS first, min(CASE WHEN type = 'completion' THEN epoch_us(time) // 1000 END) AS done, count(*) FILTER (WHERE type = 'batch') AS n FROM e GROUP BY review) t""")
+_LABEL = """CASE WHEN ms >= 3600000 - 500 THEN CAST((ms + 500) // 3600000 AS VARCHAR) || 'h' || CASE WHEN (ms + 500) % 3600000 // 60000 > 0 THEN ' ' || CAST((ms + 500) % 3600000 // 60000 AS VARCHAR) || 'm' ELSE '' END
+    WHEN ms >= 60000 - 500 THEN CAST((ms + 500) // 60000 AS VARCHAR) || 'm' || CASE WHEN (ms + 500) % 60000 // 1000 > 0 THEN ' ' || CAST((ms + 500) % 60000 // 1000 AS VARCHAR) || 's' ELSE '' END ELSE CAST((ms + 500) // 1000 AS VARCHAR) || 's' END"""
+
+
+@query(f""", c AS (SELECT *, epoch_us(time) // 1000 AS at_ms, CASE WHEN type = 'batch' AND seq % 5 <> 0 AND seq % 40 > 0 THEN seq % 3 ELSE 0 END AS n FROM e),
+    t AS (SELECT review, min(at_ms) AS base, max(at_ms) AS last, min(CASE WHEN n > 0 THEN at_ms END) AS first, min(CASE WHEN type = 'completion' THEN at_ms END) AS done, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY review),
+    f AS (SELECT *, first - base AS ms FROM t)
+    SELECT review, greatest(coalesce(done, last) - base, 0) AS elapsed_ms, ms AS first_comment_ms, CASE WHEN ms IS NOT NULL THEN {_LABEL} WHEN done IS NOT NULL THEN 'No comments' ELSE 'Waiting' END AS first_comment, n AS total_comments FROM f""")
 def performance_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.performance(review_events(spark, sf_dir), "review")
+    """Reviews whose batches carry no comment, one or two."""
+    return events.performance(review_events(spark, sf_dir, (F.col("event_id") % 3).cast("int")), "review")
 
 
 @query("""SELECT seq, CASE WHEN ms >= 3600000 THEN CAST(ms // 3600000 AS VARCHAR) || 'h' || CASE WHEN ms % 3600000 // 60000 > 0 THEN ' ' || CAST(ms % 3600000 // 60000 AS VARCHAR) || 'm' ELSE '' END
@@ -106,6 +113,12 @@ def decision_first_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.outcomes(scenarios(spark, sf_dir)).select("scenario_id", "seq", "code", "source", "outcome")
 
 
+@query("SELECT scenario_id, seq, code, source, outcome FROM o", _DECISIONS.replace("(code IN (2, 4) AND NOT complete)", "code IN (2, 4)"))
+def decision_late_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions as the runtime takes them: skip and vouch after completion too."""
+    return decisions.outcomes(scenarios(spark, sf_dir), late_skip=True).select("scenario_id", "seq", "code", "source", "outcome")
+
+
 @query("""SELECT scenario_id, code AS decision_code, CASE WHEN code = 1 THEN 1 WHEN precommit AND code IN (2, 4) THEN 2 ELSE 0 END AS exit_code, code = 0 AS committed, code = 1 AS aborted, code = 2 AS skipped, code = 4 AS vouched,
         m AS final_message, push AS push_requested, precommit AND code = 0 AND push AS push_marker, CASE WHEN precommit AND code = 0 THEN m ELSE '' END AS override
     FROM (SELECT *, CASE WHEN code = 0 THEN coalesce(CASE WHEN source = 'web' THEN nullif(message, '') END, CASE WHEN scenario_id % 5 = 0 THEN 'edited' END, nullif(message, ''), 'first') WHEN code IN (2, 4) THEN message ELSE '' END AS m FROM o WHERE outcome = 'accepted') t""", _DECISIONS)

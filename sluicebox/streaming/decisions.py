@@ -18,9 +18,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 COMMIT, ABORT, SKIP, VOUCH, HANDOFF = 0, 1, 2, 4, 5
 
 
-def allowed(code: Column, complete: Column) -> Column:
-    """Whether a decision may be made in a phase: skip and vouch while a review runs, commit and handoff after, abort always."""
-    return (code == ABORT) | (code.isin(SKIP, VOUCH) & ~complete) | (code.isin(COMMIT, HANDOFF) & complete)
+def allowed(code: Column, complete: Column, late_skip: bool = False) -> Column:
+    """Whether a decision may be made in a phase: skip and vouch while a review runs (with late_skip after it too), commit and handoff after, abort always."""
+    return (code == ABORT) | (code.isin(SKIP, VOUCH) & (F.lit(late_skip) | ~complete)) | (code.isin(COMMIT, HANDOFF) & complete)
 
 
 def running_phase(events: DataFrame, key: str = "scenario_id") -> DataFrame:
@@ -29,14 +29,15 @@ def running_phase(events: DataFrame, key: str = "scenario_id") -> DataFrame:
     return events.withColumn("complete", F.col("start_complete") | F.coalesce(F.max(F.col("event") == "poll").over(before), F.lit(False)))
 
 
-def outcomes(events: DataFrame, key: str = "scenario_id") -> DataFrame:
-    """Each decision with whether it is accepted, and why not."""
+def outcomes(events: DataFrame, key: str = "scenario_id", late_skip: bool = False) -> DataFrame:
+    """Each decision with whether it is accepted, and why not; the runtime that arbitrates takes skip and vouch late, a request's check does not."""
     rows = running_phase(events, key).where("event = 'decision'")
     empty = (F.col("source") == "web") & (F.col("code") == COMMIT) & (F.coalesce("message", F.lit("")) == "")
-    valid = allowed(F.col("code"), F.col("complete")) & ~empty
+    may = allowed(F.col("code"), F.col("complete"), late_skip)
+    valid = may & ~empty
     first = F.min(F.when(F.col("valid"), F.col("seq"))).over(Window.partitionBy(key))
     rows = rows.withColumn("valid", valid).withColumn("won_at", first)
-    reason = F.when(F.col("seq") == F.col("won_at"), "accepted").when(F.col("seq") > F.col("won_at"), "already-resolved").when(~allowed(F.col("code"), F.col("complete")), "invalid-phase").otherwise("empty-web-message")
+    reason = F.when(F.col("seq") == F.col("won_at"), "accepted").when(F.col("seq") > F.col("won_at"), "already-resolved").when(~may, "invalid-phase").otherwise("empty-web-message")
     return rows.withColumn("outcome", reason).drop("valid", "won_at")
 
 
@@ -46,9 +47,9 @@ def final_message() -> Column:
     return F.coalesce(F.when(F.col("source") == "web", some("message")), some("editor_message"), some("message"), some("initial_message"), F.lit(""))
 
 
-def results(events: DataFrame, key: str = "scenario_id") -> DataFrame:
+def results(events: DataFrame, key: str = "scenario_id", late_skip: bool = False) -> DataFrame:
     """What each scenario comes to: code, exit code, flags, message and push marks."""
-    won = outcomes(events, key).where("outcome = 'accepted'")
+    won = outcomes(events, key, late_skip).where("outcome = 'accepted'")
     code, pre = F.col("code"), F.col("precommit")
     message = F.when(code == COMMIT, final_message()).when(code.isin(SKIP, VOUCH), F.coalesce("message", F.lit(""))).otherwise(F.lit(""))
     exit_code = F.when(code == ABORT, F.lit(ABORT)).when(pre & code.isin(SKIP, VOUCH), F.lit(SKIP)).otherwise(F.lit(0))
@@ -80,7 +81,7 @@ def grace(decisions: DataFrame, polls: DataFrame, key: str = "scenario_id", ms:
     return d.join(p, key, "full").select(key, F.when(F.col("decided").isNotNull() & (F.col("polled").isNull() | (F.col("decided") <= F.col("polled") + ms)), "decision").otherwise("poll").alias("winner"))
 
 
-def stream_decisions(events: DataFrame) -> DataFrame:
+def stream_decisions(events: DataFrame, late_skip: bool = False) -> DataFrame:
     """The accepted decision of each scenario, as its events arrive (scenario_id, seq, event, code, source, message, start_complete)."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -90,7 +91,7 @@ def stream_decisions(events: DataFrame) -> DataFrame:
                 complete = bool(r.start_complete) if complete is None else complete
                 if r.event == "poll":
                     complete = True
-                elif not done and (r.code == ABORT or (r.code in (SKIP, VOUCH) and not complete) or (r.code in (COMMIT, HANDOFF) and complete and not (r.code == COMMIT and r.source == "web" and not r.message))):
+                elif not done and (r.code == ABORT or (r.code in (SKIP, VOUCH) and (late_skip or not complete)) or (r.code in (COMMIT, HANDOFF) and complete and not (r.code == COMMIT and r.source == "web" and not r.message))):
                     done = True
                     yield pd.DataFrame({"scenario_id": [key[0]], "seq": [r.seq], "code": [r.code]})
         state.update((bool(complete), done))

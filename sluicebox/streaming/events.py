@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import duration, strip
 from ..operators.facets import SEVERITIES
 
 #: How long events may come late: what a poll looks back from its bookmark.
@@ -20,9 +20,9 @@ LOADING = ["Reading the change", "Looking for issues", "Checking details", "Coll
 
 
 def event_key() -> Column:
-    """The id (the empty one too), or for an event without one its parts and its number (seq)."""
+    """The id (the empty one too), or for an event without one its parts and its number (seq); the keys of its data are put in order."""
     part = lambda c, other: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit(other))
-    return F.coalesce(F.col("id"), F.concat(part("type", "event"), F.lit(":"), part("time", "unknown"), F.lit(":"), part("batchId", ""), F.lit(":"), part("data", "undefined"), F.lit(":"), part("seq", "")))
+    return F.coalesce(F.col("id"), F.concat(part("type", "event"), F.lit(":"), part("time", "unknown"), F.lit(":"), part("batchId", ""), F.lit(":"), F.coalesce(F.to_json(F.try_parse_json("data")), part("data", "undefined")), F.lit(":"), part("seq", "")))
 
 
 def deduplicate(events: DataFrame, within: str | None = None) -> DataFrame:
@@ -60,17 +60,28 @@ def comment_fields(c: Column) -> list[Column]:
     return [F.coalesce(*[get(name, k) for k in keys]).alias(name) for name, keys in SPELLINGS.items()]
 
 
+def _external(c: Column) -> Column:
+    """Whether a comment (a map) is one to show: not internal, with a path, a line and a text."""
+    of = dict(zip(SPELLINGS, comment_fields(c), strict=True))
+    internal = ~F.coalesce(F.lower(of["is_internal"]), F.lit("")).isin("", "false", "0")
+    shown = ~internal & (F.coalesce(of["file_path"], F.lit("")) != "") & (of["line"].try_cast("double") > 0) & (strip(F.coalesce(of["content"], F.lit(""))) != "")
+    return F.coalesce(shown, F.lit(False))
+
+
+def _shown() -> Column:
+    """The comments to show of a completed batch, with their places; null for other events."""
+    d = F.from_json("data", DATA)
+    placed = F.transform(d["comments"], lambda c, i: F.struct(i.alias("pos"), c.alias("c")))
+    return F.when((F.col("type") == "batch") & (d["status"] == "completed"), F.filter(placed, lambda x: _external(x["c"])))
+
+
 def comments(events: DataFrame) -> DataFrame:
     """External comments of completed batches, one row each, normalised."""
-    parsed = events.where("type = 'batch'").withColumn("d", F.from_json("data", DATA)).where("d.status = 'completed'")
-    rows = parsed.select("id", F.posexplode("d.comments").alias("pos", "c")).select("id", "pos", *comment_fields(F.col("c")))
+    rows = events.select("id", F.explode(_shown()).alias("x")).select("id", "x.pos", *comment_fields(F.col("x.c")))
     severity = F.lower(strip(F.coalesce("severity", F.lit("info"))))
-    line = F.col("line").try_cast("double")
     text = lambda c: strip(F.coalesce(c, F.lit("")))
-    internal = ~F.coalesce(F.lower("is_internal"), F.lit("")).isin("", "false", "0")
-    rows = rows.where(~internal & (F.coalesce("file_path", F.lit("")) != "") & (line > 0) & (text("content") != ""))
     category = F.coalesce(F.nullif(text("category"), F.lit("")), F.lit("review"))
-    return rows.select("id", "pos", "file_path", line.cast("long").alias("line"), text("content").alias("content"), F.when(severity.isin(SEVERITIES[:2]), severity).otherwise("info").alias("severity"), text("confidence").alias("confidence"), text("type").alias("type"), category.alias("category"), text("subcategory").alias("subcategory"))
+    return rows.select("id", "pos", "file_path", F.col("line").try_cast("double").cast("long").alias("line"), text("content").alias("content"), F.when(severity.isin(SEVERITIES[:2]), severity).otherwise("info").alias("severity"), text("confidence").alias("confidence"), text("type").alias("type"), category.alias("category"), text("subcategory").alias("subcategory"))
 
 
 def status(events: DataFrame, *keys: str) -> DataFrame:
@@ -112,11 +123,13 @@ def loading_line(elapsed_ms: Column) -> Column:
 
 
 def performance(events: DataFrame, *keys: str) -> DataFrame:
-    """Elapsed time (to completion or the latest event), time to the first comment, and comments of each review."""
-    ms = F.unix_millis(F.col("time").cast("timestamp"))
-    rows = events.withColumn("ms", ms).groupBy(*keys).agg(F.min("ms").alias("baseline"), F.max("ms").alias("now"), F.min(F.when(F.col("type") == "batch", F.col("ms"))).alias("first_comment"), F.min(F.when(F.col("type") == "completion", F.col("ms"))).alias("completed"), F.count_if(F.col("type") == "batch").alias("total_comments"))
+    """Elapsed time (to completion or the latest event), time to the first comment with its label, and comments of each review."""
+    rows = events.withColumns({"ms": F.unix_millis(F.col("time").cast("timestamp")), "n": F.coalesce(F.size(_shown()), F.lit(0))})
+    rows = rows.groupBy(*keys).agg(F.min("ms").alias("baseline"), F.max("ms").alias("now"), F.min(F.when(F.col("n") > 0, F.col("ms"))).alias("first"), F.min(F.when(F.col("type") == "completion", F.col("ms"))).alias("completed"), F.sum(F.greatest("n", F.lit(0))).alias("total_comments"))
     elapsed = F.greatest(F.coalesce("completed", "now") - F.col("baseline"), F.lit(0))
-    return rows.select(*keys, elapsed.alias("elapsed_ms"), F.greatest(F.col("first_comment") - F.col("baseline"), F.lit(0)).alias("first_comment_ms"), "total_comments")
+    first = F.col("first") - F.col("baseline")
+    label = F.when(first.isNotNull(), duration(first)).when(F.col("completed").isNotNull(), "No comments").otherwise("Waiting")
+    return rows.select(*keys, elapsed.alias("elapsed_ms"), first.alias("first_comment_ms"), label.alias("first_comment"), "total_comments")
 
 
 def maintain(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = True):

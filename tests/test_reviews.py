@@ -178,8 +178,14 @@ def test_events(spark):
     alike = [(None, "log", None, "b", "x", 1), (None, "log", None, "b", "x", 2), (None, "log", None, None, "x", 3), (None, "log", "b", None, "x", 3), ("", "log", None, "", "x", 4), ("", "odd", None, "", "y", 5)]
     kept = events.deduplicate(spark.createDataFrame(alike, "id string, type string, time string, batchId string, data string, seq int")).collect()
     assert sorted(r["seq"] for r in kept) == [1, 2, 3, 3, 4]
-    perf = {r["review"]: (r["elapsed_ms"], r["first_comment_ms"], r["total_comments"]) for r in events.performance(rows, "review").collect()}
-    assert perf == {1: (4000, 1000, 2), 2: (0, 0, 1)}
+    # Comments count, not batches: the second review's batch has none.
+    perf = {r["review"]: (r["elapsed_ms"], r["first_comment_ms"], r["first_comment"], r["total_comments"]) for r in events.performance(rows, "review").collect()}
+    assert perf == {1: (4000, 1000, "1s", 2), 2: (0, None, "Waiting", 0)}
+    done = rows.where("type = 'completion' OR seq = 7").withColumn("data", F.lit("{}"))
+    assert [(r["first_comment"], r["total_comments"]) for r in events.performance(done, "review").collect()] == [("No comments", 0)]
+    # The order of keys in data does not tell events apart.
+    twins = spark.createDataFrame([(None, "log", None, "b", '{"a": 1, "b": {"c": 2, "d": 3}}', 1), (None, "log", None, "b", '{"b": {"d": 3, "c": 2}, "a": 1}', 1)], "id string, type string, time string, batchId string, data string, seq int")
+    assert events.deduplicate(twins).count() == 1
 
 
 def test_events_as_a_stream(spark, tmp_path):
@@ -234,6 +240,12 @@ def test_decisions(spark):
     assert why == ["empty-web-message", "invalid-phase", "accepted"]
 
 
+def test_the_runtime_takes_a_late_skip(spark):
+    rows = spark.createDataFrame([(1, 1, "poll", None, None, None), (1, 2, "decision", "web", 2, ""), (1, 3, "decision", "web", 0, "m"), (2, 1, "poll", None, None, None), (2, 2, "decision", "terminal", 0, "m"), (2, 3, "decision", "web", 4, "")], "scenario_id long, seq long, event string, source string, code int, message string").withColumn("start_complete", F.lit(False))
+    of = lambda late: [r["outcome"] for r in decisions.outcomes(rows, late_skip=late).orderBy("scenario_id", "seq").collect()]
+    assert of(False) == ["invalid-phase", "accepted", "accepted", "already-resolved"] and of(True) == ["accepted", "already-resolved", "accepted", "already-resolved"]
+
+
 def test_decision_messages_are_whole(spark, tmp_path):
     from sluicebox.queries import reviews
 
