@@ -106,14 +106,15 @@ def links(distinct: DataFrame) -> DataFrame:
     masks = [_signed(sum(0xFF << 8 * i for i in g)) for g in groups]
     postings = F.array(*[F.struct(F.lit(m).cast("byte").alias("m"), F.col("fp").bitwiseAND(F.lit(mask).cast("long")).alias("k")) for m, mask in enumerate(masks)])
     posted = distinct.select("fp", F.explode(postings).alias("p")).select("fp", "p.m", "p.k")
-    # Members of a list differ in three bytes alone, so its length is bounded whatever the corpus.
-    lists = posted.groupBy("m", "k").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1)
-    lists = materialize(lists, "lists")
+    sizes = posted.groupBy("m", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    listed = materialize(posted.join(sizes, ["m", "k"]), "listed")
+    # Only short lists are gathered; the members of long ones stay rows.
+    members = listed.where(F.col("n") <= PAIRED_LIST).groupBy("m", "k").agg(F.collect_list("fp").alias("members"))
     pairs = F.expr("flatten(transform(members, x -> transform(filter(members, y -> y > x), y -> struct(x as a, y as b))))")
-    shared = lists.where(F.size("members") <= PAIRED_LIST).select(F.explode(pairs).alias("e")).select("e.a", "e.b")
+    shared = members.select(F.explode(pairs).alias("e")).select("e.a", "e.b")
     tallied = shared.groupBy("a", "b").agg(F.count(F.lit(1)).alias("tally")).where(F.col("tally") >= MIN_TALLY)
     short = tallied.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_DISTANCE).select("a", "b")
-    long = lists.where(F.size("members") > PAIRED_LIST).select("m", F.explode("members").alias("fp"))
+    long = listed.where(F.col("n") > PAIRED_LIST).select("m", "fp")
     flips = F.array(*[F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << 8 * p + b)).cast("long") for p in set(range(8)) - set(g) for b in range(8)]) for g in groups])
     midway = long.select("m", "fp", F.explode(flips[F.col("m").cast("int")]).alias("flip")).select("m", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("at"))
     met = midway.groupBy("m", "at").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1)
