@@ -131,7 +131,10 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str, text: str = "text
             yield pa.RecordBatch.from_pylist(rows, schema=names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ordered = rows.withColumn("sb_tie", F.xxhash64("text")).repartitionByRange("doc_id", "sb_tie").sortWithinPartitions("doc_id", "sb_tie").select("doc_id", "text")
+    # The row's number lets Spark part even equal rows of one id over several tasks.
+    numbered = rows.withColumns({"sb_tie": F.xxhash64("text"), "sb_row": F.monotonically_increasing_id()})
+    order = ["doc_id", "sb_tie", "sb_row"]
+    ordered = numbered.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     with shuffle_cleanup(docs.sparkSession):
         ordered.transform(map_batches, run, BLOCK_SCHEMA).write.option("compression", "none").parquet(path)
 
