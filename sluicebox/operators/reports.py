@@ -206,7 +206,7 @@ def write_osv_csv(rows: DataFrame, path: str) -> None:
 
 
 def osv_markdown(rows: DataFrame, source: str) -> DataFrame:
-    """part, go_id and line of a Markdown report: the counts, the rules and a table of the rows by their id."""
+    """part, go_id and line of a Markdown report, in its order: the counts, the rules and a table of the rows by their id."""
     of = rows.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.count_if(F.col("called") == x), F.lit(0)).alias(x) for x in ("true", "false")])
     number = lambda label, c: F.concat(F.lit(f"- {label}: "), c.cast("string"))
     top = ["# OSV Triage Matrix", "", f"Source report: `{source}`", ""]
@@ -219,4 +219,4 @@ def osv_markdown(rows: DataFrame, source: str) -> DataFrame:
     safe = lambda c: F.replace(_text(c), F.lit("|"), F.lit("\\|"))
     cells = [F.col("go_id"), F.coalesce(F.nullif(_text("cve"), F.lit("")), F.lit("-")), F.col("called"), safe("summary"), safe("fixed"), F.col("disposition"), F.col("fix_track")]
     table = rows.select(F.lit(len(top) + len(counts) + len(rules)).alias("part"), "go_id", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
-    return head.unionByName(table)
+    return head.unionByName(table).orderBy("part", "go_id")

@@ -147,8 +147,15 @@ def sql_setops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair("coverage > 50").union(pair("iterations = 2")).distinct().intersect(pair("action <> 'none'")).exceptAll(pair("author = 'dev1'").distinct())
 
 
-QUERIES["sql_recursive_cte"] = lambda spark, sf_dir: catalog.run(derived.review_log(spark, sf_dir), "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 20) SELECT n, n * n AS square FROM t")
-ORACLES["sql_recursive_cte"] = "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 20) SELECT n, n * n AS square FROM t"
+_STEPS = "t(n) AS (SELECT 0 UNION ALL SELECT n + 1 FROM t WHERE n < 4) SELECT n, count(hash) AS commits, max(coverage) AS best FROM t LEFT JOIN review_log ON iterations = n GROUP BY n"
+
+
+@query(None)
+def sql_recursive_cte(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.run(derived.review_log(spark, sf_dir), f"WITH RECURSIVE {_STEPS}")
+
+
+ORACLES["sql_recursive_cte"] = f"WITH RECURSIVE {LOG}, {_STEPS}"
 
 
 @query("""SELECT hash, CAST(coverage // 7 AS BIGINT) AS sevenths, CASE WHEN iterations = 0 THEN NULL ELSE CAST(coverage // iterations AS BIGINT) END AS per_iter,
@@ -202,9 +209,15 @@ def relative_since(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("branch", "author").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT name, source FROM (VALUES ('by-author', 'built-in'), ('recent', 'built-in'), ('stats', 'built-in')) AS t(name, source)""")
+@query("""SELECT 'stats' AS name, 'built-in' AS source, count(DISTINCT action) AS n_rows FROM review_log UNION ALL SELECT 'by-author', 'built-in', count(DISTINCT author) FROM review_log
+    UNION ALL SELECT 'recent', 'built-in', least(20, count(*)) FROM review_log""")
 def alias_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.Catalog().table(spark).select("name", "source")
+    """All named queries with how many rows each gives."""
+    log_rows, found, out = derived.review_log(spark, sf_dir), catalog.Catalog(), None
+    for name, _, source in found.listing():
+        one = catalog.run(log_rows, name, found).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("name"), F.lit(source).alias("source"), "n_rows")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("SELECT author, action, count(*) AS n, max(coverage) AS best FROM review_log WHERE date >= '2024-01-10T00:00:00Z' AND date <= '2024-01-20T00:00:00Z' AND author IN ('dev1', 'dev4') GROUP BY author, action")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -131,32 +129,33 @@ def release_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("version", F.array_join(F.transform(F.map_entries("platforms"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("platforms"))
 
 
-#: A small report with a reachable, an unreachable and an unknown vulnerability.
-REPORT = {
-    "results": [
-        {
-            "source": {"path": "go.mod"},
-            "packages": [
-                {
-                    "groups": [{"experimental_analysis": {"GO-2": {"called": True}, "GO-1": {"called": False}}}],
-                    "vulnerabilities": [
-                        {"id": "GO-2", "aliases": ["GHSA-x", "CVE-2024-2"], "summary": "two", "affected": [{"package": {"name": "stdlib"}, "ranges": [{"events": [{"introduced": "0"}, {"fixed": "1.21.1"}]}, {"events": [{"introduced": "1.22.0"}]}], "ecosystem_specific": {"imports": [{"path": "net/http", "symbols": ["Get", "Post"]}, {"path": "net"}]}}]},
-                        {"id": "GO-1", "aliases": [], "affected": [{"package": {"name": ""}}, {"package": {"name": "x/net"}}]},
-                        {"id": "GO-3"},
-                    ],
-                }
-            ],
-        }
-    ]
-}
-
-
+def osv_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON reports (value) made from the parts, twenty in each: reachable ones, unreachable ones and such that nothing is said of."""
+    k, text = F.col("p_partkey"), lambda x, c: F.concat(F.lit(x), c.cast("string"))
+    event = lambda introduced, fixed: F.struct(introduced.cast("string").alias("introduced"), fixed.cast("string").alias("fixed"))
+    none = F.lit(None)
+    first = F.struct(F.array(event(F.lit("0"), none), event(none, text("1.", k % 9))).alias("events"))
+    second = F.struct(F.array(event(F.lit("2.0"), none)).alias("events"))
+    symbols = lambda *names: F.array(*map(F.lit, names)).cast("array<string>")
+    imports = F.when(k % 6 == 0, F.array(F.struct(F.lit("net/http").alias("path"), symbols("Get", "Post").alias("symbols")), F.struct(F.lit("net").alias("path"), symbols().alias("symbols"))))
+    affected = F.struct(F.struct(F.when(k % 5 == 0, "").otherwise(text("x/", k % 7)).alias("name")).alias("package"), F.when(k % 3 == 0, F.array(first, second)).otherwise(F.array(first)).alias("ranges"), F.struct(imports.alias("imports")).alias("ecosystem_specific"))
+    aliases = F.when(k % 2 == 0, F.array(text("GHSA-", k), text("CVE-", k))).otherwise(F.array().cast("array<string>"))
+    vulnerability = F.struct(text("GO-", k).alias("id"), aliases.alias("aliases"), F.when(k % 4 != 0, text("part | ", k)).alias("summary"), F.array(affected).alias("affected"))
+    call = F.when(k % 3 != 2, F.struct(text("GO-", k).alias("key"), F.struct((k % 3 == 0).alias("called")).alias("value")))
+    rows = derived.table(spark, sf_dir, "part").groupBy(F.floor(k / 20).alias("report")).agg(F.collect_list(vulnerability).alias("vulnerabilities"), F.collect_list(call).alias("calls"))
+    package = F.struct(F.array(F.struct(F.map_from_entries("calls").alias("experimental_analysis"))).alias("groups"), "vulnerabilities")
+    result = F.struct(F.struct(F.concat(text("m", F.col("report")), F.lit(".mod")).alias("path")).alias("source"), F.array(package).alias("packages"))
+    return rows.select(F.to_json(F.struct(F.array(result).alias("results"))).alias("value"))
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' ELSE 'unknown' END AS called FROM part)
+    SELECT 'GO-' || CAST(k AS VARCHAR) AS go_id, CASE WHEN k % 2 = 0 THEN 'CVE-' || CAST(k AS VARCHAR) ELSE '' END AS cve, CASE WHEN k % 2 = 0 THEN 'GHSA-' || CAST(k AS VARCHAR) || ';CVE-' || CAST(k AS VARCHAR) ELSE '' END AS aliases,
+        CASE WHEN k % 4 = 0 THEN '' ELSE 'part | ' || CAST(k AS VARCHAR) END AS summary, CASE WHEN k % 5 = 0 THEN '' ELSE 'x/' || CAST(k % 7 AS VARCHAR) END AS package, CASE WHEN k % 6 = 0 THEN 'net/http: Get;Post | net' ELSE '' END AS symbols,
+        CASE WHEN k % 3 = 0 THEN '0, 2.0' ELSE '0' END AS introduced, '1.' || CAST(k % 9 AS VARCHAR) AS fixed, called, 'm' || CAST(k // 20 AS VARCHAR) || '.mod' AS source_path,
+        CASE called WHEN 'true' THEN 'actionable-now' ELSE 'verify-reachability' END AS disposition, CASE called WHEN 'true' THEN 'runtime-upgrade+targeted-hardening' ELSE 'runtime-upgrade' END AS fix_track,
+        CASE called WHEN 'true' THEN '{batch.OSV_NOTES[0]}' ELSE '{batch.OSV_NOTES[1]}' END AS notes FROM p""")
 def osv_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = spark.createDataFrame([(json.dumps(REPORT),)], "value string")
-    return batch.osv_rows(raw.select(F.from_json("value", batch.OSV).alias("r")).select("r.results"))
-
-
-QUERIES["osv_flatten"] = osv_flatten
+    return batch.osv_rows(osv_reports(spark, sf_dir).select(F.from_json("value", batch.OSV).alias("r")).select("r.results"))
 
 
 @query(r"""WITH f AS (SELECT coalesce(source, '') || '/' || CAST(doc_id // 20 AS VARCHAR) AS folder, CASE WHEN doc_id % 10 = 0 THEN 'INSTRUCTIONS.md' WHEN doc_id % 10 = 1 THEN 'README.md' ELSE 'r' || CAST(doc_id AS VARCHAR) || '.md' END AS name, regexp_replace(text, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g') AS content FROM documents)

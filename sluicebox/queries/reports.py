@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import diff as D
-from ..operators import batch, reports
+from ..operators import reports
 from ..sources import attestations, derived
 from ..streaming import events as E
 from . import changes, jobs, reviews
@@ -126,29 +124,14 @@ def event_log_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.event_log(E.message(reviews.review_events(spark, sf_dir)), "review")
 
 
-#: The report's text for DuckDB, whose JSON functions flatten it as Spark does.
-_OSV = json.dumps(jobs.REPORT).replace("'", "''")
-_OSV_ROWS = f"""WITH doc AS (SELECT CAST('{_OSV}' AS JSON) AS d),
-    p AS (SELECT d -> '$.results[0].source.path' ->> '$' AS source_path, d -> '$.results[0].packages[0]' AS p FROM doc),
-    v AS (SELECT source_path, p -> '$.groups[0].experimental_analysis' AS calls, unnest(CAST(p -> '$.vulnerabilities' AS JSON[])) AS v FROM p),
-    w AS (SELECT source_path, v ->> '$.id' AS go_id, coalesce(CAST(v -> '$.aliases' AS VARCHAR[]), []) AS a, coalesce(v ->> '$.summary', '') AS summary, coalesce(CAST(v -> '$.affected' AS JSON[]), []) AS aff,
-            CASE WHEN json_exists(calls, '$."' || (v ->> '$.id') || '"') THEN CAST(CAST(json_extract(calls, '$."' || (v ->> '$.id') || '".called') AS BOOLEAN) AS VARCHAR) ELSE 'unknown' END AS called FROM v),
-    ev AS (SELECT *, flatten(flatten(list_transform(aff, lambda x: list_transform(coalesce(CAST(x -> '$.ranges' AS JSON[]), []), lambda y: coalesce(CAST(y -> '$.events' AS JSON[]), []))))) AS ev,
-            flatten(list_transform(aff, lambda x: coalesce(CAST(x -> '$.ecosystem_specific.imports' AS JSON[]), []))) AS imp FROM w),
-    o AS (SELECT go_id, coalesce(list_filter(a, lambda x: starts_with(x, 'CVE-'))[1], '') AS cve, array_to_string(a, ';') AS aliases, summary, coalesce(list_filter(list_transform(aff, lambda x: coalesce(x ->> '$.package.name', '')), lambda x: x <> '')[1], '') AS package,
-            array_to_string(list_filter(list_transform(imp, lambda x: CASE WHEN len(coalesce(CAST(x -> '$.symbols' AS VARCHAR[]), [])) > 0 THEN coalesce(x ->> '$.path', '') || ': ' || array_to_string(CAST(x -> '$.symbols' AS VARCHAR[]), ';') ELSE coalesce(x ->> '$.path', '') END), lambda x: x <> ''), ' | ') AS symbols,
-            array_to_string(list_filter(list_transform(ev, lambda x: x ->> '$.introduced'), lambda x: x IS NOT NULL), ', ') AS introduced, array_to_string(list_filter(list_transform(ev, lambda x: x ->> '$.fixed'), lambda x: x IS NOT NULL), ', ') AS fixed, called, source_path,
-            CASE called WHEN 'true' THEN 'actionable-now' ELSE 'verify-reachability' END AS disposition, CASE called WHEN 'true' THEN 'runtime-upgrade+targeted-hardening' ELSE 'runtime-upgrade' END AS fix_track,
-            CASE called WHEN 'true' THEN '{batch.OSV_NOTES[0]}' ELSE '{batch.OSV_NOTES[1]}' END AS notes FROM ev)"""
-ORACLES["osv_flatten"] = _OSV_ROWS + " SELECT * FROM o"
-
-
-@query(_OSV_ROWS + """, t AS (SELECT 17 AS part, go_id, '| ' || go_id || ' | ' || CASE cve WHEN '' THEN '-' ELSE cve END || ' | ' || called || ' | ' || replace(summary, '|', '\\|') || ' | ' || replace(fixed, '|', '\\|') || ' | ' || disposition || ' | ' || fix_track || ' |' AS line FROM o),
-    h AS (SELECT unnest(range(0, 17)) AS part, unnest(['# OSV Triage Matrix', '', 'Source report: `report.json`', '', '- Total vulnerabilities: 3', '- Called true: 1', '- Called false: 1', '- Called unknown: 1', '', '## Initial Disposition Rules', '', '- `actionable-now`: scanner marked called=true; treat as reachable until disproven.',
-        '- `verify-reachability`: scanner marked called=false; confirm by code-path review.', '', '## Vulnerability Table', '', '| GO ID | CVE | Called | Summary | Fixed Versions | Disposition | Fix Track |']) AS line)
-    SELECT CAST(part AS INTEGER) AS part, '' AS go_id, line FROM h UNION ALL SELECT 17, '', '|---|---|---|---|---|---|---|' UNION ALL SELECT part + 1, go_id, line FROM t""")
+@query(f"""WITH o AS ({jobs.ORACLES['osv_flatten']}),
+    t AS (SELECT 18 AS part, go_id, '| ' || go_id || ' | ' || CASE cve WHEN '' THEN '-' ELSE cve END || ' | ' || called || ' | ' || replace(summary, '|', '\\|') || ' | ' || replace(fixed, '|', '\\|') || ' | ' || disposition || ' | ' || fix_track || ' |' AS line FROM o),
+    n AS (SELECT unnest(['Total vulnerabilities', 'Called true', 'Called false', 'Called unknown']) AS label, unnest([4, 5, 6, 7]) AS part, unnest(['', 'true', 'false', 'unknown']) AS called),
+    h AS (SELECT unnest([0, 1, 2, 3, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17]) AS part, unnest(['# OSV Triage Matrix', '', 'Source report: `parts`', '', '', '## Initial Disposition Rules', '', '- `actionable-now`: scanner marked called=true; treat as reachable until disproven.',
+        '- `verify-reachability`: scanner marked called=false; confirm by code-path review.', '', '## Vulnerability Table', '', '| GO ID | CVE | Called | Summary | Fixed Versions | Disposition | Fix Track |', '|---|---|---|---|---|---|---|']) AS line)
+    SELECT part, '' AS go_id, line FROM h UNION ALL SELECT part, '', '- ' || label || ': ' || CAST((SELECT count(*) FROM o WHERE n.called = '' OR o.called = n.called) AS VARCHAR) FROM n UNION ALL SELECT part, go_id, line FROM t""")
 def osv_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.osv_markdown(jobs.osv_flatten(spark, sf_dir), "report.json")
+    return reports.osv_markdown(jobs.osv_flatten(spark, sf_dir), "parts")
 
 
 @query("""WITH a AS (SELECT o_custkey AS k, max(o_orderkey) AS top FROM orders GROUP BY o_custkey)

@@ -307,14 +307,24 @@ def test_retention_and_audit(spark):
     assert {r["action"]: r["n"] for r in batch.actions(rows).collect()}["unknown"] == 1
 
 
-def test_reports_and_rules(spark):
-    from sluicebox.queries import jobs
+#: A report with a reachable, an unreachable and an unknown vulnerability.
+OSV_REPORT = {"results": [{"source": {"path": "go.mod"}, "packages": [{
+    "groups": [{"experimental_analysis": {"GO-2": {"called": True}, "GO-1": {"called": False}}}],
+    "vulnerabilities": [
+        {"id": "GO-2", "aliases": ["GHSA-x", "CVE-2024-2"], "summary": "two", "affected": [{"package": {"name": "stdlib"}, "ranges": [{"events": [{"introduced": "0"}, {"fixed": "1.21.1"}]}, {"events": [{"introduced": "1.22.0"}]}], "ecosystem_specific": {"imports": [{"path": "net/http", "symbols": ["Get", "Post"]}, {"path": "net"}]}}]},
+        {"id": "GO-1", "aliases": [], "affected": [{"package": {"name": ""}}, {"package": {"name": "x/net"}}]},
+        {"id": "GO-3"},
+    ],
+}]}]}
+
 
-    rows = {r["go_id"]: r for r in jobs.osv_flatten(spark, "").collect()}
+def test_reports_and_rules(spark):
+    flat = batch.osv_rows(spark.createDataFrame([(json.dumps(OSV_REPORT),)], "value string").select(F.from_json("value", batch.OSV).alias("r")).select("r.results"))
+    rows = {r["go_id"]: r for r in flat.collect()}
     two = rows["GO-2"]
     assert (two["cve"], two["introduced"], two["fixed"], two["symbols"], two["called"], two["package"]) == ("CVE-2024-2", "0, 1.22.0", "1.21.1", "net/http: Get;Post | net", "true", "stdlib")
     assert (rows["GO-1"]["called"], rows["GO-1"]["package"], rows["GO-3"]["called"], rows["GO-3"]["disposition"]) == ("false", "x/net", "unknown", "verify-reachability")
-    assert tuple(batch.disposition_counts(jobs.osv_flatten(spark, "")).first()) == (1, 1, 1)
+    assert tuple(batch.disposition_counts(flat).first()) == (1, 1, 1)
     md = spark.createDataFrame([("x", "b.md", " B "), ("x", "INSTRUCTIONS.md", "I"), ("x", "README.md", "R"), ("x", "a.md", "A"), ("x", "c.txt", "C"), ("x", "e.md", " ")], "folder string, name string, content string")
     assert batch.rules_bundle(md).first()["bundle"] == "## INSTRUCTIONS\n\nI\n\n## a\n\nA\n\n## b\n\nB"
     lint = spark.createDataFrame([("p", "# **/**\r\nok\r\n x/**/** \n")], "path string, content string")
