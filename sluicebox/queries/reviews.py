@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import usage
+from ..operators import navigation, usage
 from ..sources import derived
 from ..streaming import decisions, events
 
@@ -199,3 +199,25 @@ def event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latest_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("review").orderBy(F.desc("time"), F.desc("seq"))
     return review_events(spark, sf_dir).withColumn("k", F.row_number().over(w)).where("k = 1").select("review", "seq")
+
+
+def comment_nav_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Viewers who move through lists of comments that grow, shrink and lose the one they look at."""
+    c = derived.table(spark, sf_dir, "conversations")
+    turn = F.col("turn")
+    ids = F.expr("filter(transform(sequence(0, 6), i -> concat('c', i)), (c, i) -> i < (conv_id + turn) % 7 AND i <> turn % 5)")
+    return navigation.replay(c.select(F.col("conv_id").alias("viewer"), turn.alias("seq"), F.when(turn % 3 == 0, "list").when(turn % 3 == 1, "next").otherwise("prev").alias("kind"), F.when(turn % 3 == 0, ids).alias("ids")))
+
+
+QUERIES["comment_nav_replay"] = comment_nav_replay
+ORACLES["comment_nav_replay"] = """WITH RECURSIVE
+    r AS (SELECT conv_id AS viewer, turn AS seq, turn % 3 AS kind, [('c' || i) FOR i IN range(0, 7) IF i < (conv_id + turn) % 7 AND i <> turn % 5] AS ids, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+    f AS (
+        SELECT DISTINCT viewer, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS seq, -1 AS current, CAST(NULL AS VARCHAR) AS active, 0 AS anchor, CAST([] AS VARCHAR[]) AS ids FROM r
+        UNION ALL
+        SELECT viewer, k, seq, CAST(CASE WHEN kind = 0 THEN coalesce(nullif(list_position(n_ids, active), 0), 0) - 1 WHEN len(n_ids) = 0 THEN current ELSE place END AS INTEGER),
+            CASE WHEN kind = 0 THEN CASE WHEN list_contains(n_ids, active) THEN active END WHEN len(n_ids) = 0 THEN active ELSE n_ids[place + 1] END,
+            CAST(CASE WHEN kind = 0 THEN CASE WHEN list_contains(n_ids, active) THEN list_position(n_ids, active) - 1 ELSE least(greatest(CASE WHEN current < 0 THEN anchor ELSE current END, 0), len(n_ids)) END WHEN len(n_ids) = 0 THEN anchor ELSE place END AS INTEGER), n_ids
+        FROM (SELECT *, CASE WHEN kind = 1 THEN (CASE WHEN current >= 0 THEN current + 1 ELSE anchor END) % greatest(len(n_ids), 1) ELSE ((CASE WHEN current >= 0 THEN current ELSE anchor END) - 1 + len(n_ids)) % greatest(len(n_ids), 1) END AS place
+            FROM (SELECT r.viewer, r.k, r.seq, r.kind, CASE WHEN r.kind = 0 THEN r.ids ELSE f.ids END AS n_ids, f.current, f.active, f.anchor FROM f JOIN r ON r.viewer = f.viewer AND r.k = f.k + 1) a) b)
+    SELECT viewer, seq, current, active, anchor FROM f WHERE k > 0"""

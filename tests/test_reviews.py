@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluicebox.functions import diff as D
-from sluicebox.operators import batch, coverage, facets, slides, usage
+from sluicebox.operators import batch, coverage, facets, navigation, slides, usage
 from sluicebox.operators import comments as C
 from sluicebox.sources import sessions as store
 from sluicebox.streaming import decisions, events
@@ -338,3 +338,25 @@ def test_navigation_wraps_for_all_small_lengths(spark):
     got = {(r["file_path"], r["ord"]): (int(r["next_content"]), int(r["prev_content"])) for r in C.neighbours(spark.createDataFrame(rows, "file_path string, ord int, content string")).collect()}
     for n, i in itertools.chain.from_iterable(((n, i) for i in range(n)) for n in range(1, 7)):
         assert got[(f"f{n}", i)] == ((i + 1) % n, (i - 1) % n)
+
+
+def test_all_moves_of_lists_up_to_six(spark):
+    for n in range(7):
+        ids = [f"c{i}" for i in range(n)]
+        assert navigation.move("next", ids, -1, None, 0) == ((0, "c0", 0) if n else (-1, None, 0))
+        for i in range(n):
+            forward, back = navigation.move("next", ids, i, ids[i], i), navigation.move("prev", ids, i, ids[i], i)
+            assert forward[1] == (ids[1:] + ids[:1])[i] and back[1] == (ids[-1:] + ids[:-1])[i]
+            # The current comment goes: the next one is what has come to its place, the previous one what stands before it.
+            left = ids[:i] + ids[i + 1 :]
+            state = navigation.move("list", left, i, ids[i], i)
+            assert state == (-1, None, min(i, len(left)))
+            if left:
+                assert navigation.move("next", left, *state)[1] == (left + left[:1])[i] and navigation.move("prev", left, *state)[1] == (left[-1:] + left)[i]
+            # Another goes or comes before it: it stays the current one.
+            assert navigation.move("list", ["new", *ids], i, ids[i], i) == (i + 1, ids[i], i + 1)
+        for anchor in range(n + 1):
+            assert navigation.move("list", ids, -1, None, anchor) == (-1, None, anchor)
+    steps = spark.createDataFrame([(1, 3, "next", None), (1, 1, "list", ["a", "b"]), (1, 2, "next", None), (1, 4, "list", ["b"]), (1, 5, "list", None), (1, 6, "prev", None), (2, 1, "next", None)], "viewer long, seq long, kind string, ids array<string>")
+    got = [tuple(r)[1:] for r in navigation.replay(steps).where("viewer = 1").orderBy("seq").collect()]
+    assert got == [(1, -1, None, 0), (2, 0, "a", 0), (3, 1, "b", 1), (4, 0, "b", 0), (5, -1, None, 0), (6, -1, None, 0)]
