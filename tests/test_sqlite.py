@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sluicebox.functions import sqlite as S
 
 DB = sqlite3.connect(":memory:")
-TIMES = ["2024-01-31", "2024-02-29 23:59:59.999", "2023-03-01T00:00:00Z", "1999-12-31 12:30", "2024-06-15T08:09:10.1234+05:30", "2024-06-15 08:09:10-11:00", "12:34:56", "2460000.5", "2440587.75", "2024-13-01", "text", "", None, " 2024-05-05 ", "0100-01-01", "9999-12-31"]
+TIMES = ["2024-01-31", "2024-02-29 23:59:59.999", "2023-03-01T00:00:00Z", "1999-12-31 12:30", "2024-06-15T08:09:10.1234+05:30", "2024-06-15 08:09:10-11:00", "12:34:56", "2460000.5", "2440587.75", "2024-13-01", "text", "", None, " 2024-05-05 ", "0100-01-01", "9990-06-30"]
 STEPS = ["+1 month", "-1 month", "+13 months", "+1 year", "-3 years", "+1 day", "-45 days", "+1.5 days", "+100000 seconds", "-90 minutes", "+5 hours", "start of month", "start of year", "start of day", "weekday 0", "weekday 3", "weekday 6", "+02:30", "-00:45:30", "utc"]
 CODES = ["%d", "%f", "%H", "%j", "%m", "%M", "%s", "%S", "%w", "%W", "%Y", "a%%b %Y/%m/%d"]
 
@@ -33,6 +33,10 @@ def test_chains_of_modifiers_are_those_of_sqlite(spark):
             assert x == sqlite(f"datetime(?{marks})", value, *chain), (value, chain)
 
 
+def test_years_outside_the_range_are_null(spark):
+    assert columns(spark, ["9999-12-31", "0000-01-01"], [S.date(F.col("v"), "+1 month"), S.date(F.col("v"), "-1 day"), S.date(F.col("v"))]) == [(None, "9999-12-30", "9999-12-31"), ("0000-02-01", None, "0000-01-01")]
+
+
 def test_formats_are_those_of_sqlite(spark):
     got = columns(spark, TIMES, [S.strftime(c, F.col("v")) for c in CODES] + [S.date(F.col("v")), S.time(F.col("v")), S.unixepoch(F.col("v"), "+1 day"), S.julianday(F.col("v")), S.strftime("%Q", F.col("v")), S.date(F.col("v"), "+1 fortnight")])
     for value, row in zip(TIMES, got):
