@@ -14,6 +14,8 @@ from pyspark.sql.types import StructType
 
 #: Bytes of an Arrow batch that goes to a Python worker.
 BATCH_BYTES = 4 << 20
+#: The hint for joins of tables that grow with the documents: broadcast ones would be built in the driver, round after round.
+MERGE = "merge"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vectext as V
-from .common import map_batches, materialize
+from .common import MERGE, map_batches, materialize
 from .simhash import components, shingle_hashes
 
 BAND_ROWS = 6
@@ -106,9 +106,9 @@ def links(prints: DataFrame, docs: DataFrame, keys: list[str], size: int, simila
 
     # Texts are only hashed again where a set has a candidate.
     shared = _lists(posted)
-    chosen = nodes.join(shared.select(F.col("fp").alias("sb_fp")).distinct(), "sb_fp", "left_semi").select(*[F.col(f"one.{c}").alias(f"sb_one_{c}") for c in keys])
+    chosen = nodes.join(shared.select(F.col("fp").alias("sb_fp")).distinct().hint(MERGE), "sb_fp", "left_semi").select(*[F.col(f"one.{c}").alias(f"sb_one_{c}") for c in keys])
     same = [docs[c].eqNullSafe(F.col(f"sb_one_{c}")) for c in keys]
-    sets = materialize(shingle_sets(docs.join(chosen, same, "left_semi"), size, text), "sets")
+    sets = materialize(shingle_sets(docs.join(chosen.hint(MERGE), same, "left_semi"), size, text), "sets")
 
     found = _verified(_pairs(shared), sets, similarity)
     long = shared.where(F.col("n") > PAIRED_LIST).select("key", "fp")
@@ -120,25 +120,25 @@ def links(prints: DataFrame, docs: DataFrame, keys: list[str], size: int, simila
 def _parted(long: DataFrame, found: DataFrame) -> DataFrame:
     """Members (key, fp, root) of lists with more than one component, and whether they are outside the largest (out)."""
     roots = components(found).select("fp", "root")
-    rooted = materialize(long.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    rooted = materialize(long.join(roots.hint(MERGE), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
     largest = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
     some = materialize(largest.where("roots > 1").select("key", "main"), "largest")
-    return rooted.join(some, "key").select("key", "fp", "root", (F.col("root") != F.col("main")).alias("out"))
+    return rooted.join(some.hint(MERGE), "key").select("key", "fp", "root", (F.col("root") != F.col("main")).alias("out"))
 
 
 def _across(parted: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) that connect members of different components, at least one outside its list's largest."""
-    parted = materialize(parted.join(sets.select("fp", F.size("members").alias("size")), "fp"), "parted")
+    parted = materialize(parted.join(sets.select("fp", F.size("members").alias("size")).hint(MERGE), "fp"), "parted")
     blocks = lambda on: F.greatest(F.ceil(F.count_if(on) / BLOCK_ROWS), F.ceil(F.sum(F.when(on, F.col("size")).otherwise(0)) / BLOCK_SHINGLES))
     many = parted.groupBy("key").agg(blocks(F.col("out")).cast("int").alias("n_out"), blocks(~F.col("out")).cast("int").alias("n_main"))
-    rows = parted.join(many, "key")
+    rows = parted.join(many.hint(MERGE), "key")
     of = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
     each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     # Blocks of the largest component have negative numbers; two of them never meet.
     outside = F.concat(F.transform(each("n_out"), lambda j: F.struct(F.least(of("n_out"), j).alias("i"), F.greatest(of("n_out"), j).alias("j"))), F.transform(each("n_main"), lambda j: F.struct(of("n_out").alias("i"), (-1 - j).alias("j"))))
     main = F.transform(each("n_out"), lambda i: F.struct(i.alias("i"), (-1 - of("n_main")).alias("j")))
     dealt = rows.select("key", "fp", "root", F.explode(F.when(F.col("out"), outside).otherwise(main)).alias("b")).select("key", "b.i", "b.j", "fp", "root")
-    members = dealt.join(sets, "fp").groupBy("key", "i", "j").agg(F.collect_list(F.struct("fp", "root", "members")).alias("rows"))
+    members = dealt.join(sets.hint(MERGE), "fp").groupBy("key", "i", "j").agg(F.collect_list(F.struct("fp", "root", "members")).alias("rows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,7 +193,7 @@ def connecting(names: list[int], roots: list[int], sets: list[np.ndarray], simil
 def _lists(posted: DataFrame) -> DataFrame:
     """posted (key, fp) with the number of its list's members (n, 2 or more) and the smallest of them (first)."""
     lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("first")).where("n > 1")
-    return materialize(posted.join(lists, "key"), "shared")
+    return materialize(posted.join(lists.hint(MERGE), "key"), "shared")
 
 
 def _pairs(shared: DataFrame) -> DataFrame:
@@ -211,5 +211,5 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     pairs = materialize(pairs.distinct(), "pairs")
     a, b = (sets.select(F.col("fp").alias(c), F.col("members").alias(f"s{c}")) for c in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
-    near = pairs.join(a, "a").join(b, "b").where(both >= similarity * (F.size("sa") + F.size("sb") - both))
+    near = pairs.join(a.hint(MERGE), "a").join(b.hint(MERGE), "b").where(both >= similarity * (F.size("sa") + F.size("sb") - both))
     return materialize(near.select("a", "b"), "found")

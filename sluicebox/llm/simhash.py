@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vectext as V
-from .common import map_batches, materialize
+from .common import MERGE, map_batches, materialize
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -107,7 +107,7 @@ def links(distinct: DataFrame) -> DataFrame:
     postings = F.array(*[F.struct(F.lit(m).cast("byte").alias("m"), F.col("fp").bitwiseAND(F.lit(mask).cast("long")).alias("k")) for m, mask in enumerate(masks)])
     posted = distinct.select("fp", F.explode(postings).alias("p")).select("fp", "p.m", "p.k")
     sizes = posted.groupBy("m", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    listed = materialize(posted.join(sizes, ["m", "k"]), "listed")
+    listed = materialize(posted.join(sizes.hint(MERGE), ["m", "k"]), "listed")
     # Only short lists are gathered; the members of long ones stay rows.
     members = listed.where(F.col("n") <= PAIRED_LIST).groupBy("m", "k").agg(F.collect_list("fp").alias("members"))
     pairs = F.expr("flatten(transform(members, x -> transform(filter(members, y -> y > x), y -> struct(x as a, y as b))))")
@@ -128,12 +128,12 @@ def components(edges: DataFrame) -> DataFrame:
     label = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("fp"), F.least("a", "b").alias("root"))
     label = materialize(label, "labels")
     while True:
-        spread = both.join(label, both["b"] == label["fp"]).select(both["a"].alias("fp"), "root").groupBy("fp").agg(F.min("root").alias("seen"))
-        lower = label.join(spread, "fp", "left").select("fp", F.least("root", F.coalesce("seen", "root")).alias("root"), F.col("root").alias("was"))
+        spread = both.join(label.hint(MERGE), both["b"] == label["fp"]).select(both["a"].alias("fp"), "root").groupBy("fp").agg(F.min("root").alias("seen"))
+        lower = label.join(spread.hint(MERGE), "fp", "left").select("fp", F.least("root", F.coalesce("seen", "root")).alias("root"), F.col("root").alias("was"))
         lower = materialize(lower, "lower")
         jump = lower.select(F.col("fp").alias("at"), F.col("root").alias("up"))
         # The label's own label is as good and may be lower.
-        jumped = lower.join(jump, lower["root"] == jump["at"], "left").select("fp", F.coalesce("up", "root").alias("root"), (F.coalesce("up", "root") != F.col("was")).alias("moved"))
+        jumped = lower.join(jump.hint(MERGE), lower["root"] == jump["at"], "left").select("fp", F.coalesce("up", "root").alias("root"), (F.coalesce("up", "root") != F.col("was")).alias("moved"))
         jumped = materialize(jumped, "jumped")
         label = jumped.select("fp", "root")
         if jumped.where("moved").isEmpty():
@@ -144,16 +144,16 @@ def classes(prints: DataFrame, key: str, edges: DataFrame | None = None) -> Data
     """(fp, component_id) for each distinct sb_fp of prints; the id is the smallest key in the component."""
     known = materialize(prints.groupBy(F.col("sb_fp").alias("fp")).agg(F.min(key).alias("least")), "classes")
     roots = components(links(known.select("fp")) if edges is None else edges)
-    rooted = known.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    rooted = known.join(roots.hint(MERGE), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return materialize(rooted.join(smallest, "root").select("fp", "component_id"), "components")
+    return materialize(rooted.join(smallest.hint(MERGE), "root").select("fp", "component_id"), "components")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, fingerprint (16 hex digits) and component_id of each row."""
     prints = materialize(fingerprints(docs, [key], text), "prints")
     of = classes(prints, key)
-    joined = prints.join(of, prints["sb_fp"] == of["fp"])
+    joined = prints.join(of.hint(MERGE), prints["sb_fp"] == of["fp"])
     return joined.select(key, F.lower(F.lpad(F.hex("sb_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -174,9 +174,9 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int
         prints = materialize(jaccard.signatures(rows, keys, size, "sb_text"), "prints")
         edges = jaccard.links(prints, rows, keys, size, similarity, "sb_text")
     of = classes(prints, "sb_id", edges)
-    joined = prints.join(of, prints["sb_fp"] == of["fp"])
+    joined = prints.join(of.hint(MERGE), prints["sb_fp"] == of["fp"])
     chosen = joined.groupBy("component_id", "fp").agg(F.min(F.struct(F.col("sb_id").isNull().alias("n"), F.col("sb_id").alias("k"), F.col("sb_digest").alias("d"))).alias("first"))
     chosen = chosen.groupBy("component_id").agg(F.min("first").alias("first")).select(F.col("first.k").alias("sb_key"), F.col("first.d").alias("sb_kept"))
-    kept = rows.join(chosen, rows["sb_id"].eqNullSafe(F.col("sb_key")) & (rows["sb_digest"] == F.col("sb_kept")))
+    kept = rows.join(chosen.hint(MERGE), rows["sb_id"].eqNullSafe(F.col("sb_key")) & (rows["sb_digest"] == F.col("sb_kept")))
     # Repeated rows of the chosen id and text: tasks drop theirs before the shuffle.
     return kept.dropDuplicates(keys).select("sb_row.*")

@@ -137,6 +137,19 @@ def test_links_lose_no_component(spark, monkeypatch, paired):
     assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
 
 
+def test_no_table_of_documents_is_broadcast(spark, monkeypatch):
+    """The driver builds what is broadcast: its memory would grow with each round of the components."""
+    from sluicebox.llm import jaccard
+
+    plans = []
+    for module in (simhash, jaccard):
+        monkeypatch.setattr(module, "materialize", lambda df, name, write=module.materialize: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name))
+    docs = frame(spark, [(i, f"a b c d e f g h {i % 7} {i % 3}") for i in range(60)])
+    for out in (simhash.near_duplicates(docs), simhash.keep_one(docs, size=5, similarity=0.8)):
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) > 8 and not [p for p in plans if "Broadcast" in p]
+
+
 def test_simhash_edges(spark):
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
     rows = simhash.near_duplicates(frame(spark, EDGES)).collect()
