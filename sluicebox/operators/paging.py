@@ -1,20 +1,17 @@
 """Pages of listings put in order by the cursors that they name.
 
 A page begins at a name (null for the first of its listing) and names where the
-next one begins.  The places of all pages come from pointer doubling: each page
-knows the page before it and the distance to it, and takes over the distance and
-pointer of the page it points at, so a listing of n pages takes log2(n) joins
-and no walk from page to page.
+next one begins.  Each page knows the page before it, and ``chains`` gives the places
+of all pages at once, without a walk from page to page.
 """
 
 from __future__ import annotations
 
-from math import ceil, log2
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import kept
+from ..sources.scratch import written
+from .chains import ranked
 
 
 def ordered(pages: DataFrame) -> DataFrame:
@@ -26,20 +23,11 @@ def ordered(pages: DataFrame) -> DataFrame:
     fetched twice (same listing and start) one counts; two pages that name the
     same next one are one chain from there on, and the longer way counts.
     """
-    once = pages.dropDuplicates(["listing", "start"])
-    known = kept(once.select("listing", "start", "next"))
-    before = known.where("next IS NOT NULL").groupBy("listing", F.col("next").alias("start")).agg(F.max(F.struct(F.coalesce("start", F.lit("")).alias("s"))).alias("b"))
-    # A page is named by its start, the first one by the empty name.
-    named = known.select("listing", F.coalesce("start", F.lit("")).alias("at"), "start")
-    at = named.join(before, ["listing", "start"], "left").select("listing", "at", F.col("b.s").alias("to"), F.when(F.col("b").isNull(), 0).otherwise(1).cast("long").alias("place"), F.when(F.col("b").isNull(), F.col("at")).alias("head"))
-    at = kept(at)
-    for _ in range(ceil(log2(max(2, at.count()))) + 1):
-        further = at.select("listing", F.col("at").alias("to"), F.col("to").alias("up"), F.col("place").alias("more"), F.col("head").alias("top"))
-        at = kept(at.join(further, ["listing", "to"], "left").select("listing", "at", F.col("up").alias("to"), (F.col("place") + F.coalesce("more", F.lit(0))).alias("place"), F.coalesce("head", "top").alias("head")))
-        if at.where("to IS NOT NULL").isEmpty():
-            break
-    open_ = F.col("to").isNotNull()
-    status = F.when(open_, "cycle").when(F.col("head") == "", "ok").otherwise("gap")
-    placed = at.select("listing", F.col("at").alias("paging_start"), F.when(~open_, F.col("place")).alias("place"), status.alias("status"))
-    rows = once.withColumn("paging_start", F.coalesce("start", F.lit("")))
-    return rows.join(placed, ["listing", "paging_start"]).drop("paging_start")
+    # A page is named by its start, the first one by the empty name; its number is odd then.
+    number = F.monotonically_increasing_id() * 2 + F.col("start").isNull().cast("int")
+    once = written(pages.dropDuplicates(["listing", "start"]).withColumn("paging_id", number))
+    naming = once.where("next IS NOT NULL").groupBy("listing", F.col("next").alias("start")).agg(F.max(F.struct(F.coalesce("start", F.lit("")).alias("s"), "paging_id"))["paging_id"].alias("before"))
+    nodes = once.select("listing", "start", F.col("paging_id").alias("id")).join(naming, ["listing", "start"], "left")
+    placed = ranked(nodes.select("id", "before")).withColumnRenamed("id", "paging_id")
+    status = F.when(F.col("head").isNull(), "cycle").when(F.col("head") % 2 == 1, "ok").otherwise("gap")
+    return once.join(placed, "paging_id").select("listing", *[c for c in pages.columns if c != "listing"], "place", status.alias("status"))

@@ -31,3 +31,10 @@ def kept(df: DataFrame) -> DataFrame:
     """df, computed once and written to the checkpoint folder."""
     _shared(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df, computed once, as Parquet in the checkpoint folder: small to read, and Spark knows its size."""
+    path = folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

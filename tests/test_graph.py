@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from sluicebox.operators import commits, paging
+from sluicebox.operators import chains, commits, paging
 
 
 def walk(parents, tip):
@@ -71,3 +71,16 @@ def test_pages_come_in_order_with_gaps_and_cycles(spark):
     assert [got.get(f"gap{i}") for i in range(9)] == [(0, "ok"), (1, "ok"), (2, "ok"), (3, "ok"), None, (0, "gap"), (1, "gap"), (2, "gap"), (3, "gap")]
     assert [got[f"round{i}"] for i in range(3)] == [(None, "cycle")] * 3
     assert paging.ordered(df.limit(0)).count() == 0
+
+
+def test_places_come_by_contraction(spark, monkeypatch):
+    monkeypatch.setattr(chains, "SMALL", 20)
+    rounds, doubled = [], []
+    monkeypatch.setattr(chains, "_contracted", lambda left, salt, f=chains._contracted: rounds.append(salt) or f(left, salt))
+    monkeypatch.setattr(chains, "_doubled", lambda left, n, f=chains._doubled: doubled.append(n) or f(left, n))
+    numbers = random.Random(4).sample(range(10**6), 500)
+    lists = [numbers[:300], numbers[300:301], numbers[301:400]]
+    nodes = [(b, a) for x in lists for a, b in zip([None, *x], x)] + list(zip(numbers[400:], [*numbers[401:], numbers[400]]))
+    got = {r["id"]: (r["head"], r["place"]) for r in chains.ranked(spark.createDataFrame(nodes, "id long, before long").repartition(3)).collect()}
+    expected = {b: (x[0], i) for x in lists for i, b in enumerate(x)} | {b: (None, None) for b in numbers[400:]}
+    assert got == expected and len(rounds) > 3 and doubled[0] < 60
