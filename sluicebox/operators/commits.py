@@ -1,11 +1,13 @@
 """Ranges of the commit graph: ``a..b`` and ``a...b`` from a table of commits with their parents.
 
-All first-parent ancestors of a set of commits are reached by jumps: the n-th
-power of two ancestors come from joining the jumps of half the length with
-themselves, so a chain of n commits takes log2(n) joins, not n.  The other
-parents of what is new are the next round's commits.  Rounds are as many as a
-path has to leave first parents for commits that no earlier round has reached:
-merges within merges, not the depth of the history.
+Commits lie on paths: one commit goes on with its first parent's path, of several
+children of one parent the greatest; ``chains`` gives each its place on its path.  What is
+reached of a path is all from some place on, so a set of reached commits is one
+place a path, and a round joins the parents that lead to other paths with the
+places that are new.  Rounds are as many as a way has to change paths to get to
+commits that no earlier round has reached, not the depth of the history.
+``name~n`` goes by jumps: the n-th power of two ancestors come from joining the
+jumps of half the length with themselves.
 """
 
 from __future__ import annotations
@@ -15,7 +17,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import kept
+from ..sources.scratch import kept, written
+from .chains import ranked
 
 #: Characters of a hash that name it at least.
 SHORT = 4
@@ -32,7 +35,8 @@ class Graph:
         self.commits, self.refs = commits, refs
         self.rounds = 0
         self._jumps: list[DataFrame] | None = None
-        self._others: DataFrame | None = None
+        self._places: DataFrame | None = None
+        self._ways: DataFrame | None = None
 
     def jumps(self) -> list[DataFrame]:
         """(hash, to) for the 1st, 2nd, 4th ... first-parent ancestor, each table shorter than the one before."""
@@ -45,27 +49,38 @@ class Graph:
                 jump = kept(jump.join(half, "to").select("hash", F.col("further").alias("to")))
         return self._jumps
 
-    def others(self) -> DataFrame:
-        """(hash, to) for the parents after the first."""
-        if self._others is None:
-            rest = F.slice("parents", 2, F.greatest(F.size("parents") - 1, F.lit(0)))
-            self._others = kept(self.commits.where(F.size("parents") > 1).select("hash", F.explode(rest).alias("to")))
-        return self._others
-
-    def reachable(self, tips: DataFrame) -> DataFrame:
-        """hash of all commits that are reached from the tips (hash), themselves included."""
-        at, reached = tips.select("hash").distinct(), None
-        self.rounds = 0
+    def places(self) -> DataFrame:
+        """hash, path and place (from the path's youngest commit on) of all commits and parents."""
+        if self._places is None:
+            parents = self.commits.select("hash", F.posexplode("parents").alias("n", "parent")).where("parent IS NOT NULL")
+            names = self.commits.select("hash").unionByName(parents.select(F.col("parent").alias("hash"))).where("hash IS NOT NULL").distinct()
+            ids = written(names.withColumn("id", F.monotonically_increasing_id()))
+            parents = parents.join(ids.withColumnRenamed("id", "c"), "hash").select("c", "n", F.col("parent").alias("hash")).join(ids.withColumnRenamed("id", "p"), "hash").where("c <> p").groupBy("c", "p").agg(F.min("n").alias("n"))
+            parents = written(parents)
+            firsts = parents.where("n = 0").groupBy("c").agg(F.min("p").alias("id")).groupBy("id").agg(F.max("c").alias("before"))
+            # A commit that is its own ancestor can't be; it would be a path of its own.
+            placed = ranked(ids.select("id").join(firsts, "id", "left")).select("id", F.coalesce("head", "id").alias("path"), F.coalesce("place", F.lit(0)).alias("place"))
+            self._places = written(ids.join(placed, "id"))
+            of = lambda name, path, place: self._places.select(F.col("id").alias(name), F.col("path").alias(path), F.col("place").alias(place))
+            ways = parents.select("c", "p").join(of("c", "path", "place"), "c").join(of("p", "to_path", "to_place"), "p")
+            self._ways = written(ways.where("path <> to_path OR to_place < place").select("path", "place", "to_path", "to_place"))
+        return self._places
+
+    def reached(self, tips: dict[str, str]) -> DataFrame:
+        """side, path and the place from which on it is reached (at), for each side's tip."""
+        sides = F.explode(F.array(*[F.struct(F.lit(side).alias("side"), F.lit(tip).alias("tip")) for side, tip in tips.items()]))
+        places = self.places().where(F.col("hash").isin(*tips.values()))
+        new = places.select("hash", "path", "place", sides.alias("s")).where("hash = s.tip").select("s.side", "path", F.col("place").alias("at"), F.lit(None).cast("long").alias("was"))
+        new, self.rounds = written(new), 0
+        found = new.drop("was")
         while True:
             self.rounds += 1
-            for jump in reversed(self.jumps()):
-                stay_and_go = F.array_compact(F.array("hash", "to"))
-                at = at.join(jump, "hash", "left").select(F.explode(stay_and_go).alias("hash")).distinct()
-            new = kept(at if reached is None else at.join(reached, "hash", "left_anti"))
-            reached = new if reached is None else kept(reached.unionByName(new))
-            at = kept(new.join(self.others(), "hash").select(F.col("to").alias("hash")).distinct().join(reached, "hash", "left_anti"))
-            if at.isEmpty():
-                return reached
+            to = new.join(self._ways, "path").where("place >= at AND (was IS NULL OR place < was)").groupBy("side", F.col("to_path").alias("path")).agg(F.min("to_place").alias("at"))
+            known = found.withColumnRenamed("at", "was")
+            new = written(to.join(known, ["side", "path"], "left").where("was IS NULL OR at < was"))
+            if new.isEmpty():
+                return found
+            found = written(found.unionByName(new.drop("was")).groupBy("side", "path").agg(F.min("at").alias("at")))
 
     def resolve(self, revision: str) -> str:
         """The hash that a name, a hash or the unique start of one stands for, with ``~n`` and ``^n`` after it."""
@@ -103,13 +118,21 @@ class Graph:
     def within(self, text: str, head: str = "HEAD") -> DataFrame:
         """hash of the commits that a range means: ``a..b``, ``a...b`` (in just one of them) or all up to ``b``; a missing side is head."""
         left, dots, right = re.fullmatch(r"(.*?)(?:(\.{2,3})(?!\.)(.*))?", text.strip(), re.S).groups()
-        spark = self.commits.sparkSession
-        of = lambda name: self.reachable(spark.createDataFrame([(self.resolve(name or head),)], "hash string"))
         if not dots:
-            return of(left)
-        a, b = of(left), of(right)
-        only = b.join(a, "hash", "left_anti")
-        return only if dots == ".." else only.unionByName(a.join(b, "hash", "left_anti"))
+            return self._marked({"b": self.resolve(left or head)}).where("b").select("hash")
+        marked = self._marked({"a": self.resolve(left or head), "b": self.resolve(right or head)})
+        return marked.where("b AND NOT a" if dots == ".." else "a <> b").select("hash")
+
+    def _marked(self, tips: dict[str, str]) -> DataFrame:
+        """hash and, for each side, whether it is reached from its tip."""
+        found, rows = self.reached(tips), self.places()
+        for side in tips:
+            rows = rows.join(found.where(F.col("side") == side).select("path", F.col("at").alias(f"{side}_at")), "path", "left")
+        rows = rows.select("hash", *[F.coalesce(F.col("place") >= F.col(f"{side}_at"), F.lit(False)).alias(side) for side in tips])
+        # A tip that the table lacks is reached all the same.
+        spark = self.commits.sparkSession
+        lone = spark.createDataFrame([(tip, *[tip == t for t in tips.values()]) for tip in set(tips.values())], rows.schema)
+        return rows.unionByName(lone.join(rows.select("hash"), "hash", "left_anti"))
 
 
 def in_range(log: DataFrame, graph: Graph, text: str, head: str = "HEAD") -> DataFrame:

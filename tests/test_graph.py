@@ -84,3 +84,14 @@ def test_places_come_by_contraction(spark, monkeypatch):
     got = {r["id"]: (r["head"], r["place"]) for r in chains.ranked(spark.createDataFrame(nodes, "id long, before long").repartition(3)).collect()}
     expected = {b: (x[0], i) for x in lists for i, b in enumerate(x)} | {b: (None, None) for b in numbers[400:]}
     assert got == expected and len(rounds) > 3 and doubled[0] < 60
+
+
+def test_a_range_is_one_place_a_path(spark):
+    """A merge in each fifth commit, four lines of work, a commit listed twice and a branch that names the same parent."""
+    parents = {f"c{i:04}": ([f"c{i - 4:04}"] + [f"c{i - 3:04}"] * (i % 5 == 0)) if i >= 4 else [] for i in range(400)} | {"d1": ["c0200", "c0200"], "d2": ["c0200", "c0199"]}
+    graph = frame(spark, parents, [("HEAD", "c0399"), ("old", "d2"), ("gone", "nowhere")])
+    graph.commits = graph.commits.unionByName(graph.commits.where("hash = 'c0200'"))
+    a, b = walk(parents, "d2"), walk(parents, "c0399")
+    assert hashes(graph.within("old..HEAD")) == b - a and hashes(graph.within("old...HEAD")) == a ^ b
+    assert graph.reached({"a": "d2", "b": "c0399"}).count() < 20 and graph.rounds < 8
+    assert hashes(graph.within("gone")) == {"nowhere"} and hashes(graph.within("gone..old")) == a
