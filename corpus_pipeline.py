@@ -1,6 +1,6 @@
 """A corpus pipeline of five operators: each stage works on all that the one before it kept.
 
-Language ID drops documents that are not in the learnt languages, shingle similarity keeps one document
+Language ID drops documents that are not in the learnt languages, SimHash and shingle similarity keep one document
 of each group of near duplicates, substring dedup takes out passages that repeat
 between the rest, decontamination drops documents that hold benchmark passages,
 and byte-level BPE encodes what is left (and decodes it again).
@@ -30,7 +30,11 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates: the one of the smallest doc_id."""
+    """One row of each group of near duplicates: the one of the smallest doc_id.
+
+    SimHash's index of positional bytes gives the links within two bits, each
+    verified by the exact similarity; minwise hashes add those farther apart.
+    """
     return simhash.keep_one(docs, size=NEAR_WORDS, similarity=NEAR_SIMILARITY)
 
 

@@ -76,8 +76,12 @@ def shingle_hashes(text: str | None, size: int) -> list[int]:
 
 def fingerprint(text: str | None, size: int = SHINGLE_WORDS) -> int:
     """The SimHash of a text as a signed 64-bit integer."""
-    hashes = shingle_hashes(text, size)
-    if not hashes:
+    return majority(shingle_hashes(text, size))
+
+
+def majority(hashes: list[int] | np.ndarray) -> int:
+    """The bits that are set in over half the hashes, as a signed 64-bit integer; zero if there is none."""
+    if not len(hashes):
         return 0
     total, n = np.zeros(64, np.int64), len(hashes)
     for at in range(0, n, 1 << 16):
@@ -160,8 +164,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE_WORDS, similarity: float | None = None) -> DataFrame:
     """docs with one row of each component: the one of the smallest id (of equal ids, the smallest text digest).
 
-    Links are fingerprints within MAX_DISTANCE; with a similarity, shingle sets
-    of at least that Jaccard similarity.
+    Links are fingerprints within MAX_DISTANCE; with a similarity, these are
+    verified by the Jaccard similarity of the shingle sets, and sets that have it
+    with fingerprints farther apart are linked, too.
     """
     # The user's columns stand in one, so that none has the name of one of ours.
     whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("sb_row"), F.col(key).alias("sb_id"), F.col(text).alias("sb_text"))

@@ -112,6 +112,19 @@ def test_long_lists_lose_no_link(spark, tmp_path):
     assert left == set(expected.values())
 
 
+def test_near_duplicates_come_by_the_simhash_index_too(spark, tmp_path, monkeypatch):
+    # Minwise hashes that find nothing: what SimHash links within two bits and the similarity confirms must go all the same.
+    monkeypatch.setattr(jaccard, "_lists", lambda posted, f=jaccard._lists: f(posted.limit(0)))
+    r = random.Random(4)
+    base = [f"w{r.randrange(10**6)}" for _ in range(900)]
+    other = [f"v{i}" for i in range(300)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base, "end"])), (3, " ".join(other)), (4, " ".join(base))]
+    sims = [simhash.majority(jaccard.shingles(t, 5)) for _, t in rows]
+    assert 0 < (sims[0] ^ sims[1]).bit_count() <= 2 < ((sims[0] ^ sims[2]) & (1 << 64) - 1).bit_count()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x["doc_id"] for x in corpus_pipeline.near_duplicate_stage(spark, docs, str(tmp_path)).collect()} == {1, 3}
+
+
 def test_common_shingles_are_counted_by_products(monkeypatch):
     monkeypatch.setattr(jaccard, "PRODUCT_COLUMNS", 7)
     r = np.random.default_rng(2)
