@@ -31,6 +31,18 @@ def lines(hunks: DataFrame, *keys: str) -> DataFrame:
     return hunks.select(*keys, "file_path", F.explode(new_lines(F.col("hunk.new_start_line"), F.col("hunk.new_line_count"))).alias("line"))
 
 
+def distinct_lines(hunks: DataFrame, *keys: str) -> DataFrame:
+    """keys, file_path, n_lines and first_line of all files with lines; a line of two hunks counts once.
+
+    Ranges are counted in the order of their starts, so no row is made for a line.
+    """
+    start, end = F.col("hunk.new_start_line").cast("long"), (F.col("hunk.new_start_line").cast("long") + F.col("hunk.new_line_count") - 1)
+    ranges = hunks.where("hunk.new_line_count > 0 AND hunk.new_start_line IS NOT NULL").select(*keys, "file_path", start.alias("start"), end.alias("end"))
+    before = Window.partitionBy(*keys, "file_path").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("from", F.greatest("start", F.max("end").over(before) + 1))
+    return ranges.groupBy(*keys, "file_path").agg(F.sum(F.greatest(F.col("end") - F.col("from") + 1, F.lit(0))).alias("n_lines"), F.min("start").cast("int").alias("first_line"))
+
+
 def total_lines(hunks: DataFrame, *keys: str) -> DataFrame:
     """Lines of all ranges, counted with repeats."""
     return hunks.groupBy(*keys).agg(F.sum(F.greatest(F.col("hunk.new_line_count"), F.lit(0))).cast("long").alias("total_lines"))

@@ -57,8 +57,7 @@ def coverage_total_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH {SESSIONS} SELECT id, file_path, count(DISTINCT line) AS n_lines, min(line) AS first_line FROM (SELECT id, file_path, unnest(range(start, start + n)) AS line FROM hunks WHERE n > 0) GROUP BY id, file_path")
 def coverage_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = coverage.lines(coverage.file_hunks(derived.sessions(spark, sf_dir), "id"), "id")
-    return rows.groupBy("id", "file_path").agg(F.count_distinct("line").alias("n_lines"), F.min("line").alias("first_line"))
+    return coverage.distinct_lines(coverage.file_hunks(derived.sessions(spark, sf_dir), "id"), "id")
 
 
 @query("""WITH {SESSIONS},

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,12 +12,19 @@ from . import history
 
 #: The tool whose trailers the derived log has.
 TOOL = "Review"
+#: Rows of a table that a task groups, about.
+TASK_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """df by key, in partitions of about TASK_ROWS rows: what a task sorts and groups does not grow with the table."""
+    return df.repartition(max(1, ceil(df.count() / TASK_ROWS)), key)
+
+
 def iso(c: str):
     t = F.col(c).cast("string")
     return F.concat(F.substring(t, 1, 10), F.lit("T"), F.substring(t, 12, 8), F.lit("Z"))
@@ -53,7 +62,7 @@ def generated_log(spark: SparkSession, n: int) -> DataFrame:
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """review_sessions with one session for each order; hunks come from its line items."""
     hunk = F.struct(F.lit(0).alias("old_start_line"), F.lit(0).alias("old_line_count"), (F.col("l_linenumber") * 10).alias("new_start_line"), (F.floor("l_quantity").cast("int") % 10).alias("new_line_count"))
-    files = table(spark, sf_dir, "lineitem").select("l_orderkey", F.concat(F.lit("f"), (F.col("l_partkey") % 50).cast("string")).alias("file_path"), hunk.alias("hunk"))
+    files = dealt(table(spark, sf_dir, "lineitem"), "l_orderkey").select("l_orderkey", F.concat(F.lit("f"), (F.col("l_partkey") % 50).cast("string")).alias("file_path"), hunk.alias("hunk"))
     files = files.groupBy("l_orderkey", "file_path").agg(F.array_sort(F.collect_list("hunk")).alias("hunks"))
     files = files.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("file_path", "hunks"))).alias("files"))
     o = orders_as_sessions(spark, sf_dir)

@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from sluicebox.sources import derived
 from sluicebox.functions import diff as D
 from sluicebox.operators import batch, coverage, facets, navigation, slides, usage
 from sluicebox.operators import comments as C
@@ -360,3 +361,18 @@ def test_all_moves_of_lists_up_to_six(spark):
     steps = spark.createDataFrame([(1, 3, "next", None), (1, 1, "list", ["a", "b"]), (1, 2, "next", None), (1, 4, "list", ["b"]), (1, 5, "list", None), (1, 6, "prev", None), (2, 1, "next", None)], "viewer long, seq long, kind string, ids array<string>")
     got = [tuple(r)[1:] for r in navigation.replay(steps).where("viewer = 1").orderBy("seq").collect()]
     assert got == [(1, -1, None, 0), (2, 0, "a", 0), (3, 1, "b", 1), (4, 0, "b", 0), (5, -1, None, 0), (6, -1, None, 0)]
+
+
+def test_lines_are_counted_by_ranges(spark):
+    """Ranges that overlap, touch, repeat or hold others; no plan makes a row for a line."""
+    made = {("a", "x"): [(10, 5), (12, 1), (13, 4), (30, 2), (30, 2)], ("a", "y"): [(5, 0)], ("b", "x"): [(1, 2_000_000_000), (7, 3)], ("c", "x"): [(4, 2), (6, 1)]}
+    rows = spark.createDataFrame([(k, f, (0, 0, s, n)) for (k, f), hunks in made.items() for s, n in hunks], "id string, file_path string, hunk struct<old_start_line:int,old_line_count:int,new_start_line:int,new_line_count:int>")
+    got = {(r["id"], r["file_path"]): (r["n_lines"], r["first_line"]) for r in coverage.distinct_lines(rows, "id").collect()}
+    assert got == {("a", "x"): (9, 10), ("b", "x"): (2_000_000_000, 1), ("c", "x"): (3, 4)}
+
+
+def test_a_task_groups_a_bounded_number_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(derived, "TASK_ROWS", 100)
+    df = spark.range(1000)
+    assert derived.dealt(df, "id").rdd.getNumPartitions() == 10 and derived.dealt(df, "id").count() == 1000
+    assert derived.dealt(df.limit(0), "id").count() == 0
