@@ -109,7 +109,7 @@ def trailer_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _line_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A diff of one hunk for each line item (counts of 1 are left out, as git does)."""
-    li = derived.table(spark, sf_dir, "lineitem")
+    li = derived.dealt(derived.table(spark, sf_dir, "lineitem"), "l_orderkey")
     n = F.floor("l_quantity").cast("int") % 10
     count = F.when(n == 1, F.lit("")).otherwise(F.concat(F.lit(","), n.cast("string")))
     text = F.concat(F.lit("@@ -"), F.col("l_linenumber").cast("string"), F.lit(" +"), (F.col("l_linenumber") * 10).cast("string"), count, F.lit(" @@ x"))
